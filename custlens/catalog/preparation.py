@@ -63,12 +63,35 @@ def profile_shape(spark: SparkSession, folder: str) -> DataFrame:
     return result
 
 
-@query("profile_types")
+# Column types that are not strings.
+KINDS = {
+    "bigint": "c_custkey event_id user_id l_orderkey l_partkey l_suppkey o_orderkey o_custkey p_partkey s_suppkey",
+    "int": "c_nationkey l_linenumber n_nationkey n_regionkey p_size r_regionkey s_nationkey",
+    "double": "c_acctbal value l_quantity l_extendedprice l_discount l_tax o_totalprice p_retailprice s_acctbal",
+    "timestamp_ntz": "ts l_shipdate o_orderdate",
+}
+_KIND = {column: kind for kind, columns in KINDS.items() for column in columns.split()}
+
+
+@query(
+    "profile_types",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, '{_KIND.get(c, 'string')}' AS data_type,
+            count({c}) AS n_values FROM {t}"""
+        for t in PROFILED
+        for i, c in enumerate(COLUMNS[t].split(), start=1)
+    ),
+)
 def profile_types(spark: SparkSession, folder: str) -> DataFrame:
-    return prof.column_types(spark, _tables(spark, folder))
+    return prof.overview(_tables(spark, folder)).select(
+        "table_name",
+        "position",
+        "column_name",
+        "data_type",
+        (F.col("n_rows") - F.col("null_count")).alias("n_values"),
+    )
 
 
-_NULLS_OF = "reviews_wide"
 _NULL_COLUMNS = ["order_id", "review_id", "review_score", "review_comment_title", "review_comment_message"]
 
 
@@ -93,12 +116,12 @@ def _null_sql(where: str = "") -> str:
 
 @query("profile_nulls", _null_sql())
 def profile_nulls(spark: SparkSession, folder: str) -> DataFrame:
-    return prof.null_profile(_reviewed_orders(spark, folder))
+    return prof.null_profile(_reviewed_orders(spark, folder)).drop("data_type", "position")
 
 
 @query("profile_nulls_only", _null_sql("WHERE null_count > 0"))
 def profile_nulls_only(spark: SparkSession, folder: str) -> DataFrame:
-    return prof.null_profile(_reviewed_orders(spark, folder), only_missing=True)
+    return prof.null_profile(_reviewed_orders(spark, folder), only_missing=True).drop("data_type", "position")
 
 
 @query(
@@ -122,7 +145,7 @@ def profile_sample(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def profile_overview(spark: SparkSession, folder: str) -> DataFrame:
-    return prof.overview(_tables(spark, folder))
+    return prof.overview(_tables(spark, folder)).drop("data_type", "position")
 
 
 # --- samples and splits ------------------------------------------------------------------------------
@@ -681,13 +704,13 @@ def scatter_bins(spark: SparkSession, folder: str) -> DataFrame:
 placed AS (
   SELECT *, monetary >= q1 - 1.5::DOUBLE * (q3 - q1) AND monetary <= q3 + 1.5::DOUBLE * (q3 - q1) AS inside
   FROM clustered JOIN boxes USING (cluster))""",
-        query="""SELECT cluster, q1, median, q3, min(monetary) FILTER (inside) AS whisker_low,
+        query="""SELECT cluster, round(q1, 3) AS q1, round(median, 3) AS median, round(q3, 3) AS q3, min(monetary) FILTER (inside) AS whisker_low,
                    max(monetary) FILTER (inside) AS whisker_high, count(*) FILTER (NOT inside) AS outliers
-                 FROM placed GROUP BY 1, 2, 3, 4""",
+                 FROM placed GROUP BY ALL""",
     ),
 )
 def boxplot_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return cl.boxplot_stats(_clustered(spark, folder), "monetary")
+    return rounded(cl.boxplot_stats(_clustered(spark, folder), "monetary"), "q1", "median", "q3", digits=3)
 
 
 # --- classifier metrics, on a score SQL can repeat ------------------------------------------------------

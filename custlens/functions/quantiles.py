@@ -17,10 +17,10 @@ def exact_quantiles(
     """Rows ``(*by, feature, probability, value)`` with linearly interpolated exact quantiles.
 
     Two passes over ``df``, so materialise it first when it is costly. The first pass brackets every
-    quantile with a mergeable sketch. The second counts what lies below each bracket (one row per
-    task) and the distinct values inside it, so only about ``4 / accuracy`` of the rows are
-    shuffled and ranked: raise ``accuracy`` with the data. Equal values, however many, are one row. ``by``
-    must be a label with few levels, as the brackets (levels x columns x probabilities rows) are broadcast.
+    quantile with a mergeable sketch. In the second, all rows below and all rows above a bracket
+    collapse to one row per task, and equal values inside it to one row, so only about
+    ``4 / accuracy`` of the rows are shuffled and ranked: raise ``accuracy`` with the data. ``by`` must
+    be a label with few levels, as the brackets (levels x columns x probabilities rows) are broadcast.
     """
     by = list(by)
     values = (
@@ -42,18 +42,25 @@ def exact_quantiles(
         .select(*by, "feature", "rows", F.inline(F.arrays_zip("probability", "low", "high")))
     )
     group = [*by, "feature", "probability", "rows"]
-    in_bracket = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    side = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
     position = (F.col("rows") - 1) * F.col("probability")
     first, last = F.floor(position), F.ceil(position)
-    return (
+    counted = (
         values.join(F.broadcast(brackets), [*by, "feature"])
-        .where(F.col("value") <= F.col("high"))
-        .groupBy(*group, in_bracket.alias("value"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("up_to", F.sum("n").over(W.partitionBy(*group).orderBy(F.col("value").asc_nulls_first())))
-        .groupBy(*group)
+        .withColumn("side", side)
+        .groupBy(*group, "side", F.when(F.col("side") == 0, F.col("value")).alias("inside"))
+        .agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+        # A side stands for its value next to the bracket.
+        .withColumn("value", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
+        .withColumn("up_to", F.sum("n").over(W.partitionBy(*group).orderBy("value")))
+    )
+    below = F.coalesce(F.max(F.when(F.col("side") < 0, F.col("n"))), F.lit(0))
+    upto_high = F.coalesce(F.max(F.when(F.col("side") <= 0, F.col("up_to"))), F.lit(0))
+    return (
+        counted.groupBy(*group)
         .agg(
-            F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("below"),
+            below.alias("below"),
+            upto_high.alias("upto_high"),
             F.min(F.when(F.col("up_to") > first, F.col("value"))).alias("lower"),
             F.min(F.when(F.col("up_to") > last, F.col("value"))).alias("upper"),
         )
@@ -62,7 +69,7 @@ def exact_quantiles(
             "feature",
             "probability",
             F.when(
-                (F.col("below") > first) | F.col("upper").isNull(),
+                (first < F.col("below") - 1) | (last > F.col("upto_high")),
                 F.raise_error(F.lit("quantile outside its bracket: raise accuracy")).cast("double"),
             )
             .otherwise(F.col("lower") + (position - first) * (F.col("upper") - F.col("lower")))

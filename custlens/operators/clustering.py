@@ -61,10 +61,10 @@ def cluster_scores(df: DataFrame, features: str = "features", cluster: str = "cl
     within = float(((n - 1) * variances.sum(axis=1)).sum())
     centre = (n[:, None] * means).sum(axis=0) / n.sum()
     between = float((n * ((means - centre) ** 2).sum(axis=1)).sum())
-    k = len(rows)
+    k, total = len(rows), float(n.sum())
     return {
         "silhouette": silhouette_squared(df, features, cluster) if k > 1 else float("nan"),
-        "calinski_harabasz": (between / (k - 1)) / (within / (n.sum() - k)) if k > 1 and within > 0 else 1.0,
+        "calinski_harabasz": (between / (k - 1)) / (within / (total - k)) if k > 1 and within > 0 else 1.0,
         "davies_bouldin": _davies_bouldin(df, features, cluster, [row[cluster] for row in rows], means),
     }
 

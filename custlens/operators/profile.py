@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
@@ -16,12 +16,18 @@ def missing(df: DataFrame, column: str) -> Column:
 
 
 def null_profile(df: DataFrame, only_missing: bool = False) -> DataFrame:
-    """Rows ``(column_name, n_rows, null_count, null_pct)`` from one pass over the table."""
+    """Rows ``(column_name, data_type, position, n_rows, null_count, null_pct)`` from one pass over the table."""
     counts = df.agg(
         F.count("*").alias("n_rows"), *(F.count_if(missing(df, c)).alias(c) for c in df.columns)
     ).unpivot("n_rows", list(df.columns), "column_name", "null_count")
-    profile = counts.withColumn(
-        "null_pct", F.when(F.col("n_rows") > 0, F.col("null_count") * 100.0 / F.col("n_rows")).cast("double")
+    kinds = F.create_map(*(F.lit(word) for pair in df.dtypes for word in pair))
+    places = F.array(*(F.lit(c) for c in df.columns))
+    profile = (
+        counts.withColumn(
+            "null_pct", F.when(F.col("n_rows") > 0, F.col("null_count") * 100.0 / F.col("n_rows")).cast("double")
+        )
+        .withColumn("data_type", F.element_at(kinds, F.col("column_name")))
+        .withColumn("position", F.array_position(places, F.col("column_name")).cast("int"))
     )
     return profile.where(F.col("null_count") > 0) if only_missing else profile
 
@@ -32,22 +38,13 @@ def shape(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def column_types(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-    rows = [
-        (name, position, column, kind)
-        for name, df in tables.items()
-        for position, (column, kind) in enumerate(df.dtypes)
-    ]
-    return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
-
-
 def first_rows(df: DataFrame, *order: str, n: int = 3) -> DataFrame:
     """The first ``n`` rows by the given keys (Spark tables have no order of their own)."""
     return df.orderBy(*order).limit(n)
 
 
 def overview(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Shape and missing values of every column of every table, one scan per table."""
+    """Shape, types and missing values of every column of every table, one scan per table."""
     return reduce(
         DataFrame.unionByName,
         (
@@ -55,7 +52,9 @@ def overview(tables: Mapping[str, DataFrame]) -> DataFrame:
                 F.lit(name).alias("table_name"),
                 "n_rows",
                 F.lit(len(df.columns)).alias("n_columns"),
+                "position",
                 "column_name",
+                "data_type",
                 "null_count",
                 "null_pct",
             )

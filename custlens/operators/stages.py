@@ -6,6 +6,8 @@ plain column expressions, so scoring stays inside generated code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.feature import PCA, VectorSlicer
@@ -235,4 +237,6 @@ def slot_names(dataset: DataFrame, column: str) -> list[str]:
     """Names of the slots of an assembled vector column, in order."""
     attributes = dataset.schema[column].metadata.get("ml_attr", {}).get("attrs", {})
     named = {a["idx"]: a.get("name", str(a["idx"])) for group in attributes.values() for a in group}
+    # One-hot slots read <column>_<level>, without the name of the intermediate vector.
+    named = {i: re.sub(r"_(hot|rest)_", "_", name, count=1) for i, name in named.items()}
     return [named.get(i, str(i)) for i in range(vector_size(dataset, column))]
