@@ -42,13 +42,17 @@ def attach_many(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
     join, which can, and rows without a match are added from an anti join.
     """
     matched = one.join(many, key)
-    unmatched = one.join(many.select(key), key, "left_anti")
+    unmatched = one.join(many.select(key).distinct(), key, "left_anti")
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in ``members``."""
-    return rows.join(members.select(key), key, "left_semi")
+    """Rows whose key occurs in ``members``.
+
+    The members shrink to one row per key before they are shuffled, so a key that repeats there
+    without end costs nothing; a hot key of ``rows`` can be split.
+    """
+    return rows.join(members.select(key).distinct(), key, "left_semi")
 
 
 def home_rows_per_person(shop: Shop) -> DataFrame:

@@ -8,7 +8,10 @@ import random
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -140,42 +143,38 @@ class GridResult:
     models: dict[tuple[str, str], PipelineModel]
 
 
-def run_grid(train: DataFrame, test: DataFrame, cells: Sequence[Cell]) -> GridResult:
+def run_grid(train: DataFrame, test: DataFrame, cells: Sequence[Cell], parallelism: int = 4) -> GridResult:
     """Fit every cell and score the test rows; a failing cell is recorded and the rest go on.
 
     Cells with the same inputs share one fitted preprocessing and one written copy of its
-    output. All predictions meet in one table, so that one job computes every cell's metrics.
+    output. ``parallelism`` cells are fitted at a time, so that small stages of one fill the gaps of
+    another. All predictions meet in one table, and one job computes every cell's metrics.
     """
     spark = train.sparkSession
-    prepared: dict[str, tuple] = {}
+    stages = {cell.config: cell.stages for cell in cells}
+    prepared = dict(
+        zip(stages, in_parallel([lambda s=s: _attempt(lambda: _prepare(s, train, test)) for s in stages.values()], parallelism))
+    )
+
+    def run(cell: Cell):
+        ready, error = prepared[cell.config]
+        started = time.perf_counter()
+        if error is not None:
+            return cell, 0.0, (None, error)
+        outcome = _attempt(lambda: _fit_and_score(cell, *ready))
+        return cell, time.perf_counter() - started, outcome
+
     outcomes, tables, models = [], [], {}
-    for cell in cells:
-        started, error = time.perf_counter(), None
-        try:
-            if cell.config not in prepared:
-                prepared[cell.config] = _prepare(cell.stages, train, test)
-            prep, ready_train, ready_test = prepared[cell.config]
-            if cell.estimator is None:
-                predicted = _neighbour_scores(ready_train, ready_test)
-            else:
-                fitted = cell.estimator.fit(ready_train)
-                models[cell.config, cell.model] = PipelineModel([*prep.stages, fitted])
-                predicted = scores(fitted.transform(ready_test))
-            elapsed = time.perf_counter() - started
-            tables.append(
-                materialize(
-                    predicted.select(F.lit(cell.config).alias("config"), F.lit(cell.model).alias("model"), "*"),
-                    "scored",
-                )
-            )
-        except Exception as failure:  # any engine or numeric failure belongs to its cell only
-            elapsed, error = time.perf_counter() - started, str(failure).splitlines()[0]
+    for cell, elapsed, (result, error) in in_parallel([lambda c=c: run(c) for c in cells], parallelism):
         outcomes.append((cell.config, cell.model, elapsed, error))
+        if error is None:
+            table, model = result
+            tables.append(table)
+            if model is not None:
+                models[cell.config, cell.model] = model
     if not tables:
         raise RuntimeError(f"every cell failed, the first with: {outcomes[0][3]}")
-    scored = tables[0]
-    for table in tables[1:]:
-        scored = scored.unionByName(table)
+    scored = reduce(DataFrame.unionByName, tables)
     by = ["config", "model"]
     weighted = met.weighted_report(scored, by=by).withColumnsRenamed(
         {c: f"weighted_{c}" for c in ("precision", "recall", "f1")}
@@ -189,6 +188,31 @@ def run_grid(train: DataFrame, test: DataFrame, cells: Sequence[Cell]) -> GridRe
     return GridResult(results, scored, models)
 
 
+def in_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
+    """Results of the tasks, run on driver threads that submit Spark jobs side by side."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(lambda task: task(), [inherit(task) for task in tasks], chunksize=1)
+
+
+def _attempt(task: Callable) -> tuple:
+    """``(result, None)``, or ``(None, first line of the error)``: a failure belongs to its cell only."""
+    try:
+        return task(), None
+    except Exception as failure:
+        return None, str(failure).splitlines()[0]
+
+
+def _fit_and_score(cell: Cell, prep: PipelineModel, train: DataFrame, test: DataFrame) -> tuple:
+    if cell.estimator is None:
+        model, predicted = None, _neighbour_scores(train, test)
+    else:
+        fitted = cell.estimator.fit(train)
+        model, predicted = PipelineModel([*prep.stages, fitted]), scores(fitted.transform(test))
+    names = [F.lit(cell.config).alias("config"), F.lit(cell.model).alias("model")]
+    return materialize(predicted.select(*names, "*"), "scored"), model
+
+
 def rank(results: DataFrame, metric: str = "auc_pr", n: int = 10) -> DataFrame:
     """The best ``n`` successful cells, names breaking ties."""
     return results.where("error IS NULL").orderBy(F.desc(metric), "config", "model").limit(n)
@@ -197,15 +221,11 @@ def rank(results: DataFrame, metric: str = "auc_pr", n: int = 10) -> DataFrame:
 def _prepare(stages: list, train: DataFrame, test: DataFrame) -> tuple[PipelineModel, DataFrame, DataFrame]:
     prep = Pipeline(stages=stages).fit(train)
     keep = [PERSON, LABEL, "features"]
-    ready = [_with_metadata(prep.transform(part).select(*keep)) for part in (train, test)]
+    # The written copies keep the slot names of the vector, which are part of the schema.
+    ready = [materialize(prep.transform(part).select(*keep), "prepared") for part in (train, test)]
     return prep, ready[0], ready[1]
 
 
-def _with_metadata(df: DataFrame) -> DataFrame:
-    """A written copy; the schema handed to the reader keeps the slot names of the vector."""
-    return materialize(df, "prepared")
-
-
 def _neighbour_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     train, test = (part.withColumn("point", vector_to_array("features")) for part in (train, test))
     voted = neighbours.vote(train, test, PERSON, "point", LABEL, k)
@@ -282,6 +302,7 @@ def random_search(
     metric: str = "auc_pr",
     size: float = 1.0,
     stages: list | None = None,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """Best drawn parameters per model against its defaults on the test rows, and every trial.
 
@@ -300,11 +321,14 @@ def random_search(
     for kind in kinds:
         started = time.perf_counter()
         candidates = draw_candidates(kind, n_iter, size=size)
-        means = []
-        for params in candidates:
-            values = [evaluator.evaluate(build(kind, params, size).fit(a).transform(b)) for a, b in prepared]
-            means.append(sum(values) / folds)
-            trials.append((kind, json.dumps(params, sort_keys=True), means[-1]))
+        runs = [
+            lambda p=params, a=a, b=b: evaluator.evaluate(build(kind, p, size).fit(a).transform(b))
+            for params in candidates
+            for a, b in prepared
+        ]
+        values = in_parallel(runs, parallelism)
+        means = [sum(values[i * folds : (i + 1) * folds]) / folds for i in range(n_iter)]
+        trials += [(kind, json.dumps(p, sort_keys=True), mean) for p, mean in zip(candidates, means)]
         best = max(range(n_iter), key=lambda i: means[i])
         tuned, default = (
             met.ranking_metrics(materialize(scores(model.fit(full_train).transform(full_test)), "scored")).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,7 +92,7 @@ def discover_tables(
         name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
         try:
             tables[name] = read_table(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
-        except PySparkException as error:
+        except (PySparkException, Py4JError) as error:
             errors[name] = str(error).splitlines()[0]
     return tables, errors
 
