@@ -252,7 +252,7 @@ def join_payments_fanout(spark: SparkSession, folder: str) -> DataFrame:
 )
 def join_payments_agg(spark: SparkSession, folder: str) -> DataFrame:
     shop = read_star_shop(spark, folder)
-    return shop.items.join(agg.payments_per_order_with_mode(shop.payments), "order_id").select(
+    return joins.items_with_payments(shop).select(
         "order_id", "order_item_id", "payment_value", "payment_installments", "payment_type"
     )
 

@@ -2,13 +2,17 @@
 
 No broadcast hints here: lookup tables are broadcast by Spark when their measured size is under
 ``spark.sql.autoBroadcastJoinThreshold``, otherwise the join shuffles and adaptive execution
-splits hot keys of an inner, left or semi join's left side.
+splits hot keys: on either side of an inner join, on the left of a left or semi join. It can do so only
+where both inputs come straight from a shuffle. Where the other side would be an aggregate that is
+already partitioned by the key, that side is written first and read back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from custlens.operators.aggregates import payments_per_order_with_mode
+from custlens.session import materialize
 from custlens.sources.shop import Shop
 
 PERSON = "customer_unique_id"
@@ -46,13 +50,14 @@ def attach_many(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
     return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
-def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+def keep_members(rows: DataFrame, members: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Rows whose key occurs in ``members``.
 
-    The members shrink to one row per key before they are shuffled, so a key that repeats there
-    without end costs nothing; a hot key of ``rows`` can be split.
+    Members that are not ``unique`` shrink to one row per key before they are shuffled, so that a
+    key may repeat there without end. With unique members a hot key of ``rows`` can be split.
     """
-    return rows.join(members.select(key).distinct(), key, "left_semi")
+    keys = members.select(key)
+    return rows.join(keys if unique else keys.distinct(), key, "left_semi")
 
 
 def home_rows_per_person(shop: Shop) -> DataFrame:
@@ -66,4 +71,9 @@ def geo_fanout(shop: Shop) -> DataFrame:
     ``home_rows`` says how many rows the order would take, so sums stay exact while a person with
     many orders costs their number of orders, not its square.
     """
-    return orders_with_customers(shop).join(home_rows_per_person(shop), PERSON)
+    return orders_with_customers(shop).join(materialize(home_rows_per_person(shop), "homes"), PERSON)
+
+
+def items_with_payments(shop: Shop) -> DataFrame:
+    """Every item with the one reduced payment row of its order."""
+    return shop.items.join(materialize(payments_per_order_with_mode(shop.payments), "payments"), "order_id")

@@ -31,6 +31,7 @@ TEST_SHARE = 0.2
 GRID_MODELS = ["Logistic Regression", "Random Forest", "Gradient Boosting"]
 COMPARED_MODELS = [*GRID_MODELS, "HistGradientBoosting", "MLPClassifier"]
 EXPERIMENT_MODELS = [*GRID_MODELS, "KNeighbors_5"]
+SEARCHED_MODELS = ["Gradient Boosting", "Random Forest", "Logistic Regression", "MLPClassifier"]
 PREPROCESSINGS = {
     "StandardScale_OneHot": {"scale": "standard"},
     "RobustScale_OneHot": {"scale": "robust"},

@@ -64,14 +64,19 @@ def wide_v1(shop: Shop) -> DataFrame:
 
 
 def wide_v2(shop: Shop) -> DataFrame:
-    """Every sold item of a paid order, with product, seller, payment and review columns."""
-    return (
-        joins.orders_with_items(shop)
+    """Every sold item of a paid order, with product, seller, payment and review columns.
+
+    All that is known per order is joined at one row per order, before the items come in.
+    """
+    orders = (
+        shop.orders.join(agg.payments_per_order_with_mode(shop.payments), "order_id")
+        .join(agg.comments_per_order(shop.reviews), "order_id", "left")
         .join(shop.customers, "customer_id")
+    )
+    return (
+        shop.items.join(orders, "order_id")
         .join(joins.products_in_english(shop).drop("product_category_name"), "product_id")
         .join(shop.sellers, "seller_id", "left")
-        .join(agg.payments_per_order_with_mode(shop.payments), "order_id")
-        .join(agg.comments_per_order(shop.reviews), "order_id", "left")
     )
 
 
@@ -85,7 +90,7 @@ def wide_v3(shop: Shop) -> DataFrame:
     reviews = F.greatest(F.coalesce(F.col("review_rows"), F.lit(0)), F.lit(1))
     return (
         sold_orders(shop)
-        .join(joins.home_rows_per_person(shop), PERSON)
+        .join(materialize(joins.home_rows_per_person(shop), "homes"), PERSON)
         .withColumn("item_weight", payments * reviews * homes)
         .withColumn("payment_weight", items * reviews * homes)
         .withColumn("review_weight", items * payments * homes)
@@ -95,7 +100,7 @@ def wide_v3(shop: Shop) -> DataFrame:
 
 def sold_orders(shop: Shop) -> DataFrame:
     """Orders with a customer, at least one item of a known product and at least one payment."""
-    known_items = joins.keep_members(shop.items, shop.products, "product_id")
+    known_items = joins.keep_members(shop.items, shop.products, "product_id", unique=True)
     return (
         joins.orders_with_customers(shop)
         .join(agg.item_measures(known_items), "order_id")
@@ -225,18 +230,26 @@ RECIPES = {"v1": features_v1, "v2": features_v2, "v3": features_v3, "clean": fea
 
 
 def sample_shop(shop: Shop, fraction: float, key: str = "customer_id") -> Shop:
-    """All rows of the people behind a sample of customer rows, with the facts cut before any join."""
-    people = sampled_people(shop, fraction, key)
-    orders = joins.keep_members(joins.orders_with_customers(shop), people, PERSON).select(*shop.orders.columns)
+    """All rows of the people behind a sample of customer rows, with the facts cut before any join.
+
+    The people and their orders, which every other table is cut by, are written once.
+    """
+    people = materialize(sampled_people(shop, fraction, key), "sampled-people")
+    customers = materialize(joins.keep_members(shop.customers, people, PERSON, unique=True), "sampled-customers")
+    orders = materialize(joins.keep_members(shop.orders, customers, "customer_id", unique=True), "sampled-orders")
+
+    def of_orders(rows: DataFrame) -> DataFrame:
+        return joins.keep_members(rows, orders, "order_id", unique=True)
+
     return Shop(
-        customers=joins.keep_members(shop.customers, people, PERSON),
+        customers=customers,
         orders=orders,
-        items=joins.keep_members(shop.items, orders, "order_id"),
+        items=of_orders(shop.items),
         products=shop.products,
         translation=shop.translation,
         sellers=shop.sellers,
-        payments=joins.keep_members(shop.payments, orders, "order_id"),
-        reviews=joins.keep_members(shop.reviews, orders, "order_id"),
+        payments=of_orders(shop.payments),
+        reviews=of_orders(shop.reviews),
     )
 
 
@@ -277,9 +290,10 @@ def _per_person(orders: DataFrame, measures: dict[str, Column], home_weight: Col
 
 def _diversity(shop: Shop, paid_only: bool) -> DataFrame:
     """Distinct categories and sellers per person, from the items of their orders."""
-    people = joins.orders_with_customers(shop).select("order_id", PERSON)
+    orders = shop.orders.select("order_id", "customer_id")
     if paid_only:
-        people = joins.keep_members(people, shop.payments, "order_id")
+        orders = joins.keep_members(orders, shop.payments, "order_id")
+    people = orders.join(shop.customers, "customer_id").select("order_id", PERSON)
     categories = joins.products_in_english(shop).select(
         "product_id", F.col("product_category_name_english").alias("product_categories")
     )

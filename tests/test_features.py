@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,32 @@ def test_sample_takes_whole_people(spark):
     assert 0 < len(people) < 41
     orders = {r[0] for r in sampled.orders.select("order_id").collect()}
     assert {r[0] for r in sampled.items.select("order_id").collect()} <= orders
+
+
+@pytest.mark.parametrize("make", [lambda s: feat._diversity(s, True), feat.wide_v2, joins.items_with_payments])
+def test_a_hot_order_is_split(spark, make):
+    """With thresholds scaled down to the fixture, adaptive execution must split the order that holds most items."""
+    orders = [(f"o{i}", f"c{i}", f"p{i}", "SP", "x", T0) for i in range(400)]
+    items = [(f"o{i % 400 if i % 2 else 7}", i, f"p{i % 4 + 1}", f"s{i % 2 + 1}", "2.00", "0.25") for i in range(20_000)]
+    payments = [(f"o{i}", 1, "card", 1, "2.00") for i in range(400)]
+    shop = make_shop(spark, orders, items, payments, [("r", "o1", 5, None, None)])
+    shop = replace(shop, items=shop.items.repartition(8).persist())
+    expected = make(shop).count()
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rows = make(shop)
+        assert len(rows.collect()) == expected
+        assert "SortMergeJoin(skew=true) [order_id" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        shop.items.unpersist()

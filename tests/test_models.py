@@ -7,8 +7,9 @@ from custlens.operators import clustering as cl, encoding as enc, metrics as met
 from custlens.operators.joins import PERSON
 from custlens.operators.models import classifier
 from custlens.operators.neighbours import nearest_neighbours, vote
-from custlens.plans import classification as cls, features as feat, segmentation as seg
+from custlens.plans import classification as cls, features as feat, segmentation as seg, studies
 from custlens.session import scratch_path
+from custlens.sources import read_star_shop
 from custlens.sources.sinks import load_model, save_model
 
 
@@ -243,3 +244,20 @@ def test_segment_finds_planted_groups(spark):
     assert summary["components"] <= summary["features"] and summary["explained"] >= 0.95
     costs = [r["inertia"] for r in result.sweep.orderBy("k").collect()]
     assert costs == sorted(costs, reverse=True)
+
+
+def test_named_segmentations_run(spark):
+    shop = read_star_shop(spark, "/root/testdata/sf0.001")
+    for name in ("base", "quick", "5pct", "clean"):
+        result = studies.segment_customers(shop, name, ks=range(2, 4), starts=1, max_iter=5)
+        assert result.labelled.count() > 0 and result.sweep.count() == 2
+    assert result.labelled.count() == 150
+
+
+def test_sampled_study_runs(spark):
+    shop = read_star_shop(spark, "/root/testdata/sf0.001")
+    rows = studies.labelled_customers(shop, 0.05)
+    assert 0 < rows.count() < 150
+    result = studies.comparison_study(shop, fraction=1.0, size=0.02)
+    assert result.results.where("error IS NOT NULL").count() == 0
+    assert result.results.count() == 5
