@@ -90,7 +90,7 @@ def _davies_bouldin(df: DataFrame, features: str, cluster: str, labels: list, me
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     counts = df.groupBy(cluster).agg(F.count("*").alias("size"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("size")).scalar()
     return counts.withColumn("percentage", F.col("size") * 100.0 / total)
 
 
@@ -111,11 +111,11 @@ def top_levels(df: DataFrame, column: str, n: int = 2, cluster: str = "cluster")
     """The ``n`` most frequent levels per cluster with their share of the cluster."""
     counts = df.groupBy(cluster, column).agg(F.count("*").alias("n"))
     sizes = counts.groupBy(cluster).agg(F.sum("n").alias("size"))
-    place = F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("n"), column))
+    # Nulls rank last instead of being filtered first, so that both uses share one set of counts.
+    place = F.row_number().over(W.partitionBy(cluster).orderBy(F.col(column).isNull(), F.desc("n"), column))
     return (
-        counts.where(F.col(column).isNotNull())
-        .withColumn("place", place)
-        .where(F.col("place") <= n)
+        counts.withColumn("place", place)
+        .where((F.col("place") <= n) & F.col(column).isNotNull())
         .join(sizes, cluster)
         .select(cluster, column, "n", "place", (F.col("n") * 100.0 / F.col("size")).alias("percentage"))
     )

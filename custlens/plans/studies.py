@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from custlens.functions.hashing import in_sample
 from custlens.operators.joins import PERSON
 from custlens.operators.models import classifier
+from custlens.operators.profile import overview
 from custlens.plans import classification as cls, features as feat, segmentation as seg
-from custlens.sources.shop import Shop
+from custlens.sources import Shop, discover_tables
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,13 @@ def segment_customers(shop: Shop, recipe: str | SegmentRecipe = "clean", **chang
     return seg.segment(rows, plan.ks, pipeline, plan.starts, plan.max_iter)
 
 
+def profile_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", fmt: str = "csv") -> DataFrame:
+    """Profile of every table in a folder, one row per column, and one row with the error of each unreadable table."""
+    tables, errors = discover_tables(spark, folder, pattern, fmt)
+    failed = spark.createDataFrame(sorted(errors.items()), "table_name string, error string")
+    return overview(tables).unionByName(failed, allowMissingColumns=True) if tables else failed
+
+
 def labelled_customers(shop: Shop, fraction: float = 0.05) -> DataFrame:
     """The classifiers' rows, for the people behind a share of the customer rows."""
     return feat.bnpl_features(feat.sample_shop(shop, fraction) if fraction < 1 else shop)

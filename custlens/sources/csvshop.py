@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from custlens.sources.shop import Shop
 
@@ -82,22 +84,27 @@ def read_csv_shop(spark: SparkSession, folder: str, prefix: str = "", suffix: st
 def discover_tables(
     spark: SparkSession, folder: str, pattern: str = "*.csv", fmt: str = "csv"
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Every file or table folder below ``folder`` that matches, and the errors of those that fail.
+    """Every file or table folder in ``folder`` that matches, and the errors of those that fail.
 
-    Listing goes through the Hadoop file system, so any store Spark can read works.
+    Spark itself lists the folder, so any store it can read works; no file content is read for that.
     """
-    paths = _list_paths(spark, f"{folder.rstrip('/')}/{pattern}")
+    folder = folder.rstrip("/")
     tables, errors = {}, {}
-    for path in paths:
-        name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    for entry in _entries(spark, folder):
+        if not fnmatch(entry, pattern):
+            continue
+        name = entry.rsplit(".", 1)[0]
         try:
+            path = f"{folder}/{entry}"
             tables[name] = read_table(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
         except (PySparkException, Py4JError) as error:
             errors[name] = str(error).splitlines()[0]
     return tables, errors
 
 
-def _list_paths(spark: SparkSession, glob: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    file_system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(status.getPath().toString() for status in (file_system.globStatus(path) or []))
+def _entries(spark: SparkSession, folder: str) -> list[str]:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    # Spark may respell the scheme of a path, so only what follows it is looked for.
+    after = F.substring_index("path", folder.split("://")[-1] + "/", -1)
+    entry = F.url_decode(F.replace(F.substring_index(after, "/", 1), F.lit("+"), F.lit("%2B")))
+    return sorted(row[0] for row in files.select(entry.alias("entry")).distinct().collect())

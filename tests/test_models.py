@@ -1,11 +1,13 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
+from custlens.functions.hashing import split_by_hash
 from custlens.operators import clustering as cl, encoding as enc, metrics as met
 from custlens.operators.joins import PERSON
-from custlens.operators.models import classifier
+from custlens.operators.models import RankingEvaluator, RidgeLogistic, classifier
 from custlens.operators.neighbours import nearest_neighbours, vote
 from custlens.plans import classification as cls, features as feat, segmentation as seg, studies
 from custlens.session import scratch_path
@@ -261,3 +263,17 @@ def test_sampled_study_runs(spark):
     result = studies.comparison_study(shop, fraction=1.0, size=0.02)
     assert result.results.where("error IS NOT NULL").count() == 0
     assert result.results.count() == 5
+
+
+def test_evaluator_works_in_cross_validator(spark, people):
+    rows = split_by_hash(people.withColumnRenamed(feat.LABEL, "label"), PERSON, "label", [1 / 3] * 3, "fold")
+    stages = cls.preprocessing(feat.FEATURE_SETS["A"] + ["avg_monetary"], people, scale="standard")
+    model = RidgeLogistic(maxIter=20)
+    search = CrossValidator(
+        estimator=Pipeline(stages=[*stages, model]),
+        estimatorParamMaps=[{model.C: 0.001}, {model.C: 1.0}],
+        evaluator=RankingEvaluator("auc_pr"),
+        foldCol="fold",
+        numFolds=3,
+    ).fit(rows)
+    assert len(search.avgMetrics) == 2 and max(search.avgMetrics) > 0.8

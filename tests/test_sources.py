@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from custlens.plans import features as feat
+from custlens.plans.studies import profile_folder
 from custlens.sources import discover_tables, read_csv_shop, read_table
 from custlens.sources.sinks import write_table
 
@@ -73,3 +74,18 @@ def test_sinks_round_trip(spark, tmp_path, fmt):
         assert rows[0] == (1, 0.1, "a,b")
     else:
         assert rows == [(1, 0.1, "a,b"), (2, None, 'say "x"')]
+
+
+def test_profile_of_a_folder(spark, folder):
+    rows = {(r["table_name"], r["column_name"]): r for r in profile_folder(spark, folder).collect()}
+    assert rows["products_dataset", "product_category_name"]["null_count"] == 1
+    assert rows["products_dataset", "product_category_name"]["null_pct"] == 50.0
+    assert rows["orders_dataset", "order_purchase_timestamp"]["data_type"].startswith("timestamp")
+    assert rows["customers_dataset", "customer_id"]["n_columns"] == 5
+
+
+def test_profile_names_unreadable_tables(spark, tmp_path):
+    write_table(spark.range(3), str(tmp_path / "a good one.parquet"))
+    (tmp_path / "bad.parquet").write_text("not parquet")
+    rows = {r["table_name"]: r for r in profile_folder(spark, str(tmp_path), "*.parquet", "parquet").collect()}
+    assert rows["bad"]["error"] and rows["a good one"]["n_rows"] == 3 and rows["a good one"]["error"] is None
