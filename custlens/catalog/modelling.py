@@ -32,16 +32,56 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
 # --- components and segments -----------------------------------------------------------------------------
 
 
-@query("assemble")
+def _reduced(column: str) -> str:
+    """The column with its ten most frequent levels, the rest under one name, as SQL."""
+    return f"""CASE WHEN {column} IN (SELECT {column} FROM fc GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)
+               THEN {column} ELSE '{seg.OTHERS[column]}' END"""
+
+
+@query(
+    "assemble",
+    with_views(
+        "fc",
+        "reduced AS (SELECT *, " + ", ".join(f"{_reduced(c)} AS r_{c}" for c in feat.GEOGRAPHY) + " FROM fc)",
+        query="SELECT customer_unique_id, CAST("
+        + " + ".join(
+            [
+                f"""CAST(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM fc)) <> 0
+                    AND (SELECT count(DISTINCT {c}) FROM fc) > 1 AS INTEGER)"""
+                for c in feat.SEGMENT_NUMERIC
+            ]
+            + [f"CAST(r_{c} > (SELECT min(r_{c}) FROM reduced) AS INTEGER)" for c in feat.GEOGRAPHY]
+        )
+        + " AS INTEGER) AS filled FROM reduced",
+    ),
+)
 def assemble(spark: SparkSession, folder: str) -> DataFrame:
-    """Assembled vectors: how many slots each has filled, and the total over them."""
+    """Assembled vectors: how many slots each has filled."""
     rows = _clean(spark, folder)
     ready = seg.preparation(variance=None).fit(rows).transform(rows)
     filled = F.filter(vector_to_array("features"), lambda v: v != 0)
     return ready.select(PERSON, F.size(filled).alias("filled"))
 
 
-@query("feature_names")
+_NAMED = feat.RFM + feat.BEHAVIOUR
+
+
+@query(
+    "feature_names",
+    with_views(
+        "f3",
+        query="SELECT feature, filled FROM ("
+        + " UNION ALL ".join(
+            [
+                f"""SELECT '{c}' AS feature, count(*) FILTER (coalesce({c}, m) <> m) AS filled
+                    FROM f3 CROSS JOIN (SELECT quantile_cont({c}, 0.5) AS m FROM f3)"""
+                for c in _NAMED
+            ]
+            + [f"SELECT '{c}_' || {c}, count(*) FROM f3 GROUP BY {c}" for c in feat.GEOGRAPHY]
+        )
+        + ") WHERE filled > 0",
+    ),
+)
 def feature_names(spark: SparkSession, folder: str) -> DataFrame:
     """Each slot of the assembled training vector by name, with how many rows fill it."""
     rows = _labelled(spark, folder).withColumnRenamed(feat.LABEL, "label")
@@ -248,7 +288,7 @@ def sink_results(spark: SparkSession, folder: str) -> DataFrame:
     return result
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", with_views("f3", query="SELECT count(*) AS n_rows, count(*) AS n_equal FROM f3"))
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of a pipeline before and after it was saved and loaded."""
     rows = _labelled(spark, folder).withColumnRenamed(feat.LABEL, "label")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def exact_quantiles(
@@ -17,10 +19,10 @@ def exact_quantiles(
     """Rows ``(*by, feature, probability, value)`` with linearly interpolated exact quantiles.
 
     Two passes over ``df``, so materialise it first when it is costly. The first pass brackets every
-    quantile with a mergeable sketch. In the second, all rows below and all rows above a bracket
-    collapse to one row per task, and equal values inside it to one row, so only about
-    ``4 / accuracy`` of the rows are shuffled and ranked: raise ``accuracy`` with the data. ``by`` must
-    be a label with few levels, as the brackets (levels x columns x probabilities rows) are broadcast.
+    quantile with a mergeable sketch. In the second, the rows between two brackets collapse to one row
+    per task, and equal values inside a bracket to one row, so only about ``4 / accuracy`` of the rows are
+    shuffled and ranked per probability: raise ``accuracy`` with the data. ``by`` must be a label with few
+    levels, as the brackets (one row per level and column) are broadcast.
     """
     by = list(by)
     values = (
@@ -31,53 +33,49 @@ def exact_quantiles(
     margin = 2.0 / accuracy
     lows = [max(0.0, p - margin) for p in probabilities]
     highs = [min(1.0, p + margin) for p in probabilities]
-    brackets = (
-        values.groupBy(*by, "feature")
-        .agg(
-            F.count("*").alias("rows"),
-            F.percentile_approx("value", lows, accuracy).alias("low"),
-            F.percentile_approx("value", highs, accuracy).alias("high"),
-        )
-        .withColumn("probability", F.array(*(F.lit(float(p)) for p in probabilities)))
-        .select(*by, "feature", "rows", F.inline(F.arrays_zip("probability", "low", "high")))
+    brackets = values.groupBy(*by, "feature").agg(
+        F.count("*").alias("rows"),
+        F.percentile_approx("value", lows, accuracy).alias("lows"),
+        F.percentile_approx("value", highs, accuracy).alias("highs"),
     )
-    group = [*by, "feature", "probability", "rows"]
-    side = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
-    position = (F.col("rows") - 1) * F.col("probability")
-    first, last = F.floor(position), F.ceil(position)
-    counted = (
+    value, places = F.col("value"), range(len(probabilities))
+    inside = reduce(or_, ((value >= F.get("lows", F.lit(i))) & (value <= F.get("highs", F.lit(i))) for i in places))
+    # A value outside all brackets belongs to the gap after the brackets it has passed.
+    gap = reduce(add, ((value > F.get("highs", F.lit(i))).cast("int") for i in places))
+    ranked = (
         values.join(F.broadcast(brackets), [*by, "feature"])
-        .withColumn("side", side)
-        .groupBy(*group, "side", F.when(F.col("side") == 0, F.col("value")).alias("inside"))
+        .withColumn("inside", F.when(inside, value))
+        .groupBy(*by, "feature", "rows", "inside", F.when(F.col("inside").isNull(), gap).alias("gap"))
         .agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-        # A side stands for its value next to the bracket.
-        .withColumn("value", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
-        .withColumn("up_to", F.sum("n").over(W.partitionBy(*group).orderBy("value")))
+        .withColumn("up_to", F.sum("n").over(W.partitionBy(*by, "feature").orderBy("least")))
+        .withColumn("probability", F.explode(F.array(*(F.lit(float(p)) for p in probabilities))))
+        .withColumn("position", (F.col("rows") - 1) * F.col("probability"))
     )
-    below = F.coalesce(F.max(F.when(F.col("side") < 0, F.col("n"))), F.lit(0))
-    upto_high = F.coalesce(F.max(F.when(F.col("side") <= 0, F.col("up_to"))), F.lit(0))
+    first, last = F.floor("position"), F.ceil("position")
     return (
-        counted.groupBy(*group)
-        .agg(
-            below.alias("below"),
-            upto_high.alias("upto_high"),
-            F.min(F.when(F.col("up_to") > first, F.col("value"))).alias("lower"),
-            F.min(F.when(F.col("up_to") > last, F.col("value"))).alias("upper"),
-        )
+        ranked.groupBy(*by, "feature", "probability", "position")
+        .agg(F.max(_value_at(first)).alias("lower"), F.max(_value_at(last)).alias("upper"))
         .select(
             *by,
             "feature",
             "probability",
-            F.when(
-                (first < F.col("below") - 1) | (last > F.col("upto_high")),
-                F.raise_error(F.lit("quantile outside its bracket: raise accuracy")).cast("double"),
-            )
-            .otherwise(F.col("lower") + (position - first) * (F.col("upper") - F.col("lower")))
-            .alias("value"),
+            (F.col("lower") + (F.col("position") - first) * (F.col("upper") - F.col("lower"))).alias("value"),
         )
     )
 
 
+def _value_at(rank: Column) -> Column:
+    """The value of a rank if it falls on this row; of a gap only the first and the last value are known."""
+    here = (rank < F.col("up_to")) & (rank >= F.col("up_to") - F.col("n"))
+    found = (
+        F.when(F.col("inside").isNotNull(), F.col("inside"))
+        .when(rank == F.col("up_to") - 1, F.col("most"))
+        .when(rank == F.col("up_to") - F.col("n"), F.col("least"))
+        .otherwise(F.raise_error(F.lit("quantile outside its bracket: raise accuracy")).cast("double"))
+    )
+    return F.when(here, found)
+
+
 def collect_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000
 ) -> dict[str, list[float | None]]:
