@@ -80,6 +80,8 @@ def collect_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000
 ) -> dict[str, list[float | None]]:
     """The quantiles as ``{column: [value per probability]}``; None for a column without values."""
+    if not columns:
+        return {}
     rows = exact_quantiles(df, columns, probabilities, accuracy=accuracy).collect()
     found = {(row["feature"], row["probability"]): row["value"] for row in rows}
     return {c: [found.get((c, float(p))) for p in probabilities] for c in columns}

@@ -63,9 +63,10 @@ class FillMissing(_ColumnEstimator):
 
     def _fit(self, dataset: DataFrame) -> "FilledMissing":
         columns, strategy = self.getInputCols(), self.getOrDefault("strategy")
-        if strategy == "mean":
-            row = dataset.agg(*(F.avg(known(c)).alias(c) for c in columns)).first()
-            found = row.asDict() if columns else {}
+        if not columns:
+            found = {}
+        elif strategy == "mean":
+            found = dataset.agg(*(F.avg(known(c)).alias(c) for c in columns)).first().asDict()
         elif strategy == "median":
             found = {c: values[0] for c, values in collect_quantiles(dataset, columns, [0.5]).items()}
         elif strategy == "mode":

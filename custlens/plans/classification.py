@@ -9,9 +9,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,15 +21,16 @@ from custlens.operators.joins import PERSON
 from custlens.operators.models import LABEL, RankingEvaluator, boosting, classifier, scores, Forest, Perceptron, RidgeLogistic
 from custlens.operators.stages import FillMissing, KeepTopLevels, QuantileBins, ScaleColumns, VariancePCA, slot_names
 from custlens.plans import features as feat
-from custlens.session import materialize
+from custlens.session import in_parallel, materialize
 
 TEST_SHARE = 0.2
 
-# Models of the three experiments and names of the preprocessing variants.
+# Models of the three experiments, names of the best model and of the preprocessing variants.
 GRID_MODELS = ["Logistic Regression", "Random Forest", "Gradient Boosting"]
 COMPARED_MODELS = [*GRID_MODELS, "HistGradientBoosting", "MLPClassifier"]
 EXPERIMENT_MODELS = [*GRID_MODELS, "KNeighbors_5"]
 SEARCHED_MODELS = ["Gradient Boosting", "Random Forest", "Logistic Regression", "MLPClassifier"]
+BEST_MODEL, BEST_FEATURES = "Gradient Boosting", "C (RFM + behavioral + geographic)"
 PREPROCESSINGS = {
     "StandardScale_OneHot": {"scale": "standard"},
     "RobustScale_OneHot": {"scale": "robust"},
@@ -189,13 +188,6 @@ def run_grid(train: DataFrame, test: DataFrame, cells: Sequence[Cell], paralleli
     return GridResult(results, scored, models)
 
 
-def in_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
-    """Results of the tasks, run on driver threads that submit Spark jobs side by side."""
-    inherit = inheritable_thread_target(SparkSession.active())
-    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        return pool.map(lambda task: task(), [inherit(task) for task in tasks], chunksize=1)
-
-
 def _attempt(task: Callable) -> tuple:
     """``(result, None)``, or ``(None, first line of the error)``: a failure belongs to its cell only."""
     try:
@@ -372,7 +364,7 @@ def best_model(rows: DataFrame, fraction: float, size: float = 1.0) -> BestModel
     columns = feat.FEATURE_SETS["C"]
     stages = preprocessing(columns, train, fill="median", scale="robust")
     prep, ready_train, ready_test = _prepare(stages, train, test)
-    fitted = classifier("Gradient Boosting", size).fit(ready_train)
+    fitted = classifier(BEST_MODEL, size).fit(ready_train)
     scored = materialize(scores(fitted.transform(ready_test), PERSON), "scored")
     names = slot_names(ready_train, "features")
     spark = rows.sparkSession
@@ -385,8 +377,8 @@ def best_model(rows: DataFrame, fraction: float, size: float = 1.0) -> BestModel
         "n_cat_after_onehot": len(names) - (len(columns) - len(strings)),
     }
     card = met.ranking_metrics(scored).select(
-        F.lit("Gradient Boosting").alias("model"),
-        F.lit("C (RFM + behavioral + geographic)").alias("feature_set"),
+        F.lit(BEST_MODEL).alias("model"),
+        F.lit(BEST_FEATURES).alias("feature_set"),
         "auc_roc",
         "auc_pr",
         F.lit(fraction).alias("sample_frac"),

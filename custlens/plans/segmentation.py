@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from custlens.operators import clustering as cl, encoding as enc
 from custlens.operators.stages import FillMissing, KeepTopLevels, ScaleColumns, VariancePCA, vector_size
 from custlens.plans import features as feat
-from custlens.session import materialize
+from custlens.session import in_parallel, materialize
 
 # Names of the rest levels.
 OTHERS = {"customer_state": "Other_State", "customer_city": "Other_City"}
@@ -69,22 +69,27 @@ def segment(
     pipeline: Pipeline | None = None,
     starts: int = 1,
     max_iter: int = 100,
+    parallelism: int = 4,
 ) -> Segmentation:
     """Fit k-means for every ``k`` on the prepared rows and keep the first with the best silhouette.
 
-    The rows and their vectors are written once; the sweep then only reads the vectors.
+    The rows and their vectors are written once; the sweep then only reads the vectors. Up to
+    ``parallelism`` values of ``k`` run side by side, each holding its own copy of the vectors in memory.
     """
     spark = rows.sparkSession
     rows = materialize(rows, "rows")
     fitted = (pipeline or preparation()).fit(rows)
     prepared = materialize(fitted.transform(rows).select(*rows.columns, "features"), "vectors")
     vectors = prepared.select("features")
-    scored, models = [], {}
-    for k in ks:
-        models[k] = cl.fit_kmeans(vectors, k, starts, max_iter)
-        labelled = models[k].transform(vectors)
-        s = cl.cluster_scores(labelled)
-        scored.append((k, s["silhouette"], s["calinski_harabasz"], s["davies_bouldin"], models[k].summary.trainingCost))
+
+    def run(k: int) -> tuple:
+        model = cl.fit_kmeans(vectors, k, starts, max_iter)
+        s = cl.cluster_scores(model.transform(vectors))
+        scores = (k, s["silhouette"], s["calinski_harabasz"], s["davies_bouldin"], model.summary.trainingCost)
+        return scores, model
+
+    runs = in_parallel([lambda k=k: run(k) for k in ks], parallelism)
+    scored, models = [scores for scores, _ in runs], {scores[0]: model for scores, model in runs}
     best_k = max(scored, key=lambda row: (row[1], -row[0]))[0]
     sweep = spark.createDataFrame(
         scored, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double"
