@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from custlens.llm import decontaminate, mixing, quality_net, quality_rules
+from custlens.llm import chat_tools, decontaminate, language, license_scan, mixing, quality_net, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_tool_calls": chat_tools.op2_tool_calls,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op5_language": language.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op8_mixing": mixing.op8_mixing,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_quality_classifier": quality_net.op10_quality_classifier,
 }
 
 ORACLES = {
+    "op2_tool_calls": chat_tools.OP2_SQL,
+    "op4_license_scan": license_scan.OP4_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
