@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from custlens.llm import chat_tools, decontaminate, language, license_scan, mixing, quality_net, quality_rules, secret_scan
+from custlens.llm import chat_tools, decontaminate, language, license_scan, mixing, ngram_join, quality_net, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_language": language.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_quality_classifier": quality_net.op10_quality_classifier,
