@@ -1,6 +1,6 @@
 """Exact Jaccard join of word n-gram sets by vertical partitioning, and the groups that its links make.
 
-1. Each text becomes its set of shingles (64-bit hashes). Equal sets are one class; from here on classes are compared.
+1. Each text becomes its set of shingles (63-bit hashes). Equal sets are one class; from here on classes are compared.
 2. Shingles have one global order: by hash, with the most frequent ones (``HOT`` at most, counted over all documents)
    last. Of a set of n shingles the first ``n - ceil(t n) + 1`` are its prefix, and two sets that are similar
    enough share a shingle of both prefixes. Frequent passages are last, so they make no candidates.
@@ -37,7 +37,7 @@ PERCENT = 75
 FRAGMENTS = 8
 HUB_ROUNDS = 3
 # Only the order of the shingles depends on these two: how many frequent ones are put last, and how often one must
-# stand in a batch of documents to be counted as possibly frequent.
+# stand in about a million words to be counted as possibly frequent.
 HOT = 50_000
 HOT_IN_BATCH = 8
 
@@ -45,7 +45,7 @@ _FIRST, _SECOND = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def _shingles(data: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of the distinct shingles of each text, sorted by row."""
+    """Row and hash (63 bits) of the shingles of each text, sorted by row."""
     rows, starts, ends = words(data, places, SPACED)
     hashes = Rolling(data).hashes(starts, ends)
     values, inside = grams(hashes, rows, n)
@@ -61,11 +61,21 @@ def _shingles(data: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray,
             at.append(short)
             found.append(total)
     row, value = np.concatenate(at), np.concatenate(found)
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    if n > 1:  # the short texts in between
+        order = np.argsort(row, kind="stable")
+        row, value = row[order], value[order]
+    return row, value >> np.uint64(1)
+
+
+def _distinct(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of the distinct keys of each row, sorted; ``row`` is sorted already. ``key`` is used up."""
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        if b - a > 1:
+            key[a:b].sort()
     new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return row[new], value[new]
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
 
 
 def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -77,69 +87,82 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-class _Sets:
-    """Shingle sets of Arrow batches, in the global order."""
+# A shingle's place in the global order: its hash, or this and its rank if it is a frequent one.
+_LAST = np.uint64(1) << np.uint64(63)
+_SLICE_BYTES = 1_000_000
+_TABLE = np.uint64((1 << 20) - 1)
+
 
-    def __init__(self, hot: np.ndarray, n: int, percent: int):
-        self.hot, self.n, self.percent = hot, n, percent  # hot: sorted hashes and, in the same order, their ranks
+class _Sets:
+    """Shingle sets of Arrow batches, as places in the global order."""
 
-    def parts(self, texts: pa.Array):
+    def __init__(self, hot: list[int], n: int, percent: int):
+        """``hot``: the frequent shingles, the most frequent last."""
+        known = np.array(hot, np.uint64)
+        order = np.argsort(known)
+        self.known, self.ranks, self.n, self.percent = known[order], order.astype(np.uint64), n, percent
+        self.table = np.zeros(int(_TABLE) + 1, dtype=bool)
+        self.table[known & _TABLE] = True
+
+    def _keys(self, value: np.ndarray) -> np.ndarray:
+        if len(self.known):
+            maybe = np.flatnonzero(self.table[value & _TABLE])
+            at = np.minimum(np.searchsorted(self.known, value[maybe]), len(self.known) - 1)
+            hit = self.known[at] == value[maybe]
+            value[maybe[hit]] = _LAST | self.ranks[at[hit]]
+        return value
+
+    def _parts(self, texts: pa.Array):
         data, places = buffers(texts)
-        for lo, hi in slices(places):
+        for lo, hi in slices(places, _SLICE_BYTES):
             own = places[lo : hi + 1] - places[lo]
-            row, value = _shingles(lower_ascii(data[places[lo] : places[hi]]), own, self.n)
-            yield hi - lo, row, value
-
-    def _rank(self, value: np.ndarray) -> np.ndarray:
-        known, ranks = self.hot
-        if not len(known):
-            return np.zeros(len(value), np.int64)
-        at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-        return np.where(known[at] == value, ranks[at], 0)
-
-    def digest(self, n: int, row: np.ndarray, value: np.ndarray) -> list[pa.Array]:
-        counts = np.bincount(row, minlength=n)
-        out = [pa.array(counts.astype(np.int64))]
-        for salt in (_FIRST, _SECOND):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(value ^ salt), dtype=np.uint64)])
-            ends = np.cumsum(counts)
-            out.append(pa.array((sums[ends] - sums[ends - counts]).view(np.int64)))
-        return out
+            yield hi - lo, *_shingles(lower_ascii(data[places[lo] : places[hi]]), own, self.n)
+
+    def _sets(self, texts: pa.Array):
+        for n, row, value in self._parts(texts):
+            row, key = _distinct(row, self._keys(value), n)
+            counts = np.bincount(row, minlength=n)
+            digest = [pa.array(counts.astype(np.int64))]
+            for salt in (_FIRST, _SECOND):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(key ^ salt), dtype=np.uint64)])
+                ends = np.cumsum(counts)
+                digest.append(pa.array((sums[ends] - sums[ends - counts]).view(np.int64)))
+            yield n, row, key, counts, digest
 
     def prefixes(self, texts: pa.Array) -> pa.Array:
         out = []
-        for n, row, value in self.parts(texts):
-            counts = np.bincount(row, minlength=n)
-            rank = self._rank(value)
-            order = np.lexsort((value, rank, row))
+        for n, row, key, counts, digest in self._sets(texts):
             place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
-            taken = order[place < _prefix_length(counts, self.percent)[row]]
-            kept = np.bincount(row[taken], minlength=n)
-            names = ["n", "k1", "k2", "prefix"]
-            out.append(pa.StructArray.from_arrays([*self.digest(n, row, value), _lists(value[taken], kept)], names))
+            taken = place < _prefix_length(counts, self.percent)[row]
+            lists = _lists(key[taken], np.bincount(row[taken], minlength=n))
+            out.append(pa.StructArray.from_arrays([*digest, lists], ["n", "k1", "k2", "prefix"]))
         return _joined(out, _PREFIX_TYPE)
 
     def segments(self, texts: pa.Array) -> pa.Array:
         out = []
-        for n, row, value in self.parts(texts):
-            rank = self._rank(value)
-            fragment = (value >> np.uint64(32)).astype(np.int64) * (FRAGMENTS - 1) >> 32
-            fragment = np.where(rank > 0, FRAGMENTS - 1, fragment)
-            order = np.lexsort((value, fragment, row))
+        for n, row, key, _, digest in self._sets(texts):
+            # Hashes are cut evenly into all fragments but the last, which has the frequent shingles.
+            even = ((key >> np.uint64(31)).astype(np.int64) * (FRAGMENTS - 1)) >> 32
+            fragment = np.where(key >= _LAST, FRAGMENTS - 1, even)
             counts = np.bincount(row * FRAGMENTS + fragment, minlength=n * FRAGMENTS)
-            inner = _lists(value[order], counts)
             outer = pa.array(np.arange(n + 1, dtype=np.int32) * FRAGMENTS)
-            segments = pa.ListArray.from_arrays(outer, inner)
-            names = ["n", "k1", "k2", "segments"]
-            out.append(pa.StructArray.from_arrays([*self.digest(n, row, value), segments], names))
+            lists = pa.ListArray.from_arrays(outer, _lists(key, counts))
+            out.append(pa.StructArray.from_arrays([*digest, lists], ["n", "k1", "k2", "segments"]))
         return _joined(out, _SEGMENT_TYPE)
 
     def frequent(self, texts: pa.Array) -> pa.Array:
-        """For the first row of a batch the shingles that many of its texts hold, for the others nothing."""
-        values = [value for _, _, value in self.parts(texts)]
-        seen, counts = np.unique(np.concatenate(values or [np.zeros(0, np.uint64)]), return_counts=True)
-        often = counts >= HOT_IN_BATCH
-        pairs = [{"shingle": s, "n": c} for s, c in zip(seen[often].view(np.int64).tolist(), counts[often].tolist())]
+        """For the first row of a batch the shingles that stand often in a slice of it, for the others nothing."""
+        pairs, held, size = [], [], 0
+        for _, _, value in [*self._parts(texts), (0, None, None)]:
+            if value is not None:
+                held.append(value)
+                size += len(value)
+            if held and (value is None or size > 1_000_000):
+                seen, counts = np.unique(np.concatenate(held), return_counts=True)
+                often = counts >= HOT_IN_BATCH
+                pairs += zip(seen[often].tolist(), counts[often].tolist())
+                held, size = [], 0
+        pairs = [{"shingle": s, "n": c} for s, c in pairs]
         kind = pa.list_(pa.struct([("shingle", pa.int64()), ("n", pa.int64())]))
         return pa.array([pairs] + [None] * (len(texts) - 1) if len(texts) else [], kind)
 
@@ -159,13 +182,8 @@ def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
 class Sets:
     """Columns made from a text column, for one global order."""
 
-    def __init__(self, spark, hot: dict[int, int] | None = None, n: int = SHINGLE, percent: int = PERCENT):
-        ranked = sorted((hot or {}).items(), key=lambda x: (x[1], x[0]))
-        known = np.array([s for s, _ in ranked], np.int64).view(np.uint64)
-        order = np.argsort(known)
-        ranks = np.empty(len(known), np.int64)
-        ranks[:] = order + 1  # a shingle's place from the least frequent on, after sorting by hash
-        self._shared = spark.sparkContext.broadcast(_Sets((known[order], ranks), n, percent))
+    def __init__(self, spark, hot: list[int] = (), n: int = SHINGLE, percent: int = PERCENT):
+        self._shared = spark.sparkContext.broadcast(_Sets(list(hot), n, percent))
 
     def prefixes(self, text: Column) -> Column:
         shared = self._shared
@@ -192,13 +210,11 @@ class Sets:
         return arrow_udf(frequent, "array<struct<shingle:bigint,n:bigint>>")(text)
 
 
-def hot_shingles(texts: DataFrame, n: int = SHINGLE, most: int = HOT) -> dict[int, int]:
-    """The most frequent shingles with counts; a bounded number, counted in all documents."""
+def hot_shingles(texts: DataFrame, n: int = SHINGLE, most: int = HOT) -> list[int]:
+    """The most frequent shingles, the most frequent last; a bounded number, counted in all documents."""
     listed = texts.select(F.explode(Sets(texts.sparkSession, n=n).frequent(F.col("text"))).alias("s"))
     counts = listed.groupBy("s.shingle").agg(F.sum("s.n").alias("n"))
-    return {r["shingle"]: r["n"] for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect()}
-
-
+    return [r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect()][::-1]
 
 
 def _least_common(x: Column, y: Column, percent: int) -> Column:

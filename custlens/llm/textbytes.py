@@ -49,11 +49,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes, and where each text starts in them (one more entry than texts). A null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if texts.null_count:
+        texts = texts.fill_null("")
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
-    places = np.frombuffer(offsets, np.int64, len(texts) + 1 + texts.offset)[texts.offset :]
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    places = np.frombuffer(offsets, np.int64 if wide else np.int32, len(texts) + 1 + texts.offset)[texts.offset :]
+    places = places.astype(np.int64)
     raw = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[places[0] : places[-1]]
     return raw, places - places[0]
 
