@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from custlens.llm import chat_tools, decontaminate, language, license_scan, mixing, ngram_join, quality_net, quality_rules, secret_scan
+from custlens.llm import chat_tools, decontaminate, language, license_scan, mixing, ngram_join, quality_net, quality_rules, repeats, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_tool_calls": chat_tools.op2_tool_calls,
+    "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_language": language.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,

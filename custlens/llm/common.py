@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The words of a text as the size of a document counts them.
@@ -28,3 +30,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """The quarter of the documents that no model may learn from."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Inside, Spark hands ``rows`` rows at a time to Python. For jobs that end inside only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

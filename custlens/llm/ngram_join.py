@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from custlens.llm.common import column, documents, free_name
+from custlens.llm.common import column, documents, free_name, small_batches
 from custlens.llm.textbytes import SPACED, Rolling, buffers, grams, lower_ascii, mixed, slices, words
 from custlens.session import materialize
 
@@ -37,9 +37,9 @@ PERCENT = 75
 FRAGMENTS = 8
 HUB_ROUNDS = 3
 # Only the order of the shingles depends on these two: how many frequent ones are put last, and how often one must
-# stand in about a million words to be counted as possibly frequent.
+# stand in some thousand documents to be counted as possibly frequent.
 HOT = 50_000
-HOT_IN_BATCH = 8
+HOT_IN_BATCH = 4
 
 _FIRST, _SECOND = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -214,7 +214,8 @@ def hot_shingles(texts: DataFrame, n: int = SHINGLE, most: int = HOT) -> list[in
     """The most frequent shingles, the most frequent last; a bounded number, counted in all documents."""
     listed = texts.select(F.explode(Sets(texts.sparkSession, n=n).frequent(F.col("text"))).alias("s"))
     counts = listed.groupBy("s.shingle").agg(F.sum("s.n").alias("n"))
-    return [r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect()][::-1]
+    with small_batches(texts.sparkSession):
+        return [r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect()][::-1]
 
 
 def _least_common(x: Column, y: Column, percent: int) -> Column:
@@ -273,19 +274,8 @@ def contract(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
 
 
-def linked(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    n: int = SHINGLE,
-    percent: int = PERCENT,
-    hub_rounds: int = HUB_ROUNDS,
-) -> DataFrame:
-    """One row per document: ``key, n_shingles, component_id``, the smallest key that its links reach."""
-    spark = docs.sparkSession
-    texts = docs.select(column(docs, key).alias("key"), column(docs, text).alias("text"))
-    sets = Sets(spark, hot_shingles(texts, n), n, percent)
-
+def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, ...]:
+    """Written tables: documents, their classes, prefix shingles that classes share, and the segments of those classes."""
     seen = texts.select("key", sets.prefixes(F.col("text")).alias("s"))
     rows = materialize(seen.select("key", "s.n", "s.k1", "s.k2"), "shingle-rows")
     grouped = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("key").alias("rep"))
@@ -312,8 +302,24 @@ def linked(
     cut = texts.join(keys, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("key", sets.segments(F.col("text")).alias("s"))
     segments = cut.select("key", "s.*").join(wanted, same("")).dropDuplicates(["cid"])
     segments = segments.select("cid", "n", F.posexplode("segments").alias("fragment", "segment")).where(F.size("segment") > 0)
-    segments = materialize(segments, "segments")
+    return rows, classes, tokens, materialize(segments, "segments")
+
+
+def linked(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    n: int = SHINGLE,
+    percent: int = PERCENT,
+    hub_rounds: int = HUB_ROUNDS,
+) -> DataFrame:
+    """One row per document: ``key, n_shingles, component_id``, the smallest key that its links reach."""
+    spark = docs.sparkSession
+    texts = docs.select(column(docs, key).alias("key"), column(docs, text).alias("text"))
+    sets = Sets(spark, hot_shingles(texts, n), n, percent)
 
+    with small_batches(spark):
+        rows, classes, tokens, segments = _prepared(texts, sets)
     roots = materialize(classes.select("cid", F.col("cid").alias("root")), "roots")
     for turn in range(hub_rounds):
         pairs = materialize(_hub_pairs(tokens, roots, turn, percent), "hub-pairs")
