@@ -83,6 +83,7 @@ def take(sized: DataFrame, key: str, seed: str = SEED, buckets: int = BUCKETS, *
         .join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
         .select("p.*", "edge_")
     )
+    plan = materialize(plan, "mix-plan")  # of known size, so documents are not shuffled to meet it
     rows = (
         placed.alias("d")
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))

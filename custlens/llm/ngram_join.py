@@ -5,11 +5,12 @@
    last. Of a set of n shingles the first ``n - ceil(t n) + 1`` are its prefix, and two sets that are similar
    enough share a shingle of both prefixes. Frequent passages are last, so they make no candidates.
 3. Classes that share a prefix shingle are candidates. They are not paired with each other: in each group all are
-   paired with one hub, the class whose prefix is the most widely shared, and pairs are as many as prefix shingles.
-   Then classes already in one component need no further comparison; after ``HUB_ROUNDS`` rounds with ever new
-   hubs, what is left are pairs of classes of different components, and those are all compared, if their sizes
-   allow it and their prefixes have as many shingles in common as similar sets must have. So no link is lost that
-   joins two components, and copies of one text are never paired with one another.
+   paired with a hub, once the class whose prefix is the most widely shared and ``HUB_TURNS - 1`` times one drawn by a
+   hash, so pairs are as many as prefix shingles. Of them those are verified that meet in as many groups as similar sets
+   must. Classes that are in one component then need no further comparison; what is left are pairs of classes of
+   different components, and those are all compared, if their sizes allow it and their prefixes have as many
+   shingles in common as similar sets must have. So no link is lost that joins two components, and copies of one
+   text are never paired with one another.
 4. A pair is verified by vertical partitioning: the global order is cut into ``FRAGMENTS`` fragments, each set into its
    segments, overlaps are counted per fragment and summed per pair.
 5. Components of the links by contraction: each root hangs itself below its smallest neighbour, paths are halved
@@ -35,7 +36,7 @@ from custlens.session import materialize
 SHINGLE = 5
 PERCENT = 75
 FRAGMENTS = 8
-HUB_ROUNDS = 3
+HUB_TURNS = 2
 # Only the order of the shingles depends on these two: how many frequent ones are put last, and how often one must
 # stand in some thousand documents to be counted as possibly frequent.
 HOT = 50_000
@@ -228,15 +229,22 @@ def _least_common(x: Column, y: Column, percent: int) -> Column:
 def verified(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the pairs ``a, b`` those that are similar enough: overlaps are counted per fragment and summed per pair.
 
-    ``segments``: ``cid, fragment, n, segment``. Both joins are on two shuffled sides, so a hub with many partners is split.
+    ``segments``: ``cid, fragment, n, segment``, and ``copies``, how often each of them stands there. Both joins are on two
+    shuffled sides, so a hub with many partners is split.
     """
-    of_a = segments.select(F.col("cid").alias("a"), "fragment", F.col("segment").alias("seg_a"), F.col("n").alias("n_a"))
-    of_b = segments.select(
-        F.col("cid").alias("b"), F.col("fragment").alias("f_b"), F.col("segment").alias("seg_b"), F.col("n").alias("n_b")
+    side = lambda name: segments.select(
+        F.col("cid").alias(name),
+        F.col("fragment").alias(f"f_{name}"),
+        F.col("segment").alias(f"seg_{name}"),
+        F.col("n").alias(f"n_{name}"),
+        F.col("copies").alias(f"c_{name}"),
     )
-    both = pairs.join(of_a, "a").join(of_b, "b").where(F.col("fragment") == F.col("f_b"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("f_a = f_b")
     partial = F.size(F.array_intersect("seg_a", "seg_b")).cast("long")
-    total = both.groupBy("a", "b").agg(F.sum(partial).alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    total = both.groupBy("a", "b").agg(
+        F.sum(partial).alias("sum"), *(F.max(x).alias(x) for x in ("n_a", "n_b", "c_a", "c_b"))
+    )
+    total = total.withColumn("common", F.expr("sum div (c_a * c_b)"))
     similar = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
     return total.where(similar).select("a", "b")
 
@@ -274,35 +282,45 @@ def contract(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
 
 
-def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, ...]:
-    """Written tables: documents, their classes, prefix shingles that classes share, and the segments of those classes."""
+def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: documents, their classes, and the prefix shingles that classes share.
+
+    A class is stood for by its smallest key; ``copies`` counts the rows that have this key and this set.
+    """
     seen = texts.select("key", sets.prefixes(F.col("text")).alias("s"))
     rows = materialize(seen.select("key", "s.n", "s.k1", "s.k2"), "shingle-rows")
-    grouped = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("key").alias("rep"))
-    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
+    per_key = rows.where("n > 0").groupBy("k1", "k2", "n", "key").agg(F.count("*").alias("copies"))
+    grouped = per_key.groupBy("k1", "k2", "n").agg(F.min(F.struct("key", "copies")).alias("r"))
+    classes = grouped.select("k1", "k2", "n", F.col("r.key").alias("rep"), "r.copies")
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
 
-    # One text stands for each class. Only shingles that two classes have in their prefixes matter.
     chosen = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "cid")
-    same = lambda s: (F.col(f"{s}k1") == F.col("c1")) & (F.col(f"{s}k2") == F.col("c2")) & F.col("key").eqNullSafe(F.col("rep"))
-    tokens = (
-        seen.select("key", "s.*")
-        .where("n > 0")
-        .join(chosen, same(""))
-        .select("cid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    )
+    same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("key").eqNullSafe(F.col("rep"))
+    tokens = seen.select("key", "s.*").where("n > 0").join(chosen, same)
+    tokens = tokens.select("cid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
     tokens = materialize(tokens, "prefix-tokens")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    tokens = materialize(tokens.join(counts, "token").select("token", "cid", "n", "df"), "shared-tokens")
+    # Only shingles that two classes have in their prefixes matter.
+    counts = tokens.groupBy("token").agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"), F.count("*").alias("df"))
+    tokens = tokens.join(counts.where("c1 != c2").select("token", "df"), "token").select("token", "cid", "n", "df")
+    tokens = materialize(tokens.dropDuplicates(["token", "cid"]), "shared-tokens")
     centre = tokens.groupBy("cid").agg(F.avg("df").alias("centre"))
-    tokens = materialize(tokens.drop("df").join(centre, "cid"), "placed-tokens")
+    return rows, classes, materialize(tokens.drop("df").join(centre, "cid"), "placed-tokens")
+
 
-    # Segments of the classes that share a prefix shingle with another one.
-    wanted = centre.select("cid").join(classes, "cid").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "cid")
-    keys = wanted.select(F.col("rep").alias("wanted")).distinct()
-    cut = texts.join(keys, F.col("key").eqNullSafe(F.col("wanted")), "left_semi").select("key", sets.segments(F.col("text")).alias("s"))
-    segments = cut.select("key", "s.*").join(wanted, same("")).dropDuplicates(["cid"])
-    segments = segments.select("cid", "n", F.posexplode("segments").alias("fragment", "segment")).where(F.size("segment") > 0)
-    return rows, classes, tokens, materialize(segments, "segments")
+def _segments(texts: DataFrame, sets: Sets, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Written segments of the classes in ``pairs``. Their keys are a table of known size, broadcast if it is small."""
+    cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = classes.join(cids, "cid").select(
+        F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "copies", "cid"
+    )
+    wanted = materialize(wanted, "wanted-classes")
+    with small_batches(texts.sparkSession):
+        cut = texts.join(wanted, F.col("key").eqNullSafe(F.col("rep"))).select(
+            "cid", "copies", "c1", "c2", sets.segments(F.col("text")).alias("s")
+        )
+        own = cut.where((F.col("s.k1") == F.col("c1")) & (F.col("s.k2") == F.col("c2")))
+        parts = own.select("cid", "copies", "s.n", F.posexplode("s.segments").alias("fragment", "segment"))
+        return materialize(parts.where(F.size("segment") > 0), "segments")
 
 
 def linked(
@@ -311,7 +329,7 @@ def linked(
     text: str = "text",
     n: int = SHINGLE,
     percent: int = PERCENT,
-    hub_rounds: int = HUB_ROUNDS,
+    hub_turns: int = HUB_TURNS,
 ) -> DataFrame:
     """One row per document: ``key, n_shingles, component_id``, the smallest key that its links reach."""
     spark = docs.sparkSession
@@ -319,15 +337,15 @@ def linked(
     sets = Sets(spark, hot_shingles(texts, n), n, percent)
 
     with small_batches(spark):
-        rows, classes, tokens, segments = _prepared(texts, sets)
-    roots = materialize(classes.select("cid", F.col("cid").alias("root")), "roots")
-    for turn in range(hub_rounds):
-        pairs = materialize(_hub_pairs(tokens, roots, turn, percent), "hub-pairs")
-        if pairs.isEmpty():
-            break
-        roots = contract(roots, materialize(verified(pairs, segments, percent), "links"))
-    rest = materialize(_rest_pairs(tokens, roots, percent), "rest-pairs")
-    roots = contract(roots, materialize(verified(rest, segments, percent), "links"))
+        rows, classes, tokens = _prepared(texts, sets)
+    roots = classes.select("cid", F.col("cid").alias("root"))
+    hubs = _hub_pairs(tokens, 0, percent)
+    for turn in range(1, hub_turns):
+        hubs = hubs.unionByName(_hub_pairs(tokens, turn, percent))
+    for step in (lambda: hubs.distinct(), lambda: _rest_pairs(tokens, roots, percent)):
+        pairs = materialize(step(), "pairs")
+        links = verified(pairs, _segments(texts, sets, classes, pairs), percent)
+        roots = contract(materialize(roots, "roots"), materialize(links, "links"))
 
     placed = classes.join(roots, "cid").select("k1", "k2", "rep", "root")
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
@@ -338,29 +356,26 @@ def linked(
     )
 
 
-def _rooted(tokens: DataFrame, roots: DataFrame) -> DataFrame:
-    """Tokens whose groups still hold classes of several components, with their ``root``."""
-    placed = tokens.join(roots, "cid")
-    mixed_ = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    return placed.join(mixed_.select("token"), "token")
-
+def _hub_pairs(tokens: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each class of a group with the group's hub, if they meet in enough groups and their sizes allow a link.
 
-def _hub_pairs(tokens: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each class of a group with the group's hub, if they are in different components and their sizes allow a link.
-
-    The first hub is the most central class; later ones are drawn by a hash, another for each turn.
+    The first hub is the most central class, later ones are drawn by a hash. Classes that also meet where another
+    class is the hub may be missed here; ``_rest_pairs`` finds them.
     """
-    placed = _rooted(tokens, roots)
     order = F.col("centre") if turn == 0 else F.xxhash64("cid", F.lit(turn)).cast("double")
-    hubs = placed.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cid", "n", "root")).alias("hub"))
-    both = placed.join(hubs, "token").where("root != hub.root")
-    fits = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    return both.where(fits).select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+    hubs = tokens.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cid", "n")).alias("hub"))
+    both = tokens.join(hubs, "token").where("cid != hub.cid")
+    fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    met = both.where(fits).groupBy(F.col("cid").alias("x"), F.col("hub.cid").alias("y"), "n", F.col("hub.n").alias("m"))
+    near = met.agg(F.count("*").alias("common")).where(F.col("common") >= _least_common(F.col("n"), F.col("m"), percent))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _rest_pairs(tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share enough prefix shingles and whose sizes allow a link."""
-    placed = materialize(_rooted(tokens, roots), "rest-tokens")
+    rooted = tokens.join(roots, "cid")
+    several = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    placed = materialize(rooted.join(several.select("token"), "token"), "rest-tokens")
     x = placed.select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
     y = placed.select("token", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -369,12 +384,24 @@ def _rest_pairs(tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return common.where(F.col("common") >= _least_common(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row left of each group of linked texts. Texts without words are all left."""
-    row = free_name(docs, "row")
-    written = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-docs")
-    groups = linked(written, row, text).where(F.col(row) == F.col("component_id")).select(F.col(row).alias("kept_"))
-    return written.join(groups, F.col(row) == F.col("kept_"), "left_semi").drop(row)
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row left of each group of linked texts. Texts without words are all left.
+
+    Rows are told apart by their key and a hash of their text; of a row that is repeated whole, one is left. What goes is
+    a written table of known size, broadcast if it is small.
+    """
+    name, copy = free_name(docs, "row"), free_name(docs, "copy")
+    row = F.struct(column(docs, key).alias("key"), F.xxhash64(column(docs, text)).alias("hash"))
+    keyed = docs.withColumn(name, row)
+    groups = materialize(linked(keyed, name, text).where("n_shingles > 0"), "near-copies")
+    gone = groups.where(F.col(name) != F.col("component_id")).select(F.col(name).alias("gone"))
+    gone = materialize(gone.distinct(), "gone-rows")
+    left = keyed.join(gone, F.col(name) == F.col("gone"), "left_anti")
+    again = groups.groupBy(name).agg(F.count("*").alias(copy)).where(F.col(copy) > 1).select(F.col(name).alias("again"))
+    again = materialize(again, "repeated-rows")
+    once = left.join(again, F.col(name) == F.col("again"), "left_anti")
+    many = left.join(again, F.col(name) == F.col("again"), "left_semi").dropDuplicates([name])
+    return once.unionByName(many).select(*(column(docs, c) for c in docs.columns))
 
 
 def op7_ngram_join(spark, folder):
