@@ -5,8 +5,8 @@
    last. Of a set of n shingles the first ``n - ceil(t n) + 1`` are its prefix, and two sets that are similar
    enough share a shingle of both prefixes. Frequent passages are last, so they make no candidates.
 3. Classes that share a prefix shingle are candidates. They are not paired with each other: in each group all are
-   paired with a hub, once the class whose prefix is the most widely shared and ``HUB_TURNS - 1`` times one drawn by a
-   hash, so pairs are as many as prefix shingles. Of them those are verified that meet in as many groups as similar sets
+   paired with a hub, the class whose prefix is the most widely shared, so pairs are as many as prefix shingles.
+   ``HUB_TURNS - 1`` more times the classes outside a group's largest component are paired with a member of it. Of them those are verified that meet in as many groups as similar sets
    must. Classes that are in one component then need no further comparison; what is left are pairs of classes of
    different components, and those are all compared, if their sizes allow it and their prefixes have as many
    shingles in common as similar sets must have. So no link is lost that joins two components, and copies of one
@@ -36,7 +36,7 @@ from custlens.session import materialize
 SHINGLE = 5
 PERCENT = 75
 FRAGMENTS = 8
-HUB_TURNS = 2
+HUB_TURNS = 5
 # Only the order of the shingles depends on these two: how many frequent ones are put last, and how often one must
 # stand in some thousand documents to be counted as possibly frequent.
 HOT = 50_000
@@ -303,13 +303,20 @@ def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame, DataF
     counts = tokens.groupBy("token").agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"), F.count("*").alias("df"))
     tokens = tokens.join(counts.where("c1 != c2").select("token", "df"), "token").select("token", "cid", "n", "df")
     tokens = materialize(tokens.dropDuplicates(["token", "cid"]), "shared-tokens")
-    centre = tokens.groupBy("cid").agg(F.avg("df").alias("centre"))
+    centre = tokens.groupBy("cid").agg((F.sum("df") / F.max("n")).alias("centre"))
     return rows, classes, materialize(tokens.drop("df").join(centre, "cid"), "placed-tokens")
 
 
-def _segments(texts: DataFrame, sets: Sets, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Written segments of the classes in ``pairs``. Their keys are a table of known size, broadcast if it is small."""
+def _segments(
+    texts: DataFrame, sets: Sets, classes: DataFrame, pairs: DataFrame, known: DataFrame | None = None
+) -> DataFrame:
+    """Written segments of the classes in ``pairs``, without those ``known``.
+
+    Their keys are a table of known size, broadcast if it is small.
+    """
     cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    if known is not None:
+        cids = cids.join(known.select("cid").distinct(), "cid", "left_anti")
     wanted = classes.join(cids, "cid").select(
         F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "copies", "cid"
     )
@@ -339,13 +346,21 @@ def linked(
     with small_batches(spark):
         rows, classes, tokens = _prepared(texts, sets)
     roots = classes.select("cid", F.col("cid").alias("root"))
-    hubs = _hub_pairs(tokens, 0, percent)
-    for turn in range(1, hub_turns):
-        hubs = hubs.unionByName(_hub_pairs(tokens, turn, percent))
-    for step in (lambda: hubs.distinct(), lambda: _rest_pairs(tokens, roots, percent)):
-        pairs = materialize(step(), "pairs")
-        links = verified(pairs, _segments(texts, sets, classes, pairs), percent)
-        roots = contract(materialize(roots, "roots"), materialize(links, "links"))
+    segments = None
+    for turn in range(hub_turns):
+        pairs = materialize(_hub_pairs(tokens, roots, turn, percent), "hub-pairs")
+        if pairs.isEmpty():
+            break
+        fresh = _segments(texts, sets, classes, pairs, segments)
+        segments = fresh if segments is None else segments.unionByName(fresh)
+        links = materialize(verified(pairs, segments, percent), "links")
+        if links.isEmpty():
+            break
+        roots = contract(materialize(roots, "roots"), links)
+    pairs = materialize(_rest_pairs(tokens, roots, percent), "rest-pairs")
+    fresh = _segments(texts, sets, classes, pairs, segments)
+    segments = fresh if segments is None else segments.unionByName(fresh)
+    roots = contract(roots, materialize(verified(pairs, segments, percent), "links"))
 
     placed = classes.join(roots, "cid").select("k1", "k2", "rep", "root")
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
@@ -356,18 +371,22 @@ def linked(
     )
 
 
-def _hub_pairs(tokens: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each class of a group with the group's hub, if they meet in enough groups and their sizes allow a link.
+def _hub_pairs(tokens: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Classes of a group with the group's hub, if they are in different components and their sizes allow a link.
 
-    The first hub is the most central class, later ones are drawn by a hash. Classes that also meet where another
-    class is the hub may be missed here; ``_rest_pairs`` finds them.
+    The first hub is the most central class. Later ones are drawn by a hash from the largest component of the group, so
+    only classes that are not in it yet are paired. Pairs that meet too rarely are left out; ``_rest_pairs`` finds
+    what is missed here.
     """
-    order = F.col("centre") if turn == 0 else F.xxhash64("cid", F.lit(turn)).cast("double")
-    hubs = tokens.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cid", "n")).alias("hub"))
-    both = tokens.join(hubs, "token").where("cid != hub.cid")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    placed = tokens.join(roots.join(sizes, "root"), "cid")
+    order = F.struct("centre", "cid") if turn == 0 else F.struct("size", F.xxhash64("cid", F.lit(turn)), "cid")
+    hubs = placed.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cid", "n", "root")).alias("hub"))
+    both = placed.join(hubs, "token").where("root != hub.root")
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
     met = both.where(fits).groupBy(F.col("cid").alias("x"), F.col("hub.cid").alias("y"), "n", F.col("hub.n").alias("m"))
-    near = met.agg(F.count("*").alias("common")).where(F.col("common") >= _least_common(F.col("n"), F.col("m"), percent))
+    least = _least_common(F.col("n"), F.col("m"), percent)
+    near = met.agg(F.count("*").alias("common")).where(2 * F.col("common") >= least)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
