@@ -20,7 +20,7 @@ from custlens.operators.stages import slot_names
 from custlens.plans import classification as cls, features as feat, segmentation as seg
 from custlens.session import materialize, scratch_path
 from custlens.sources import read_star_shop
-from custlens.sources.sinks import load_model, save_model, write_table
+from custlens.sources.sinks import CSV_OPTIONS, load_model, save_model, write_table
 
 SIZE = 0.05
 
@@ -282,7 +282,7 @@ def sink_results(spark: SparkSession, folder: str) -> DataFrame:
     for name, table in {"card": best.card, "importances": best.importances, "roc": best.roc}.items():
         path = scratch_path(spark, name)
         write_table(table, path, "csv")
-        back = spark.read.schema(table.schema).option("header", True).csv(path)
+        back = spark.read.schema(table.schema).options(**CSV_OPTIONS).csv(path)
         part = back.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
         result = part if result is None else result.unionByName(part)
     return result

@@ -322,7 +322,8 @@ def random_search(
         values = in_parallel(runs, parallelism)
         means = [sum(values[i * folds : (i + 1) * folds]) / folds for i in range(n_iter)]
         trials += [(kind, json.dumps(p, sort_keys=True), mean) for p, mean in zip(candidates, means)]
-        best = max(range(n_iter), key=lambda i: means[i])
+        # A fold with one class has no score: such a candidate is the worst, not the best.
+        best = max(range(n_iter), key=lambda i: -math.inf if math.isnan(means[i]) else means[i])
         tuned, default = (
             met.ranking_metrics(materialize(scores(model.fit(full_train).transform(full_test)), "scored")).first()
             for model in (build(kind, candidates[best], size), classifier(kind, size))
@@ -336,7 +337,7 @@ def random_search(
                 tuned["auc_pr"],
                 default["auc_roc"],
                 default["auc_pr"],
-                tuned["auc_pr"] - default["auc_pr"],
+                tuned[metric] - default[metric],
                 time.perf_counter() - started,
             )
         )

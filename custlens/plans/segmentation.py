@@ -111,10 +111,11 @@ def pca_summary(spark: SparkSession, fitted: PipelineModel) -> DataFrame:
 
 
 def describe(result: Segmentation) -> dict[str, DataFrame]:
-    """Sizes, means, and usual states and cities of the segments."""
+    """Sizes, means of the numeric features that the recipe has, and usual states and cities of the segments."""
+    numeric = [c for c in feat.SEGMENT_NUMERIC if c in result.labelled.columns]
     return {
         "sizes": cl.cluster_sizes(result.labelled),
-        "means": cl.cluster_means(result.labelled, feat.SEGMENT_NUMERIC),
+        "means": cl.cluster_means(result.labelled, numeric),
         "states": cl.top_levels(result.labelled, "customer_state"),
         "cities": cl.top_levels(result.labelled, "customer_city"),
     }

@@ -82,11 +82,12 @@ def read_csv_shop(spark: SparkSession, folder: str, prefix: str = "", suffix: st
 
 
 def discover_tables(
-    spark: SparkSession, folder: str, pattern: str = "*.csv", fmt: str = "csv"
+    spark: SparkSession, folder: str, pattern: str = "*.csv", fmt: str = "csv", multiline: bool = True
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Every file or table folder in ``folder`` that matches, and the errors of those that fail.
 
-    Spark itself lists the folder, so any store it can read works; no file content is read for that.
+    Spark itself lists the folder, so any store it can read works; no file content is read for that. Free text may hold
+    quoted line breaks, so CSV is read with ``multiline`` unless told otherwise.
     """
     folder = folder.rstrip("/")
     tables, errors = {}, {}
@@ -96,7 +97,7 @@ def discover_tables(
         name = entry.rsplit(".", 1)[0]
         try:
             path = f"{folder}/{entry}"
-            tables[name] = read_table(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+            tables[name] = read_table(spark, path, multiline=multiline) if fmt == "csv" else spark.read.format(fmt).load(path)
         except (PySparkException, Py4JError) as error:
             errors[name] = str(error).splitlines()[0]
     return tables, errors

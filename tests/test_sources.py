@@ -5,7 +5,7 @@ import pytest
 from custlens.plans import features as feat
 from custlens.plans.studies import profile_folder
 from custlens.sources import discover_tables, read_csv_shop, read_table
-from custlens.sources.sinks import write_table
+from custlens.sources.sinks import CSV_OPTIONS, write_table
 
 FILES = {
     "customers": "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\n"
@@ -66,14 +66,11 @@ def test_discovery_goes_on_after_a_bad_table(spark, tmp_path):
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
 def test_sinks_round_trip(spark, tmp_path, fmt):
-    df = spark.createDataFrame([(1, 0.1, "a,b"), (2, None, 'say "x"')], "id long, x double, s string")
+    rows = [(1, 0.1, "a,b"), (2, None, 'say "x", now'), (3, 1.0, "two\nlines"), (4, 2.0, ""), (5, 3.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, s string")
     write_table(df, str(tmp_path / fmt), fmt)
-    back = spark.read.schema(df.schema).option("header", True).format(fmt).load(str(tmp_path / fmt))
-    rows = sorted(tuple(r) for r in back.collect())
-    if fmt == "csv":
-        assert rows[0] == (1, 0.1, "a,b")
-    else:
-        assert rows == [(1, 0.1, "a,b"), (2, None, 'say "x"')]
+    reader = spark.read.schema(df.schema).options(**(CSV_OPTIONS if fmt == "csv" else {}))
+    assert sorted(tuple(r) for r in reader.format(fmt).load(str(tmp_path / fmt)).collect()) == rows
 
 
 def test_profile_of_a_folder(spark, folder):
@@ -89,3 +86,10 @@ def test_profile_names_unreadable_tables(spark, tmp_path):
     (tmp_path / "bad.parquet").write_text("not parquet")
     rows = {r["table_name"]: r for r in profile_folder(spark, str(tmp_path), "*.parquet", "parquet").collect()}
     assert rows["bad"]["error"] and rows["a good one"]["n_rows"] == 3 and rows["a good one"]["error"] is None
+
+
+def test_profile_counts_rows_with_line_breaks(spark, tmp_path):
+    text = 'review_id,review_score,message\na,5,"one\ntwo\nthree ""x"""\nb,4,"four\n"\n'
+    (tmp_path / "reviews.csv").write_text(text)
+    rows = {r["column_name"]: r for r in profile_folder(spark, str(tmp_path)).collect()}
+    assert rows["review_score"]["n_rows"] == 2 and rows["review_score"]["null_count"] == 0
