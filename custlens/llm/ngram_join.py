@@ -36,7 +36,7 @@ from custlens.session import materialize
 SHINGLE = 5
 PERCENT = 75
 FRAGMENTS = 8
-HUB_TURNS = 5
+HUB_TURNS = 2
 # Only the order of the shingles depends on these two: how many frequent ones are put last, and how often one must
 # stand in some thousand documents to be counted as possibly frequent.
 HOT = 50_000
