@@ -1,7 +1,6 @@
 """Queries that fit something: components, segments, classifiers, searches; and the sinks.
 
-Numbers of trees and iterations are scaled down by ``SIZE`` to keep a run of all queries short; the
-plans themselves default to full size. Every query reads all rows.
+Every query reads all rows and fits models of full size.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ from custlens.session import materialize, scratch_path
 from custlens.sources import read_star_shop
 from custlens.sources.sinks import CSV_OPTIONS, load_model, save_model, write_table
 
-SIZE = 0.05
-
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(feat.bnpl_features(read_star_shop(spark, folder)), "labelled")
@@ -127,20 +124,20 @@ def kmeans_full(spark: SparkSession, folder: str) -> DataFrame:
     pipeline = seg.preparation(
         feat.SEGMENT_NUMERIC[:9], ["customer_state"], top=None, variance=None, scale_all=False
     )
-    return seg.segment(rows, range(2, 4), pipeline, starts=2, max_iter=20).sweep
+    return seg.segment(rows, range(2, 7), pipeline, starts=10, max_iter=300).sweep
 
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark: SparkSession, folder: str) -> DataFrame:
     rows = feat.features_v2(read_star_shop(spark, folder))
-    return seg.segment(rows, range(2, 7), seg.preparation(variance=0.95), max_iter=20).sweep
+    return seg.segment(rows, range(2, 7), seg.preparation(variance=0.95), max_iter=100).sweep
 
 
 @query("kmeans_best_k")
 def kmeans_best_k(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with the segment of the best k, over top-10 buckets and 90 % of the variance."""
     rows = feat.features_v3(read_star_shop(spark, folder))
-    result = seg.segment(rows, range(2, 5), seg.preparation(variance=0.9), max_iter=20)
+    result = seg.segment(rows, range(2, 5), seg.preparation(variance=0.9), max_iter=30)
     return result.labelled.select(PERSON, "cluster", F.lit(result.best_k).alias("k"))
 
 
@@ -179,20 +176,20 @@ def knn5(spark: SparkSession, folder: str) -> DataFrame:
 @query("grid_feature_sets")
 def grid_feature_sets(spark: SparkSession, folder: str) -> DataFrame:
     train, test = cls.split(_labelled(spark, folder))
-    cells = cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS, SIZE)
+    cells = cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS)
     return cls.run_grid(train, test, cells).results.withColumnsRenamed({"config": "feature_set", "auc_roc": "auc"})
 
 
 @query("grid_preprocessing")
 def grid_preprocessing(spark: SparkSession, folder: str) -> DataFrame:
     train, test = cls.split(_labelled(spark, folder))
-    return cls.run_grid(train, test, cls.experiment_cells(train, size=SIZE)).results
+    return cls.run_grid(train, test, cls.experiment_cells(train)).results
 
 
 @query("rank_experiments")
 def rank_experiments(spark: SparkSession, folder: str) -> DataFrame:
     train, test = cls.split(_labelled(spark, folder))
-    cells = cls.grid_cells(train, list("AB"), cls.GRID_MODELS, SIZE)
+    cells = cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS)
     return cls.rank(cls.run_grid(train, test, cells).results, "auc_pr", 10)
 
 
@@ -201,7 +198,7 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Five models and the boosting preset over all features, with the ROC points of each."""
     train, test = cls.split(_labelled(spark, folder))
     stages = cls.preprocessing(feat.FEATURE_SETS["C"], train, fill="median", scale="robust")
-    cells = [cls.Cell("C", name, stages, classifier(name, SIZE)) for name in [*cls.COMPARED_MODELS, "XGBoost"]]
+    cells = [cls.Cell("C", name, stages, classifier(name)) for name in [*cls.COMPARED_MODELS, "XGBoost"]]
     result = cls.run_grid(train, test, cells)
     points = cls.met.roc_points(result.scored, by=["model"])
     return points.join(result.results.select("model", "auc_roc", "auc_pr", "train_time"), "model")
@@ -210,19 +207,19 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
 @query("random_search")
 def random_search(spark: SparkSession, folder: str) -> DataFrame:
     train, test = cls.split(_labelled(spark, folder))
-    return cls.random_search(train, test, ["Logistic Regression", "Random Forest"], n_iter=3, size=SIZE)[1]
+    return cls.random_search(train, test, cls.SEARCHED_MODELS)[1]
 
 
 @query("tuning_report")
 def tuning_report(spark: SparkSession, folder: str) -> DataFrame:
     train, test = cls.split(_labelled(spark, folder))
-    return cls.random_search(train, test, ["Gradient Boosting", "MLPClassifier"], n_iter=2, folds=2, size=0.02)[0]
+    return cls.random_search(train, test, cls.SEARCHED_MODELS)[0]
 
 
 @query("model_card")
 def model_card(spark: SparkSession, folder: str) -> DataFrame:
     """The metrics record of the best model, as read back from its JSON file."""
-    card = cls.best_model(_labelled(spark, folder), fraction=1.0, size=SIZE).card
+    card = cls.best_model(_labelled(spark, folder), fraction=1.0).card
     path = scratch_path(spark, "card")
     write_table(card, path, "json")
     return spark.read.schema(card.schema).json(path)
@@ -230,12 +227,12 @@ def model_card(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return cls.best_model(_labelled(spark, folder), fraction=1.0, size=SIZE).importances
+    return cls.best_model(_labelled(spark, folder), fraction=1.0).importances
 
 
 @query("topk_importances")
 def topk_importances(spark: SparkSession, folder: str) -> DataFrame:
-    return cls.top_importances(cls.best_model(_labelled(spark, folder), fraction=1.0, size=SIZE).importances, 20)
+    return cls.top_importances(cls.best_model(_labelled(spark, folder), fraction=1.0).importances, 20)
 
 
 # --- sinks -------------------------------------------------------------------------------------------------
@@ -277,7 +274,7 @@ def sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query("sink_results")
 def sink_results(spark: SparkSession, folder: str) -> DataFrame:
     """Result, importance and ROC tables of one best model, written as CSV and counted on return."""
-    best = cls.best_model(_labelled(spark, folder), fraction=1.0, size=SIZE)
+    best = cls.best_model(_labelled(spark, folder), fraction=1.0)
     result = None
     for name, table in {"card": best.card, "importances": best.importances, "roc": best.roc}.items():
         path = scratch_path(spark, name)
@@ -292,7 +289,7 @@ def sink_results(spark: SparkSession, folder: str) -> DataFrame:
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of a pipeline before and after it was saved and loaded."""
     rows = _labelled(spark, folder).withColumnRenamed(feat.LABEL, "label")
-    model = cls.best_model(rows.withColumnRenamed("label", feat.LABEL), fraction=1.0, size=SIZE).model
+    model = cls.best_model(rows.withColumnRenamed("label", feat.LABEL), fraction=1.0).model
     path = scratch_path(spark, "model")
     save_model(model, path)
     before = scores(model.transform(rows), PERSON)

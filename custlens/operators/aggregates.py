@@ -88,45 +88,30 @@ def latest(df: DataFrame, column: str) -> Column:
     return df.agg(F.max(column)).scalar()
 
 
-def weighted_mode(pairs: Column, default: str) -> Column:
-    """Heaviest ``value`` of an array of ``(value, weight)``; ties go to the smallest, none to ``default``."""
-    known = F.filter(pairs, lambda p: p["value"].isNotNull())
-    heaviest = F.array_min(
-        F.transform(
-            F.array_distinct(F.transform(known, lambda p: p["value"])),
-            lambda value: F.struct(
-                (-F.aggregate(
-                    known,
-                    F.lit(0).cast("long"),
-                    lambda total, p: total + F.when(p["value"] == value, p["weight"]).otherwise(0),
-                )).alias("lightness"),
-                value.alias("value"),
-            ),
-        )
-    )
-    return F.coalesce(heaviest["value"], F.lit(default))
+def levels(columns: Sequence[str]) -> Column:
+    """Generator of a row per string column: its ``place`` in ``columns`` and its value as ``level``."""
+    return F.posexplode(F.array(*columns)).alias("place", "level")
+
+
+def heaviest_level(place: int, default: str) -> Column:
+    """Aggregate over rows ``place, level, weight``: the heaviest known level of a place, ties to the smallest."""
+    known = (F.col("place") == place) & F.col("level").isNotNull()
+    heaviest = F.min(F.when(known, F.struct((-F.col("weight")).alias("lightness"), "level")))
+    return F.coalesce(heaviest["level"], F.lit(default))
 
 
 def mode_per_group(
     df: DataFrame, group: str, columns: Sequence[str], weight: Column | None = None, default: str = "unknown"
 ) -> DataFrame:
-    """Most frequent value of each column per group.
+    """Most frequent value of each string column per group.
 
-    Rows collapse to one per distinct combination before they meet their group, so a group of any
-    number of rows costs only its distinct values.
+    Two groupings, by value and by group, that both combine on the map side and keep a row of fixed size per
+    key: a group of any number of rows and values is never gathered.
     """
     weight = F.lit(1) if weight is None else weight
-    return (
-        df.groupBy(group, *columns)
-        .agg(F.sum(weight).cast("long").alias("weight"))
-        .groupBy(group)
-        .agg(*(value_weights(c).alias(c) for c in columns))
-        .select(group, *(weighted_mode(F.col(c), default).alias(c) for c in columns))
-    )
-
-
-def value_weights(column: str, weight: str = "weight") -> Column:
-    return F.collect_list(F.struct(F.col(column).alias("value"), F.col(weight).alias("weight")))
+    weighted = df.select(group, *columns, weight.alias("weight")).select(group, "weight", levels(columns))
+    per_level = weighted.groupBy(group, "place", "level").agg(F.sum("weight").cast("long").alias("weight"))
+    return per_level.groupBy(group).agg(*(heaviest_level(i, default).alias(c) for i, c in enumerate(columns)))
 
 
 def most_frequent(df: DataFrame, column: str) -> DataFrame:

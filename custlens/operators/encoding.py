@@ -36,9 +36,10 @@ def one_hot_stages(columns: Sequence[str], drop_first: bool = False) -> tuple[li
 
 
 def bin_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
-    """Stages that one-hot encode bin numbers, one slot per bin."""
+    """Stages that one-hot encode bin numbers, one slot per learned bin. The last bin holds the greatest training value, so
+    every bin number that the learned edges can give is known after the fit."""
     encoded = [f"{c}_bin" for c in columns]
-    return [OneHotEncoder(inputCols=list(columns), outputCols=encoded, dropLast=False, handleInvalid="keep")], encoded
+    return [OneHotEncoder(inputCols=list(columns), outputCols=encoded, dropLast=False, handleInvalid="error")], encoded
 
 
 def polynomial_stages(columns: Sequence[str], degree: int = 2) -> tuple[list, list[str]]:

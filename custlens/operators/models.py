@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
@@ -77,7 +79,11 @@ class Perceptron(_Sized):
 
 
 class Forest(_Sized):
-    """Random forest whose minimum leaf and split sizes are shares of the training rows."""
+    """Random forest whose minimum leaf and split sizes are shares of the training rows.
+
+    Spark's trees go down to depth 30 at most and their least leaf share is below one half; other values raise a
+    ``ValueError`` when the forest is fitted.
+    """
 
     trees = Param(Params._dummy(), "trees", "number of trees", TypeConverters.toInt)
     depth = Param(Params._dummy(), "depth", "greatest depth", TypeConverters.toInt)
@@ -104,6 +110,11 @@ class Forest(_Sized):
         )
 
     def _fit(self, dataset: DataFrame):
+        depth, leaf_share = self.getOrDefault("depth"), self.getOrDefault("leafShare")
+        if not 0 <= depth <= 30:
+            raise ValueError(f"depth must be from 0 to 30, not {depth}")
+        if not 0 <= leaf_share < 0.5:
+            raise ValueError(f"leafShare must be at least 0 and below 0.5, not {leaf_share}")
         split_share = self.getOrDefault("splitShare")
         # A split of at least f * n rows leaves children of f * n / 2 on average.
         least = max(1, -(-int(split_share * dataset.count()) // 2)) if split_share else 1
@@ -111,9 +122,9 @@ class Forest(_Sized):
             labelCol=self.getLabelCol(),
             featuresCol=self.getFeaturesCol(),
             numTrees=self.getOrDefault("trees"),
-            maxDepth=min(30, self.getOrDefault("depth")),
+            maxDepth=depth,
             featureSubsetStrategy=self.getOrDefault("subset"),
-            minWeightFractionPerNode=min(0.49, self.getOrDefault("leafShare")),
+            minWeightFractionPerNode=leaf_share,
             minInstancesPerNode=least,
             seed=self.getSeed(),
         ).fit(dataset)
@@ -125,18 +136,18 @@ def boosting(trees: int = 100, depth: int = 3, rate: float = 0.1, bins: int = 32
     )
 
 
-# Model kinds by name. ``size`` scales the number of trees and iterations for quick runs.
-def classifier(kind: str, size: float = 1.0) -> Estimator:
-    def scaled(count: int) -> int:
-        return max(2, round(count * size))
-
+def classifier(
+    kind: str, trees: int = 100, depth: int = 30, max_iter: int | None = None, hidden: Sequence[int] = (100,)
+) -> Estimator:
+    """A model kind by name. ``depth`` is that of the forest; without ``max_iter`` the regression makes at most 1000
+    iterations and the network 500."""
     kinds = {
-        "Logistic Regression": lambda: RidgeLogistic(maxIter=scaled(1000)),
-        "Random Forest": lambda: Forest(trees=scaled(100), depth=30 if size >= 1 else 8),
-        "Gradient Boosting": lambda: boosting(scaled(100)),
-        "HistGradientBoosting": lambda: boosting(scaled(100), depth=5, bins=256),
-        "XGBoost": lambda: boosting(scaled(100), depth=6, rate=0.3, bins=256),
-        "MLPClassifier": lambda: Perceptron(hidden=[100], maxIter=scaled(500)),
+        "Logistic Regression": lambda: RidgeLogistic(maxIter=max_iter),
+        "Random Forest": lambda: Forest(trees=trees, depth=depth),
+        "Gradient Boosting": lambda: boosting(trees),
+        "HistGradientBoosting": lambda: boosting(trees, depth=5, bins=256),
+        "XGBoost": lambda: boosting(trees, depth=6, rate=0.3, bins=256),
+        "MLPClassifier": lambda: Perceptron(hidden=list(hidden), maxIter=max_iter),
     }
     if kind not in kinds:
         raise ValueError(f"unknown classifier {kind}")

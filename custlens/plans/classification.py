@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException, IllegalArgumentException, SparkRuntimeException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,7 +40,10 @@ PREPROCESSINGS = {
     "Poly2_OneHot": {"degree": 2},
 }
 
-RESULT_SCHEMA = "config string, model string, train_time double, error string"
+# What a cell of a grid may fail with: its columns, parameters or values. A lost cluster is not a cell's failure.
+CELL_ERRORS = (AnalysisException, IllegalArgumentException, SparkRuntimeException, ValueError, TypeError, KeyError)
+
+RESULT_SCHEMA = "config string, model string, prepare_time double, train_time double, error string"
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,9 +100,9 @@ class Cell:
 
 
 def grid_cells(
-    rows: DataFrame, feature_sets: Sequence[str], models: Sequence[str], size: float = 1.0, top: int | None = None
+    rows: DataFrame, feature_sets: Sequence[str], models: Sequence[str], top: int | None = None, **settings
 ) -> list[Cell]:
-    """Feature sets by models; set D adds principal components to the columns of set C."""
+    """Feature sets by models; set D adds principal components to the columns of set C. ``settings`` go to the models."""
     return [
         Cell(
             name,
@@ -110,7 +114,7 @@ def grid_cells(
                 top=10 if name == "D" else top,
                 variance=0.95 if name == "D" else None,
             ),
-            classifier(model, size),
+            classifier(model, **settings),
         )
         for name in feature_sets
         for model in models
@@ -121,15 +125,15 @@ def experiment_cells(
     rows: DataFrame,
     configs: Sequence[str] = tuple(PREPROCESSINGS),
     models: Sequence[str] = tuple(EXPERIMENT_MODELS),
-    size: float = 1.0,
+    **settings,
 ) -> list[Cell]:
-    """Preprocessing variants by models, over all features."""
+    """Preprocessing variants by models, over all features. ``settings`` go to the models."""
     return [
         Cell(
             config,
             model,
             preprocessing(feat.FEATURE_SETS["C"], rows, **PREPROCESSINGS[config]),
-            None if model == "KNeighbors_5" else classifier(model, size),
+            None if model == "KNeighbors_5" else classifier(model, **settings),
         )
         for config in configs
         for model in models
@@ -148,27 +152,32 @@ def run_grid(train: DataFrame, test: DataFrame, cells: Sequence[Cell], paralleli
 
     Cells with the same inputs share one fitted preprocessing and one written copy of its
     output. ``parallelism`` cells are fitted at a time, so that small stages of one fill the gaps of
-    another. All predictions meet in one table, and one job computes every cell's metrics.
+    another. All predictions meet in one table, and one job computes every cell's metrics. ``train_time``
+    is that of the fit alone (null where none ended, 0 for neighbours), ``prepare_time`` that of the shared inputs.
     """
     spark = train.sparkSession
     stages = {cell.config: cell.stages for cell in cells}
     prepared = dict(
-        zip(stages, in_parallel([lambda s=s: _attempt(lambda: _prepare(s, train, test)) for s in stages.values()], parallelism))
+        zip(
+            stages,
+            in_parallel(
+                [lambda s=s: _timed(lambda: _attempt(lambda: _prepare(s, train, test))) for s in stages.values()],
+                parallelism,
+            ),
+        )
     )
 
     def run(cell: Cell):
-        ready, error = prepared[cell.config]
-        started = time.perf_counter()
+        (ready, error), preparing = prepared[cell.config]
         if error is not None:
-            return cell, 0.0, (None, error)
-        outcome = _attempt(lambda: _fit_and_score(cell, *ready))
-        return cell, time.perf_counter() - started, outcome
+            return cell, preparing, (None, error)
+        return cell, preparing, _attempt(lambda: _fit_and_score(cell, *ready))
 
     outcomes, tables, models = [], [], {}
-    for cell, elapsed, (result, error) in in_parallel([lambda c=c: run(c) for c in cells], parallelism):
-        outcomes.append((cell.config, cell.model, elapsed, error))
+    for cell, preparing, (result, error) in in_parallel([lambda c=c: run(c) for c in cells], parallelism):
+        outcomes.append((cell.config, cell.model, preparing, None if result is None else result[2], error))
         if error is None:
-            table, model = result
+            table, model, _ = result
             tables.append(table)
             if model is not None:
                 models[cell.config, cell.model] = model
@@ -192,18 +201,24 @@ def _attempt(task: Callable) -> tuple:
     """``(result, None)``, or ``(None, first line of the error)``: a failure belongs to its cell only."""
     try:
         return task(), None
-    except Exception as failure:
-        return None, str(failure).splitlines()[0]
+    except CELL_ERRORS as failure:
+        return None, (str(failure).splitlines() or [type(failure).__name__])[0]
+
+
+def _timed(task: Callable) -> tuple:
+    """The task's result and the seconds it took."""
+    started = time.perf_counter()
+    return task(), time.perf_counter() - started
 
 
 def _fit_and_score(cell: Cell, prep: PipelineModel, train: DataFrame, test: DataFrame) -> tuple:
     if cell.estimator is None:
-        model, predicted = None, _neighbour_scores(train, test)
+        model, predicted, elapsed = None, _neighbour_scores(train, test), 0.0
     else:
-        fitted = cell.estimator.fit(train)
+        fitted, elapsed = _timed(lambda: cell.estimator.fit(train))
         model, predicted = PipelineModel([*prep.stages, fitted]), scores(fitted.transform(test))
     names = [F.lit(cell.config).alias("config"), F.lit(cell.model).alias("model")]
-    return materialize(predicted.select(*names, "*"), "scored"), model
+    return materialize(predicted.select(*names, "*"), "scored"), model, elapsed
 
 
 def rank(results: DataFrame, metric: str = "auc_pr", n: int = 10) -> DataFrame:
@@ -228,11 +243,11 @@ def _neighbour_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFram
 # --- random search --------------------------------------------------------------------------------------
 
 
-def draw_candidates(kind: str, n: int, seed: int = 42, size: float = 1.0) -> list[dict]:
-    """``n`` seeded draws of a model's parameters. ``size`` scales tree and iteration counts.
+def draw_candidates(kind: str, n: int, seed: int = 42) -> list[dict]:
+    """``n`` seeded draws of a model's parameters.
 
     Axes without a counterpart in Spark's learners (solver, activation, weight decay and learning
-    rate of the network) are not drawn.
+    rate of the network) are not drawn. Leaf shares end at 0.49, as Spark's must be below one half.
     """
     rng = random.Random(seed)
 
@@ -255,20 +270,17 @@ def draw_candidates(kind: str, n: int, seed: int = 42, size: float = 1.0) -> lis
             "trees": rng.randrange(100, 500),
             "depth": rng.randrange(5, 30),
             "splitShare": uniform(0.01, 0.5),
-            "leafShare": uniform(0.01, 0.5),
+            "leafShare": uniform(0.01, 0.48),
             "subset": uniform(0.6, 0.4),
         },
         "Logistic Regression": lambda: {"C": log_uniform(0.01, 10.0)},
         "MLPClassifier": lambda: {"hidden": rng.choice([[50], [100], [50, 50]])},
     }
-    drawn = [spaces[kind]() for _ in range(n)]
-    for candidate in drawn:
-        if "trees" in candidate:
-            candidate["trees"] = max(2, round(candidate["trees"] * size))
-    return drawn
+    return [spaces[kind]() for _ in range(n)]
 
 
-def build(kind: str, params: Mapping, size: float = 1.0) -> Estimator:
+def build(kind: str, params: Mapping, max_iter: int | None = None) -> Estimator:
+    """The model with drawn parameters; ``max_iter`` as for ``classifier``."""
     if kind == "Gradient Boosting":
         return boosting(params["trees"], params["depth"], params["rate"]).setParams(
             subsamplingRate=params["subsample"], featureSubsetStrategy=f"{params['subset']:.6f}"
@@ -276,14 +288,14 @@ def build(kind: str, params: Mapping, size: float = 1.0) -> Estimator:
     if kind == "Random Forest":
         return Forest(**{**params, "subset": f"{params['subset']:.6f}"})
     if kind == "Logistic Regression":
-        return RidgeLogistic(C=params["C"])
+        return RidgeLogistic(C=params["C"], maxIter=max_iter)
     if kind == "MLPClassifier":
-        return Perceptron(hidden=params["hidden"], maxIter=max(2, round(500 * size)))
+        return Perceptron(hidden=params["hidden"], maxIter=max_iter)
     raise ValueError(f"no search space for {kind}")
 
 
 SEARCH_SCHEMA = """model string, best_params string, best_cv double, test_auc_roc double, test_auc_pr double,
-    default_auc_roc double, default_auc_pr double, improvement double, train_time double"""
+    default_auc_roc double, default_auc_pr double, improvement double, train_time double, search_time double"""
 
 
 def random_search(
@@ -293,14 +305,15 @@ def random_search(
     n_iter: int = 5,
     folds: int = 3,
     metric: str = "auc_pr",
-    size: float = 1.0,
     stages: list | None = None,
     parallelism: int = 4,
+    max_iter: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Best drawn parameters per model against its defaults on the test rows, and every trial.
 
     Folds are stratified. Preprocessing is fitted inside each fold, once for all candidates, so
-    nothing leaks from the validation rows and no candidate repeats it.
+    nothing leaks from the validation rows and no candidate repeats it. ``train_time`` is the fit of the best
+    parameters on all training rows, ``search_time`` that of all trials; ``max_iter`` holds for tuned and default models.
     """
     spark = train.sparkSession
     stages = stages or preprocessing(feat.FEATURE_SETS["C"], train, fill="median", scale="robust")
@@ -312,21 +325,21 @@ def random_search(
     evaluator = RankingEvaluator(metric)
     reports, trials = [], []
     for kind in kinds:
-        started = time.perf_counter()
-        candidates = draw_candidates(kind, n_iter, size=size)
+        candidates = draw_candidates(kind, n_iter)
         runs = [
-            lambda p=params, a=a, b=b: evaluator.evaluate(build(kind, p, size).fit(a).transform(b))
+            lambda p=params, a=a, b=b: evaluator.evaluate(build(kind, p, max_iter).fit(a).transform(b))
             for params in candidates
             for a, b in prepared
         ]
-        values = in_parallel(runs, parallelism)
+        values, searching = _timed(lambda: in_parallel(runs, parallelism))
         means = [sum(values[i * folds : (i + 1) * folds]) / folds for i in range(n_iter)]
         trials += [(kind, json.dumps(p, sort_keys=True), mean) for p, mean in zip(candidates, means)]
         # A fold with one class has no score: such a candidate is the worst, not the best.
         best = max(range(n_iter), key=lambda i: -math.inf if math.isnan(means[i]) else means[i])
+        fitted, training = _timed(lambda: build(kind, candidates[best], max_iter).fit(full_train))
         tuned, default = (
-            met.ranking_metrics(materialize(scores(model.fit(full_train).transform(full_test)), "scored")).first()
-            for model in (build(kind, candidates[best], size), classifier(kind, size))
+            met.ranking_metrics(materialize(scores(model.transform(full_test)), "scored")).first()
+            for model in (fitted, classifier(kind, max_iter=max_iter).fit(full_train))
         )
         reports.append(
             (
@@ -338,7 +351,8 @@ def random_search(
                 default["auc_roc"],
                 default["auc_pr"],
                 tuned[metric] - default[metric],
-                time.perf_counter() - started,
+                training,
+                searching,
             )
         )
     return (
@@ -359,13 +373,13 @@ class BestModel:
     roc: DataFrame
 
 
-def best_model(rows: DataFrame, fraction: float, size: float = 1.0) -> BestModel:
+def best_model(rows: DataFrame, fraction: float, trees: int = 100) -> BestModel:
     """Gradient boosting over all features: its metrics record, importances and ROC points."""
     train, test = split(rows)
     columns = feat.FEATURE_SETS["C"]
     stages = preprocessing(columns, train, fill="median", scale="robust")
     prep, ready_train, ready_test = _prepare(stages, train, test)
-    fitted = classifier(BEST_MODEL, size).fit(ready_train)
+    fitted = classifier(BEST_MODEL, trees).fit(ready_train)
     scored = materialize(scores(fitted.transform(ready_test), PERSON), "scored")
     names = slot_names(ready_train, "features")
     spark = rows.sparkSession

@@ -260,30 +260,37 @@ def sampled_people(shop: Shop, fraction: float, key: str = "customer_id") -> Dat
 def _per_person(orders: DataFrame, measures: dict[str, Column], home_weight: Column | None = None) -> DataFrame:
     """Sum the measures per person, with the usual home weighted by ``home_weight`` unless none is given.
 
-    The first grouping is by person and home and combines on the map side; nearly always it
-    leaves one row per person for the second.
+    For the home every order is a row per column of it, of which the first carries the measures. They are grouped
+    by person and level and then by person, both combining on the map side.
     """
-    weighed = home_weight is not None
-    keys = [PERSON, *(GEOGRAPHY if weighed else [])]
-    per_home = orders.groupBy(*keys).agg(
-        F.max(WHEN).alias("last_order"),
-        F.count("*").alias("frequency"),
-        F.max("instalment_max").alias("instalment_max"),
-        *(F.sum(value).alias(name) for name, value in measures.items()),
-        *([F.sum(home_weight).cast("long").alias("weight")] if weighed else []),
+    if home_weight is None:
+        return orders.groupBy(PERSON).agg(
+            F.max(WHEN).alias("last_order"),
+            F.count("*").alias("frequency"),
+            F.max("instalment_max").alias("instalment_max"),
+            *(F.sum(value).alias(name) for name, value in measures.items()),
+        )
+    once = lambda value: F.when(F.col("place") == 0, value)
+    per_level = (
+        orders.select("*", agg.levels(GEOGRAPHY))
+        .groupBy(PERSON, "place", "level")
+        .agg(
+            F.max(once(F.col(WHEN))).alias("last_order"),
+            F.count(once(F.lit(1))).alias("frequency"),
+            F.max(once(F.col("instalment_max"))).alias("instalment_max"),
+            *(F.sum(once(value)).alias(name) for name, value in measures.items()),
+            F.sum(home_weight).cast("long").alias("weight"),
+        )
     )
-    if not weighed:
-        return per_home
     return (
-        per_home.groupBy(PERSON)
+        per_level.groupBy(PERSON)
         .agg(
             F.max("last_order").alias("last_order"),
             F.sum("frequency").alias("frequency"),
             F.max("instalment_max").alias("instalment_max"),
             *(F.sum(name).alias(name) for name in measures),
-            *(agg.value_weights(c).alias(c) for c in GEOGRAPHY),
+            *(agg.heaviest_level(i, "unknown").alias(c) for i, c in enumerate(GEOGRAPHY)),
         )
-        .withColumns({c: agg.weighted_mode(F.col(c), "unknown") for c in GEOGRAPHY})
         .withColumn("paid_total", F.coalesce(F.col("paid").cast("double"), F.lit(0.0)))
     )
 

@@ -76,35 +76,35 @@ def labelled_customers(shop: Shop, fraction: float = 0.05) -> DataFrame:
     return feat.bnpl_features(feat.sample_shop(shop, fraction) if fraction < 1 else shop)
 
 
-def feature_set_study(shop: Shop, fraction: float = 0.05, size: float = 1.0) -> cls.GridResult:
-    """Feature sets A to D by three models."""
+def feature_set_study(shop: Shop, fraction: float = 0.05, **settings) -> cls.GridResult:
+    """Feature sets A to D by three models; ``settings`` as for ``classifier``."""
     train, test = cls.split(labelled_customers(shop, fraction))
-    return cls.run_grid(train, test, cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS, size))
+    return cls.run_grid(train, test, cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS, **settings))
 
 
-def preprocessing_study(shop: Shop, fraction: float = 0.05, size: float = 1.0) -> cls.GridResult:
+def preprocessing_study(shop: Shop, fraction: float = 0.05, **settings) -> cls.GridResult:
     """Five preprocessings by four models."""
     train, test = cls.split(labelled_customers(shop, fraction))
-    return cls.run_grid(train, test, cls.experiment_cells(train, size=size))
+    return cls.run_grid(train, test, cls.experiment_cells(train, **settings))
 
 
-def comparison_study(shop: Shop, fraction: float = 0.05, size: float = 1.0) -> cls.GridResult:
+def comparison_study(shop: Shop, fraction: float = 0.05, **settings) -> cls.GridResult:
     """Five models over all features; ``metrics.roc_points`` of the scored rows gives their curves."""
     train, test = cls.split(labelled_customers(shop, fraction))
     stages = cls.preprocessing(feat.FEATURE_SETS["C"], train, fill="median", scale="robust")
-    cells = [cls.Cell("C", name, stages, classifier(name, size)) for name in cls.COMPARED_MODELS]
+    cells = [cls.Cell("C", name, stages, classifier(name, **settings)) for name in cls.COMPARED_MODELS]
     return cls.run_grid(train, test, cells)
 
 
 def tuning_study(
-    shop: Shop, metric: str = "auc_pr", fraction: float = 0.05, size: float = 1.0
+    shop: Shop, metric: str = "auc_pr", fraction: float = 0.05, max_iter: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Random search of four models: five draws each for average precision, ten for ROC-AUC."""
     train, test = cls.split(labelled_customers(shop, fraction))
     n_iter = 5 if metric == "auc_pr" else 10
-    return cls.random_search(train, test, cls.SEARCHED_MODELS, n_iter, metric=metric, size=size)
+    return cls.random_search(train, test, cls.SEARCHED_MODELS, n_iter, metric=metric, max_iter=max_iter)
 
 
-def best_model_study(shop: Shop, fraction: float = 0.1, size: float = 1.0) -> cls.BestModel:
+def best_model_study(shop: Shop, fraction: float = 0.1, trees: int = 100) -> cls.BestModel:
     """Boosting over all features, with its record, importances, ROC points and a model to save."""
-    return cls.best_model(labelled_customers(shop, fraction), fraction, size)
+    return cls.best_model(labelled_customers(shop, fraction), fraction, trees)

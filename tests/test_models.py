@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from custlens.functions.hashing import split_by_hash
 from custlens.operators import clustering as cl, encoding as enc, metrics as met
 from custlens.operators.joins import PERSON
-from custlens.operators.models import RankingEvaluator, RidgeLogistic, classifier
+from custlens.operators.models import Forest, RankingEvaluator, RidgeLogistic, classifier
 from custlens.operators.neighbours import nearest_neighbours, vote
 from custlens.plans import classification as cls, features as feat, segmentation as seg, studies
 from custlens.session import scratch_path
@@ -168,7 +168,7 @@ def people(spark):
 def test_every_classifier_learns(spark, people, kind):
     train, test = cls.split(people)
     stages = cls.preprocessing(feat.FEATURE_SETS["B"], train, scale="standard")
-    result = cls.run_grid(train, test, [cls.Cell("B", kind, stages, classifier(kind, 0.1))])
+    result = cls.run_grid(train, test, [cls.Cell("B", kind, stages, classifier(kind, trees=10, depth=8, max_iter=50))])
     row = result.results.first()
     assert row["error"] is None and row["auc_roc"] > 0.8
 
@@ -178,9 +178,9 @@ def test_grid_records_failures_and_ranks(spark, people):
     good = cls.preprocessing(feat.RFM + ["avg_monetary"], train, scale="standard")
     broken = cls.preprocessing(["no_such_column"], train.withColumn("no_such_column", F.lit(1.0)))
     cells = [
-        cls.Cell("good", "Logistic Regression", good, classifier("Logistic Regression", 0.05)),
+        cls.Cell("good", "Logistic Regression", good, classifier("Logistic Regression", max_iter=50)),
         cls.Cell("good", "KNeighbors_5", good, None),
-        cls.Cell("broken", "Logistic Regression", broken, classifier("Logistic Regression", 0.05)),
+        cls.Cell("broken", "Logistic Regression", broken, classifier("Logistic Regression", max_iter=50)),
     ]
     result = cls.run_grid(train, test, cells)
     rows = {(r["config"], r["model"]): r for r in result.results.collect()}
@@ -199,7 +199,7 @@ def test_split_is_disjoint_and_stratified(spark, people):
 
 
 def test_saved_model_scores_alike(spark, people):
-    best = cls.best_model(people, 1.0, size=0.03)
+    best = cls.best_model(people, 1.0, trees=3)
     path = scratch_path(spark, "test-model")
     save_model(best.model, path)
     rows = people.withColumnRenamed(feat.LABEL, "label")
@@ -216,19 +216,36 @@ def test_saved_model_scores_alike(spark, people):
 def test_draws_are_seeded_and_in_range():
     a, b = (cls.draw_candidates("Random Forest", 20) for _ in range(2))
     assert a == b
-    assert all(100 <= c["trees"] < 500 and 5 <= c["depth"] < 30 and 0.01 <= c["leafShare"] <= 0.51 for c in a)
+    assert all(100 <= c["trees"] < 500 and 5 <= c["depth"] < 30 and 0.01 <= c["leafShare"] <= 0.49 for c in a)
     assert all(0.01 <= c["C"] <= 10 for c in cls.draw_candidates("Logistic Regression", 20))
 
 
 def test_random_search_reports_the_best(spark, people):
     train, test = cls.split(people)
     stages = cls.preprocessing(feat.FEATURE_SETS["B"], train, fill="median", scale="robust")
-    report, trials = cls.random_search(train, test, ["Logistic Regression"], n_iter=2, folds=2, size=0.02, stages=stages)
+    report, trials = cls.random_search(train, test, ["Logistic Regression"], n_iter=2, folds=2, max_iter=20, stages=stages)
     row = report.first()
     assert row["best_cv"] == max(r["cv_score"] for r in trials.collect())
     assert row["improvement"] == pytest.approx(row["test_auc_pr"] - row["default_auc_pr"])
 
 
+def test_search_improves_on_the_searched_metric(spark, people):
+    train, test = cls.split(people)
+    stages = cls.preprocessing(feat.FEATURE_SETS["B"], train, fill="median", scale="robust")
+    report, _ = cls.random_search(
+        train, test, ["Logistic Regression"], n_iter=1, folds=2, metric="auc_roc", max_iter=20, stages=stages
+    )
+    row = report.first()
+    assert row["improvement"] == pytest.approx(row["test_auc_roc"] - row["default_auc_roc"])
+    assert 0 < row["train_time"] < row["search_time"] + row["train_time"]
+
+
+@pytest.mark.parametrize("wrong", [{"depth": 31}, {"leafShare": 0.5}])
+def test_forest_refuses_what_its_trees_cannot_do(spark, people, wrong):
+    with pytest.raises(ValueError):
+        Forest(**wrong).fit(people)
+
+
 def test_segment_finds_planted_groups(spark):
     rows = spark.range(300).select(
         F.col("id").alias(PERSON),
@@ -260,7 +277,7 @@ def test_sampled_study_runs(spark):
     shop = read_star_shop(spark, "/root/testdata/sf0.001")
     rows = studies.labelled_customers(shop, 0.05)
     assert 0 < rows.count() < 150
-    result = studies.comparison_study(shop, fraction=1.0, size=0.02)
+    result = studies.comparison_study(shop, fraction=1.0, trees=2, depth=8, max_iter=10)
     assert result.results.where("error IS NOT NULL").count() == 0
     assert result.results.count() == 5
 
