@@ -4,13 +4,14 @@
 2. Shingles have one global order: by hash, with the most frequent ones (``HOT`` at most, counted over all documents)
    last. Of a set of n shingles the first ``n - ceil(t n) + 1`` are its prefix, and two sets that are similar
    enough share a shingle of both prefixes. Frequent passages are last, so they make no candidates.
-3. Classes that share a prefix shingle are candidates. They are not paired with each other: in each group all are
-   paired with a hub, the class whose prefix is the most widely shared, so pairs are as many as prefix shingles.
-   ``HUB_TURNS - 1`` more times the classes outside a group's largest component are paired with a member of it. Of them those are verified that meet in as many groups as similar sets
-   must. Classes that are in one component then need no further comparison; what is left are pairs of classes of
-   different components, and those are all compared, if their sizes allow it and their prefixes have as many
-   shingles in common as similar sets must have. So no link is lost that joins two components, and copies of one
-   text are never paired with one another.
+3. Classes that share a prefix shingle are candidates. Most links are found first by the ``HEAD`` least shingles of each
+   set alone: the classes of a shingle are not paired with each other but with its hub, the class whose head is the
+   most widely shared, and each class only with the hub it meets most often, so a turn has no more pairs than classes.
+   ``HUB_TURNS - 1`` more times the classes outside a group's largest component are paired with a member of it.
+   Classes that are in one component need no further comparison. What is left are pairs of classes of different
+   components that share a shingle of their whole prefixes, and those are all compared, if their sizes allow it and
+   their prefixes have as many shingles in common as similar sets must have. So no link is lost that joins two
+   components, whatever the hubs found, and copies of one text are never paired with one another.
 4. A pair is verified by vertical partitioning: the global order is cut into ``FRAGMENTS`` fragments, each set into its
    segments, overlaps are counted per fragment and summed per pair.
 5. Components of the links by contraction: each root hangs itself below its smallest neighbour, paths are halved
@@ -36,7 +37,9 @@ from custlens.session import materialize
 SHINGLE = 5
 PERCENT = 75
 FRAGMENTS = 8
-HUB_TURNS = 2
+# How many turns of hubs there are and how many shingles of a set they see; what they miss is compared at the end.
+HUB_TURNS = 6
+HEAD = 16
 # Only the order of the shingles depends on these two: how many frequent ones are put last, and how often one must
 # stand in some thousand documents to be counted as possibly frequent.
 HOT = 50_000
@@ -283,7 +286,7 @@ def contract(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: documents, their classes, and the prefix shingles that classes share.
+    """Written tables: documents, their classes, and the prefix of each class.
 
     A class is stood for by its smallest key; ``copies`` counts the rows that have this key and this set.
     """
@@ -294,17 +297,22 @@ def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame, DataF
     classes = grouped.select("k1", "k2", "n", F.col("r.key").alias("rep"), "r.copies")
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
 
-    chosen = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "cid")
+    chosen = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "cid", "copies")
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("key").eqNullSafe(F.col("rep"))
-    tokens = seen.select("key", "s.*").where("n > 0").join(chosen, same)
-    tokens = tokens.select("cid", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
-    tokens = materialize(tokens, "prefix-tokens")
-    # Only shingles that two classes have in their prefixes matter.
-    counts = tokens.groupBy("token").agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"), F.count("*").alias("df"))
-    tokens = tokens.join(counts.where("c1 != c2").select("token", "df"), "token").select("token", "cid", "n", "df")
-    tokens = materialize(tokens.dropDuplicates(["token", "cid"]), "shared-tokens")
-    centre = tokens.groupBy("cid").agg((F.sum("df") / F.max("n")).alias("centre"))
-    return rows, classes, materialize(tokens.drop("df").join(centre, "cid"), "placed-tokens")
+    prefixes = seen.select("key", "s.*").where("n > 0").join(chosen, same)
+    prefixes = prefixes.select("cid", F.col("n").cast("int").alias("n"), "copies", "prefix")
+    prefixes = materialize(prefixes, "class-prefixes")
+    repeated = prefixes.where("copies > 1").dropDuplicates(["cid"])
+    return rows, classes, prefixes.where("copies = 1").unionByName(repeated).drop("copies")
+
+
+def _heads(prefixes: DataFrame, head: int) -> DataFrame:
+    """Written: the least shingles of each class that another class has among its own, and how widely they are shared."""
+    heads = prefixes.select("cid", "n", F.explode(F.slice("prefix", 1, head)).alias("token"))
+    counts = heads.groupBy("token").agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"), F.count("*").alias("df"))
+    shared = materialize(heads.join(counts.where("c1 != c2").select("token", "df"), "token"), "shared-heads")
+    centre = shared.groupBy("cid").agg(F.sum("df").alias("centre"))
+    return materialize(shared.drop("df").join(centre, "cid"), "placed-heads")
 
 
 def _segments(
@@ -321,6 +329,8 @@ def _segments(
         F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "copies", "cid"
     )
     wanted = materialize(wanted, "wanted-classes")
+    if known is not None and wanted.isEmpty():
+        return known.limit(0)
     with small_batches(texts.sparkSession):
         cut = texts.join(wanted, F.col("key").eqNullSafe(F.col("rep"))).select(
             "cid", "copies", "c1", "c2", sets.segments(F.col("text")).alias("s")
@@ -337,6 +347,7 @@ def linked(
     n: int = SHINGLE,
     percent: int = PERCENT,
     hub_turns: int = HUB_TURNS,
+    head: int = HEAD,
 ) -> DataFrame:
     """One row per document: ``key, n_shingles, component_id``, the smallest key that its links reach."""
     spark = docs.sparkSession
@@ -344,11 +355,12 @@ def linked(
     sets = Sets(spark, hot_shingles(texts, n), n, percent)
 
     with small_batches(spark):
-        rows, classes, tokens = _prepared(texts, sets)
+        rows, classes, prefixes = _prepared(texts, sets)
+    heads = _heads(prefixes, head)
     roots = classes.select("cid", F.col("cid").alias("root"))
     segments = None
     for turn in range(hub_turns):
-        pairs = materialize(_hub_pairs(tokens, roots, turn, percent), "hub-pairs")
+        pairs = materialize(_hub_pairs(heads, roots, turn, percent), "hub-pairs")
         if pairs.isEmpty():
             break
         fresh = _segments(texts, sets, classes, pairs, segments)
@@ -357,7 +369,7 @@ def linked(
         if links.isEmpty():
             break
         roots = contract(materialize(roots, "roots"), links)
-    pairs = materialize(_rest_pairs(tokens, roots, percent), "rest-pairs")
+    pairs = materialize(_rest_pairs(prefixes, roots, percent), "rest-pairs")
     fresh = _segments(texts, sets, classes, pairs, segments)
     segments = fresh if segments is None else segments.unionByName(fresh)
     roots = contract(roots, materialize(verified(pairs, segments, percent), "links"))
@@ -371,28 +383,26 @@ def linked(
     )
 
 
-def _hub_pairs(tokens: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Classes of a group with the group's hub, if they are in different components and their sizes allow a link.
+def _hub_pairs(heads: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each class with the hub that it meets most often, if they are in different components and their sizes allow a link.
 
-    The first hub is the most central class. Later ones are drawn by a hash from the largest component of the group, so
-    only classes that are not in it yet are paired. Pairs that meet too rarely are left out; ``_rest_pairs`` finds
-    what is missed here.
+    The first hub of a shingle is the most central class. Later ones are drawn by a hash from the largest component, so
+    only classes that are not in it yet are paired. ``_rest_pairs`` finds what is missed here.
     """
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    placed = tokens.join(roots.join(sizes, "root"), "cid")
+    placed = heads.join(roots.join(sizes, "root"), "cid")
     order = F.struct("centre", "cid") if turn == 0 else F.struct("size", F.xxhash64("cid", F.lit(turn)), "cid")
     hubs = placed.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cid", "n", "root")).alias("hub"))
     both = placed.join(hubs, "token").where("root != hub.root")
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    met = both.where(fits).groupBy(F.col("cid").alias("x"), F.col("hub.cid").alias("y"), "n", F.col("hub.n").alias("m"))
-    least = _least_common(F.col("n"), F.col("m"), percent)
-    near = met.agg(F.count("*").alias("common")).where(2 * F.col("common") >= least)
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    met = both.where(fits).groupBy(F.col("cid").alias("x"), F.col("hub.cid").alias("y")).agg(F.count("*").alias("common"))
+    best = met.groupBy("x").agg(F.max(F.struct("common", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _rest_pairs(tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share enough prefix shingles and whose sizes allow a link."""
-    rooted = tokens.join(roots, "cid")
+    rooted = prefixes.join(roots, "cid").select("cid", "n", "root", F.explode("prefix").alias("token"))
     several = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
     placed = materialize(rooted.join(several.select("token"), "token"), "rest-tokens")
     x = placed.select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
