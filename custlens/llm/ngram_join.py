@@ -360,7 +360,7 @@ def linked(
     roots = classes.select("cid", F.col("cid").alias("root"))
     segments = None
     for turn in range(hub_turns):
-        pairs = materialize(_hub_pairs(heads, roots, turn, percent), "hub-pairs")
+        pairs = materialize(_hub_pairs(heads, roots, turn, percent, head), "hub-pairs")
         if pairs.isEmpty():
             break
         fresh = _segments(texts, sets, classes, pairs, segments)
@@ -383,11 +383,12 @@ def linked(
     )
 
 
-def _hub_pairs(heads: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
+def _hub_pairs(heads: DataFrame, roots: DataFrame, turn: int, percent: int, head: int) -> DataFrame:
     """Each class with the hub that it meets most often, if they are in different components and their sizes allow a link.
 
     The first hub of a shingle is the most central class. Later ones are drawn by a hash from the largest component, so
-    only classes that are not in it yet are paired. ``_rest_pairs`` finds what is missed here.
+    only classes that are not in it yet are paired. A hub met by less than a quarter of a class's head is left out, as similar
+    sets have most of their heads in common; ``_rest_pairs`` finds what is missed here.
     """
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     placed = heads.join(roots.join(sizes, "root"), "cid")
@@ -395,8 +396,9 @@ def _hub_pairs(heads: DataFrame, roots: DataFrame, turn: int, percent: int) -> D
     hubs = placed.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cid", "n", "root")).alias("hub"))
     both = placed.join(hubs, "token").where("root != hub.root")
     fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    met = both.where(fits).groupBy(F.col("cid").alias("x"), F.col("hub.cid").alias("y")).agg(F.count("*").alias("common"))
-    best = met.groupBy("x").agg(F.max(F.struct("common", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    met = both.where(fits).groupBy(F.col("cid").alias("x"), F.col("hub.cid").alias("y"), "n").agg(F.count("*").alias("common"))
+    size = F.least(F.lit(head), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    best = met.where(4 * F.col("common") >= size).groupBy("x").agg(F.max(F.struct("common", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
