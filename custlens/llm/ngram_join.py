@@ -4,14 +4,16 @@
 2. Shingles have one global order: by hash, with the most frequent ones (``HOT`` at most, counted over all documents)
    last. Of a set of n shingles the first ``n - ceil(t n) + 1`` are its prefix, and two sets that are similar
    enough share a shingle of both prefixes. Frequent passages are last, so they make no candidates.
-3. Classes that share a prefix shingle are candidates. Most links are found first by the ``HEAD`` least shingles of each
-   set alone: the classes of a shingle are not paired with each other but with its hub, the class whose head is the
-   most widely shared, and each class only with the hub it meets most often, so a turn has no more pairs than classes.
-   ``HUB_TURNS - 1`` more times the classes outside a group's largest component are paired with a member of it.
-   Classes that are in one component need no further comparison. What is left are pairs of classes of different
-   components that share a shingle of their whole prefixes, and those are all compared, if their sizes allow it and
-   their prefixes have as many shingles in common as similar sets must have. So no link is lost that joins two
-   components, whatever the hubs found, and copies of one text are never paired with one another.
+3. Classes that share a prefix shingle are candidates; shingles of one prefix alone are left out once, before anything
+   else. Most links are found by hubs: the classes of a shingle are not paired with each other but with its hub, the class
+   whose prefix is the most widely shared, and each class only with the hub it meets most often, so that turn has no more
+   pairs than classes. In later turns the classes outside a group's largest component are paired with the ``TRIES`` of
+   ``HUBS`` members of it per shingle that they meet most often, until few of the pairs are links, ``HUB_TURNS`` turns
+   at most. Classes that are in one component need no further comparison.
+   What is left are pairs of classes of different components that share a shingle of their whole prefixes, and those
+   are all compared, if their sizes allow it and their prefixes have as many shingles in common as similar sets must
+   have. So no link is lost that joins two components, whatever the hubs found, and copies of one text are never
+   paired with one another.
 4. A pair is verified by vertical partitioning: the global order is cut into ``FRAGMENTS`` fragments, each set into its
    segments, overlaps are counted per fragment and summed per pair.
 5. Components of the links by contraction: each root hangs itself below its smallest neighbour, paths are halved
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from custlens.llm.common import column, documents, free_name, small_batches
@@ -37,9 +39,13 @@ from custlens.session import materialize
 SHINGLE = 5
 PERCENT = 75
 FRAGMENTS = 8
-# How many turns of hubs there are and how many shingles of a set they see; what they miss is compared at the end.
-HUB_TURNS = 6
-HEAD = 16
+# How many turns of hubs there are at most, how many hubs a shingle has after the first turn and how many of them a class
+# tries; what they miss is compared at the end.
+HUB_TURNS = 4
+HUBS = 8
+TRIES = 4
+# Another turn follows only if one pair in so many was a link.
+LEAST_GAIN = 8
 # Only the order of the shingles depends on these two: how many frequent ones are put last, and how often one must
 # stand in some thousand documents to be counted as possibly frequent.
 HOT = 50_000
@@ -232,10 +238,12 @@ def _least_common(x: Column, y: Column, percent: int) -> Column:
 def verified(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the pairs ``a, b`` those that are similar enough: overlaps are counted per fragment and summed per pair.
 
-    ``segments``: ``cid, fragment, n, segment``, and ``copies``, how often each of them stands there. Both joins are on two
-    shuffled sides, so a hub with many partners is split.
+    ``segments``: ``cid, fragment, n, segment``, and ``copies``, how often each of them stands there. Only those of the pairs
+    move. A hub with many partners is split, as the joins are on two shuffled sides unless one is small.
     """
-    side = lambda name: segments.select(
+    side = lambda name: segments.join(
+        pairs.select(F.col(name).alias("cid")).distinct(), "cid", "left_semi"
+    ).select(
         F.col("cid").alias(name),
         F.col("fragment").alias(f"f_{name}"),
         F.col("segment").alias(f"seg_{name}"),
@@ -290,8 +298,9 @@ def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame, DataF
 
     A class is stood for by its smallest key; ``copies`` counts the rows that have this key and this set.
     """
-    seen = texts.select("key", sets.prefixes(F.col("text")).alias("s"))
-    rows = materialize(seen.select("key", "s.n", "s.k1", "s.k2"), "shingle-rows")
+    seen = texts.select("key", sets.prefixes(F.col("text")).alias("s")).select("key", "s.*")
+    seen = materialize(seen, "shingle-rows")
+    rows = seen.select("key", "n", "k1", "k2")
     per_key = rows.where("n > 0").groupBy("k1", "k2", "n", "key").agg(F.count("*").alias("copies"))
     grouped = per_key.groupBy("k1", "k2", "n").agg(F.min(F.struct("key", "copies")).alias("r"))
     classes = grouped.select("k1", "k2", "n", F.col("r.key").alias("rep"), "r.copies")
@@ -299,20 +308,26 @@ def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame, DataF
 
     chosen = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "cid", "copies")
     same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("key").eqNullSafe(F.col("rep"))
-    prefixes = seen.select("key", "s.*").where("n > 0").join(chosen, same)
+    prefixes = seen.where("n > 0").join(chosen, same)
     prefixes = prefixes.select("cid", F.col("n").cast("int").alias("n"), "copies", "prefix")
     prefixes = materialize(prefixes, "class-prefixes")
     repeated = prefixes.where("copies > 1").dropDuplicates(["cid"])
     return rows, classes, prefixes.where("copies = 1").unionByName(repeated).drop("copies")
 
 
-def _heads(prefixes: DataFrame, head: int) -> DataFrame:
-    """Written: the least shingles of each class that another class has among its own, and how widely they are shared."""
-    heads = prefixes.select("cid", "n", F.explode(F.slice("prefix", 1, head)).alias("token"))
-    counts = heads.groupBy("token").agg(F.min("cid").alias("c1"), F.max("cid").alias("c2"), F.count("*").alias("df"))
-    shared = materialize(heads.join(counts.where("c1 != c2").select("token", "df"), "token"), "shared-heads")
-    centre = shared.groupBy("cid").agg(F.sum("df").alias("centre"))
-    return materialize(shared.drop("df").join(centre, "cid"), "placed-heads")
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Written: the prefix shingles that two classes or more have, and how many have them."""
+    each = prefixes.select("cid", "n", F.explode("prefix").alias("token"))
+    several = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    return materialize(each.join(several, "token"), "shared-tokens")
+
+
+def _crossing(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Written: the shared shingles that stand in more than one component, with the components and their sizes."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    rooted = placed.select("token", "cid", "n").join(roots.join(sizes, "root"), "cid")
+    several = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    return materialize(rooted.join(several.select("token"), "token"), "rest-tokens")
 
 
 def _segments(
@@ -347,7 +362,6 @@ def linked(
     n: int = SHINGLE,
     percent: int = PERCENT,
     hub_turns: int = HUB_TURNS,
-    head: int = HEAD,
 ) -> DataFrame:
     """One row per document: ``key, n_shingles, component_id``, the smallest key that its links reach."""
     spark = docs.sparkSession
@@ -356,20 +370,26 @@ def linked(
 
     with small_batches(spark):
         rows, classes, prefixes = _prepared(texts, sets)
-    heads = _heads(prefixes, head)
+    shared = _shared(prefixes)
+    placed = shared.withColumn("root", F.col("cid"))
     roots = classes.select("cid", F.col("cid").alias("root"))
-    segments = None
+    segments, tried = None, None
     for turn in range(hub_turns):
-        pairs = materialize(_hub_pairs(heads, roots, turn, percent, head), "hub-pairs")
-        if pairs.isEmpty():
+        pairs = _hub_pairs(placed, turn, percent)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        number = pairs.count()
+        if not number:
             break
+        tried = pairs if tried is None else tried.unionByName(pairs)
         fresh = _segments(texts, sets, classes, pairs, segments)
         segments = fresh if segments is None else segments.unionByName(fresh)
         links = materialize(verified(pairs, segments, percent), "links")
-        if links.isEmpty():
-            break
         roots = contract(materialize(roots, "roots"), links)
-    pairs = materialize(_rest_pairs(prefixes, roots, percent), "rest-pairs")
+        placed = _crossing(placed, roots)  # a shingle that has left this table stays in one component
+        if LEAST_GAIN * links.count() < number:
+            break
+    pairs = _rest_pairs(placed, percent)
+    pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     fresh = _segments(texts, sets, classes, pairs, segments)
     segments = fresh if segments is None else segments.unionByName(fresh)
     roots = contract(roots, materialize(verified(pairs, segments, percent), "links"))
@@ -383,30 +403,34 @@ def linked(
     )
 
 
-def _hub_pairs(heads: DataFrame, roots: DataFrame, turn: int, percent: int, head: int) -> DataFrame:
-    """Each class with the hub that it meets most often, if they are in different components and their sizes allow a link.
+def _hub_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each class with the hubs that it meets most often, if they are in different components and their sizes allow a link.
 
     The first hub of a shingle is the most central class. Later ones are drawn by a hash from the largest component, so
-    only classes that are not in it yet are paired. A hub met by less than a quarter of a class's head is left out, as similar
-    sets have most of their heads in common; ``_rest_pairs`` finds what is missed here.
+    only classes that are not in it yet are paired, and only if they meet the hub by as many shingles as similar prefixes
+    have in common (in the first turn by a quarter); ``_rest_pairs`` finds what is missed here.
     """
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    placed = heads.join(roots.join(sizes, "root"), "cid")
-    order = F.struct("centre", "cid") if turn == 0 else F.struct("size", F.xxhash64("cid", F.lit(turn)), "cid")
-    hubs = placed.groupBy("token").agg(F.max(F.struct(order.alias("o"), "cid", "n", "root")).alias("hub"))
-    both = placed.join(hubs, "token").where("root != hub.root")
-    fits = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    met = both.where(fits).groupBy(F.col("cid").alias("x"), F.col("hub.cid").alias("y"), "n").agg(F.count("*").alias("common"))
-    size = F.least(F.lit(head), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    best = met.where(4 * F.col("common") >= size).groupBy("x").agg(F.max(F.struct("common", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    hubs, tries = (HUBS, TRIES) if turn else (1, 1)
+    if turn:
+        order = [F.desc("size"), F.xxhash64("cid", F.lit(turn)), "cid"]
+    else:
+        placed = placed.join(placed.groupBy("cid").agg(F.sum("df").alias("centre")), "cid")
+        order = [F.desc("centre"), F.desc("cid")]
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(*order)))
+    hub = ranked.where(F.col("rank") <= hubs).select(
+        "token", F.col("cid").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("r_y")
+    )
+    fits = 100 * F.least("n", "n_y") >= percent * F.greatest("n", "n_y")
+    both = placed.join(hub, "token").where((F.col("root") != F.col("r_y")) & fits)
+    met = both.groupBy(F.col("cid").alias("x"), "y", "n", "n_y").agg(F.count("*").alias("common"))
+    enough = (1 if turn else 4) * F.col("common") >= _least_common(F.col("n"), F.col("n_y"), percent)
+    first = Window.partitionBy("x").orderBy(F.desc("common"), F.desc("y"))
+    best = met.where(enough).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= tries)
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _rest_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of different components that share enough prefix shingles and whose sizes allow a link."""
-    rooted = prefixes.join(roots, "cid").select("cid", "n", "root", F.explode("prefix").alias("token"))
-    several = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    placed = materialize(rooted.join(several.select("token"), "token"), "rest-tokens")
     x = placed.select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
     y = placed.select("token", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
