@@ -308,7 +308,7 @@ def _hot_sql(drop_first: bool, fit_where: str = "TRUE") -> str:
     return with_views("fc", query=" UNION ALL ".join(parts))
 
 
-# A tenth of the people, so that some cities occur only outside the fitted part.
+# Two in a hundred people, so that some cities occur only outside the fitted part.
 _FEW = f"{_HASH} < {int(0.02 * 2**60)}"
 
 
@@ -715,7 +715,7 @@ def boxplot_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- classifier metrics, on a score SQL can repeat ------------------------------------------------------
 
-# Review score rounded to halves gives heavy ties; the threshold makes a prediction.
+# Mean spend rounded to ten thousands gives heavy ties; the threshold makes a prediction.
 _SCORED = """scored AS (
   SELECT customer_unique_id, bnpl_target AS label, round(avg_monetary / 10000) AS score,
          CASE WHEN avg_monetary >= 250000 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction FROM fc)"""
