@@ -35,6 +35,8 @@ def test_ngram_join(spark):
     want = brute.components(range(len(texts)), sets)
     assert {i: rows[i]["component_id"] for i in rows} == want
     assert [rows[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+    compared = ngram_join.linked(frame(spark, texts), hub_turns=0).collect()
+    assert {r["doc_id"]: r["component_id"] for r in compared} == want
 
 
 def test_one_of_each(spark):
