@@ -1,7 +1,8 @@
 """Chat formatting: link tool calls with their results, order them, check their arguments, write canonical JSON.
 
-Calls and results are two tables. They are joined on the identifier of the call; a call may wait for one earlier
-call (``after``), which makes a forest, and its level there is its place in the topological order: every call comes
+Calls and results are two tables. They are joined on the conversation and the identifier of the call, as each
+conversation may number its calls from one; a call may wait for one earlier call of its conversation (``after``), which
+makes a forest, and its level there is its place in the topological order: every call comes
 after the one it waits for. Levels are found by pointer doubling, so a chain of n calls takes log2(n) joins and no
 conversation is ever gathered in one task. Arguments are checked against a table of parameters. Each exchange becomes
 one JSON text with sorted keys, no white space and nulls written out, so equal exchanges give equal texts.
@@ -11,7 +12,7 @@ Only DataFrame functions are used.
 one two turns before, and the assistant turn that follows it is its result. Messages whose text is a JSON object with
 ``tool_calls`` or ``tool_call_id`` bring calls and results of their own.
 
-Defined cases: calls with one identifier are one call, the one whose JSON text is smallest (``copies`` counts them), and
+Defined cases: rows without a conversation have theirs in common; calls of one conversation with one identifier are one call, the one whose JSON text is smallest (``copies`` counts them), and
 likewise for the results of one call; a call without a result is ``open``; a result without a call is ``orphan``; a call
 that waits for an unknown call or for none starts a chain; calls that wait for each other in a ring are ``ring`` and have
 no level; a null identifier or turn joins nothing and gives an orphan or open row with a null identifier; a null or
@@ -53,15 +54,15 @@ def sorted_map(value: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(value)))
 
 
-def _one_each(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per ``key`` (all rows without one stay): that with the smallest ``text``, and how many there were.
+def _one_each(rows: DataFrame, conv: str, key: str, text: str) -> DataFrame:
+    """One row per ``conv, key`` (all rows without a key stay): that with the smallest ``text``, and how many there were.
 
     Partly combined before the shuffle, so a key that a third of the rows share moves one row per task.
     """
-    others = [c for c in rows.columns if c not in (key, text)]
+    others = [c for c in rows.columns if c not in (conv, key, text)]
     named = rows.where(F.col(key).isNotNull())
     first = F.min(F.struct(text, *others)).alias("first_")
-    kept = named.groupBy(key).agg(first, F.count("*").alias("copies")).select(key, "first_.*", "copies")
+    kept = named.groupBy(conv, key).agg(first, F.count("*").alias("copies")).select(conv, key, "first_.*", "copies")
     return kept.unionByName(rows.where(F.col(key).isNull()).withColumn("copies", F.lit(1).cast("long")))
 
 
@@ -117,7 +118,7 @@ def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
         "text_", canonical(F.struct(F.col("arguments"), F.col("name")))
     )
     # Maps cannot be compared, so the rows are told apart by their text, which is read back.
-    asked = _one_each(asked.select("conv", "turn", "id", "name", "after", "text_"), "id", "text_")
+    asked = _one_each(asked.select("conv", "turn", "id", "name", "after", "text_"), "conv", "id", "text_")
     asked = asked.withColumn(
         "arguments", F.from_json("text_", "arguments map<string,string>, name string")["arguments"]
     )
@@ -125,12 +126,15 @@ def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     given = _one_each(
         results.select("call_id", F.col("content").alias("content"), F.col("conv").alias("r_conv"), F.col("turn").alias("r_turn"))
         .withColumn("given_", F.lit(True)),
+        "r_conv",
         "call_id",
         "content",
     ).withColumnRenamed("copies", "r_copies")
-    ordered = levels(asked)
-    placed = asked.join(ordered.withColumnRenamed("id", "level_id"), F.col("id") == F.col("level_id"), "left")
-    both = placed.join(given, F.col("id") == F.col("call_id"), "full_outer")
+    # Structs are equal where both lack a conversation; without an identifier there is no struct, which joins nothing.
+    scoped = lambda conv, key: F.when(F.col(key).isNotNull(), F.struct(F.col(conv), F.col(key)))
+    ordered = levels(asked.select(scoped("conv", "id").alias("id"), scoped("conv", "after").alias("after")))
+    placed = asked.join(ordered.withColumnRenamed("id", "level_id"), scoped("conv", "id") == F.col("level_id"), "left")
+    both = placed.join(given, F.col("conv").eqNullSafe(F.col("r_conv")) & (F.col("id") == F.col("call_id")), "full_outer")
     asked_ = F.col("copies").isNotNull()
     wrong = F.when(asked_, problems(schemas, F.col("name"), F.col("arguments")))
     status = (

@@ -151,3 +151,26 @@ def test_tool_calls_in_texts(spark):
     got = {r["call_id"]: r["status"] for r in chat_tools.link(*chat_tools.exchanges(messages)).collect()}
     assert got == {"1:0": "open", "k": "linked", "1:2": "orphan", None: "open"}
     assert chat_tools.link(*chat_tools.exchanges(messages.limit(0))).count() == 0
+
+
+def test_tool_calls_of_each_conversation(spark):
+    call = '{"tool_calls":[{"id":"call_%s","name":"reply","after":"call_%s","arguments":{"text":"%s","turn":"1"}}]}'
+    rows = []
+    for conv in (1, 2, None):
+        rows += [(conv, i, "assistant", call % (i, i - 1, f"{conv} asks {i}")) for i in (1, 2)]
+    rows += [(conv, 3, "tool", '{"tool_call_id":"call_1","content":"%s"}' % conv) for conv in (2, None, 4)]
+    messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat_tools.link(*chat_tools.exchanges(messages)).collect()
+    found = {(r["conv_id"], r["call_id"]): (r["status"], r["level"], r["n_calls"], r["n_results"]) for r in got}
+    assert len(got) == 7 and found == {
+        (1, "call_1"): ("open", 0, 1, 0),
+        (1, "call_2"): ("open", 1, 1, 0),
+        (2, "call_1"): ("linked", 0, 1, 1),
+        (2, "call_2"): ("open", 1, 1, 0),
+        (None, "call_1"): ("linked", 0, 1, 1),
+        (None, "call_2"): ("open", 1, 1, 0),
+        (4, "call_1"): ("orphan", None, 0, 1),
+    }
+    texts = {(r["conv_id"], r["call_id"]): r["json"] for r in got}
+    assert '"text":"2 asks 1"' in texts[2, "call_1"] and '"result":"2"' in texts[2, "call_1"]
+    assert '"text":"1 asks 2"' in texts[1, "call_2"] and '"result":"4"' in texts[4, "call_1"]
