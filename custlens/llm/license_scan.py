@@ -1,6 +1,7 @@
 """License scan: sure phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block if the block holds at least ``containment`` of the template's distinct words.
+A block is a line, or, as wordings run over line breaks, a window of words: windows are twice as long as the longest template and
+begin at every word that is a multiple of its length, so any run of that many words lies whole in one. A template is found in a block if the block holds at least ``containment`` of the template's distinct words.
 The join works on the words of the templates in one global order, rarest in all blocks first:
 
 * prefix filter: a block that reaches the threshold holds one of the first ``size - need + 1`` words of the template,
@@ -72,19 +73,25 @@ def scan(
     lines = docs.select(
         F.monotonically_increasing_id().alias("row"), column(docs, key).alias("key"), low.alias("low")
     )
+    known = F.array(*map(F.lit, vocabulary))
     block = F.transform(
         F.split("low", "\n"),
         lambda line: F.struct(
             F.size(F.array_distinct(F.split(line, GAP))).alias("n"),
-            F.array_intersect(F.split(line, GAP), F.array(*map(F.lit, vocabulary))).alias("words"),
+            F.array_intersect(F.split(line, GAP), known).alias("words"),
         ),
     )
+    across = F.when(F.col("low").contains("\n"), _windows(max(len(t.split()) for _, t in templates), known))
+    # No template is in a block with fewer of its words; n of a window leaves out words that cannot count.
+    least = min(_need(t, containment) for _, t in templates)
+    across = F.transform(across, lambda words: F.struct(F.size(words).alias("n"), words.alias("words")))
+    blocks = F.concat(block, F.coalesce(across, F.array()))
     rows = lines.select(
         "row",
         "key",
         F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
         *_phrase_columns(phrases),
-        F.filter(block, lambda b: F.size(b["words"]) > 0).alias("blocks"),
+        F.array_distinct(F.filter(blocks, lambda b: F.size(b["words"]) >= least)).alias("blocks"),
     )
     rows = materialize(rows, "license-blocks")
     found = _join(rows.select("row", F.explode("blocks").alias("b")), vocabulary, templates, containment)
@@ -103,6 +110,21 @@ def scan(
     )
 
 
+def _need(wording: str, containment: float) -> int:
+    """Distinct words that a block shares with a template found in it."""
+    return math.ceil(containment * len(set(wording.split())) - 1e-9)
+
+
+def _windows(longest: int, known: Column) -> Column:
+    """The ``known`` words of each window of ``2 * longest`` words, which begin ``longest`` words apart."""
+    words = F.filter(F.split("low", GAP), lambda x: x != "")
+    cut = lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - longest - 1, F.lit(0)), F.lit(longest)),
+        lambda i: F.array_intersect(F.slice(w, i + 1, 2 * longest), known),
+    )
+    return F.transform(F.array(words), cut)[0]
+
+
 def _phrase_columns(phrases: dict[str, str]) -> list[Column]:
     """The places of each phrase; a text is cut into words only if it holds all words of the phrase somewhere."""
     out = []
@@ -133,7 +155,7 @@ def _join(blocks: DataFrame, vocabulary: list[str], templates, containment: floa
     entries, wanted = [], set()
     for label, wording in templates:
         ids = sorted({rank[w] for w in wording.split()})
-        need = math.ceil(containment * len(ids) - 1e-9)
+        need = _need(wording, containment)
         for place, token in enumerate(ids[: len(ids) - need + 1]):
             wanted.add(token)
             entries.append(

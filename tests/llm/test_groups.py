@@ -174,3 +174,22 @@ def test_tool_calls_of_each_conversation(spark):
     texts = {(r["conv_id"], r["call_id"]): r["json"] for r in got}
     assert '"text":"2 asks 1"' in texts[2, "call_1"] and '"result":"2"' in texts[2, "call_1"]
     assert '"text":"1 asks 2"' in texts[1, "call_2"] and '"result":"4"' in texts[4, "call_1"]
+
+
+def test_licenses_over_line_breaks(spark):
+    wrapped = [
+        (" * This program is free software: you can redistribute it and/or modify\n"
+         " * it under the terms of the GNU General Public License", "gpl"),
+        ("# Redistribution and use in source and binary forms, with or without\n"
+         "# modification, are permitted provided that", "bsd"),
+        ("// you may not use this file except in compliance with the License.\n"
+         "// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/", "apache-2"),
+        ("Released\nunder\n\nthe\nMIT\nlicense", "mit"),
+    ]
+    # At every place of a longer text, so at every offset in the windows.
+    texts = [("filler \n" * n) + text + ("\nmore" * 50) for text, _ in wrapped for n in range(40)]
+    wants = [label for _, label in wrapped for _ in range(40)]
+    rows = {r["doc_id"]: r for r in license_scan.scan(frame(spark, texts)).collect()}
+    assert [want in rows[i]["found"] for i, want in enumerate(wants)] == [True] * len(texts)
+    apart = "released under" + "\nfiller" * 60 + "\nthe mit license"
+    assert list(license_scan.scan(frame(spark, [apart])).first()["found"]) == []
