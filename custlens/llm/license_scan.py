@@ -91,7 +91,7 @@ def scan(
         "key",
         F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
         *_phrase_columns(phrases),
-        F.array_distinct(F.filter(blocks, lambda b: F.size(b["words"]) >= least)).alias("blocks"),
+        F.filter(blocks, lambda b: F.size(b["words"]) >= least).alias("blocks"),
     )
     rows = materialize(rows, "license-blocks")
     found = _join(rows.select("row", F.explode("blocks").alias("b")), vocabulary, templates, containment)
