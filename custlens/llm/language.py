@@ -5,14 +5,15 @@ document is cut greedily into phrases, each the longest match that the automaton
 language needs few phrases. The phrases are normalised by the length of the document and the logarithm of the length
 of the labelled text, and the language needing fewest wins.
 
-Fitted on a bounded sample: of every language the rows with the smallest hash of their id, whole texts of up to
+Fitted on a bounded sample: of every language the rows with the smallest hash of their id, of each text the first
 ``TEXT_CHARS`` characters, up to ``LANGUAGE_CHARS`` characters together (less where more than ``LANGUAGES_AT_FULL``
 languages share the bound on the tables that are broadcast). Every text is parsed whole. It is parsed in pieces of
 ``PIECE`` characters at a time, all pieces of a batch side by side, so a phrase ends where a piece ends.
 
-Characters are lower-cased; everything but letters is one space.
+Characters are lower-cased; everything but letters is one space. Every letter of the samples is a symbol: the
+commonest have a column in the tables, transitions by others are looked up in a sorted list.
 
-Defined cases: a null text, an empty text and one without letters are ``und`` with score 0; no labelled rows at all
+Defined cases: a null text, an empty text and one without a letter that some sample holds are ``und`` with score 0; no labelled rows at all
 make every text ``und``; a null language teaches nothing; ties go to the language that comes first by code point; the
 table may be empty, and other columns are neither read nor changed.
 """
@@ -36,6 +37,7 @@ SAMPLE_ROWS = 60
 SYMBOLS = 64
 PIECE = 256
 SLICE_CHARS = 1_000_000
+RADIX = 1 << 21  # more than there are characters
 KIND = "struct<lang:string,score:double>"
 UNKNOWN = "und"
 
@@ -87,28 +89,43 @@ class Languages:
             streams.append(rows)
         self.symbol = np.zeros(0x110000, np.uint8)
         self.tables: list[np.ndarray] = []
+        self.rare: list[tuple[np.ndarray, np.ndarray]] = []
         self.bits: list[float] = []
         if not streams:
             return
         seen, counts = np.unique(np.concatenate([r for rows in streams for r in rows] or [[]]), return_counts=True)
-        common = seen[np.argsort(-counts, kind="stable")][: SYMBOLS - 1].astype(np.int64)
-        self.symbol[common] = np.arange(1, len(common) + 1)  # 0: any other character, matched by no text
+        alphabet = seen[np.argsort(-counts, kind="stable")].astype(np.int64)
+        self.symbol = self.symbol.astype(np.min_scalar_type(len(alphabet)))
+        self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)  # 0: any other character, matched by no text
         for rows in streams:
             automaton = SuffixAutomaton()
             for row in rows:
-                symbols = self.symbol[row].tolist()
-                begin = 0
-                for i, s in enumerate([*symbols, 0]):
-                    if s == 0:
-                        automaton.add(symbols[begin:i])
-                        begin = i + 1
+                automaton.add(self.symbol[row].tolist())
             table = np.zeros((len(automaton.next), SYMBOLS), np.int32)
+            rest = {}
             for state, following in enumerate(automaton.next):
                 for symbol, target in following.items():
-                    table[state, symbol] = target * SYMBOLS
+                    if symbol < SYMBOLS:
+                        table[state, symbol] = target * SYMBOLS
+                    else:
+                        rest[state * SYMBOLS * RADIX + symbol] = target * SYMBOLS
             self.tables.append(table.reshape(-1))
+            self.rare.append((np.array(sorted(rest), np.int64), np.array([rest[k] for k in sorted(rest)], np.int32)))
             self.bits.append(float(np.log2(2 + sum(len(r) for r in rows))))
 
+    def _step(self, row: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """States that follow, times ``SYMBOLS``; 0 where none does."""
+        far = np.flatnonzero(symbol >= SYMBOLS)
+        if not len(far):
+            return self.tables[row][state + symbol]
+        following = self.tables[row][state + np.where(symbol < SYMBOLS, symbol, 0)]
+        keys, targets = self.rare[row]
+        if len(keys):
+            wanted = state[far].astype(np.int64) * RADIX + symbol[far]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            following[far] = np.where(keys[at] == wanted, targets[at], 0)
+        return following
+
     def phrases(self, points: np.ndarray, places: np.ndarray) -> np.ndarray:
         """``[language, text]``: phrases that each text is cut into."""
         sizes = np.diff(places)
@@ -123,16 +140,16 @@ class Languages:
         out = np.zeros((len(self.tables), len(sizes)), np.int64)
         # The pieces still running at each step are the first ones, as they are sorted by length.
         running = np.searchsorted(-lengths, -np.arange(1, PIECE + 1), side="right")
-        for row, table in enumerate(self.tables):
+        for row in range(len(self.tables)):
             state = np.zeros(len(owner), np.int32)
             count = np.zeros(len(owner), np.int32)
             for i in range(int(lengths[0]) if len(lengths) else 0):
                 n = running[i]
                 symbol = symbols[begins[:n] + i]
-                following = table[state[:n] + symbol]
+                following = self._step(row, state[:n], symbol)
                 ends = following == 0
                 count[:n] += ends & (state[:n] > 0)
-                again = table[symbol]
+                again = self._step(row, np.zeros(n, np.int32), symbol)
                 count[:n] += ends & (again == 0)
                 state[:n] = np.where(ends, again, following)
             count += state > 0
@@ -143,6 +160,8 @@ class Languages:
         points, places, letters = folded([t or "" for t in texts])
         if not self.tables:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        known = np.concatenate([[0], np.cumsum((points != 32) & (self.symbol[points] > 0))])
+        letters = np.minimum(letters, known[places[1:]] - known[places[:-1]])
         costs = self.phrases(points, places) * np.array(self.bits)[:, None] / np.maximum(1, np.diff(places))
         best = costs.argmin(axis=0)
         least = costs[best, np.arange(len(texts))]
@@ -160,7 +179,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Automata from a bounded sample of each language; held-out rows are never used."""
     labelled = docs.select(
         column(docs, key).alias("key"), column(docs, text).alias("text"), column(docs, lang).alias("lang")
-    ).where(F.col("lang").isNotNull() & (F.length("text") <= TEXT_CHARS) & (F.length("text") > 0))
+    ).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    labelled = labelled.withColumn("text", F.substring("text", 1, TEXT_CHARS))
     usable = labelled.where(~held_out(F.col("key")))
     hashed = usable.withColumn("order", F.xxhash64("key", "text"))
     first = F.row_number().over(W.partitionBy("lang").orderBy("order", "key"))

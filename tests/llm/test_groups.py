@@ -193,3 +193,25 @@ def test_licenses_over_line_breaks(spark):
     assert [want in rows[i]["found"] for i, want in enumerate(wants)] == [True] * len(texts)
     apart = "released under" + "\nfiller" * 60 + "\nthe mit license"
     assert list(license_scan.scan(frame(spark, [apart])).first()["found"]) == []
+
+
+def test_language_of_large_alphabets(spark):
+    han, hangul = ([chr(b + i) for i in range(600)] for b in (0x4E00, 0xAC00))
+    rng = np.random.default_rng(8)
+    text = lambda letters, n: "".join(rng.choice(letters, n))
+    latin, base = list("abcdefghijklmnopqrstuvwxyz   "), {"zh": han, "ko": hangul}
+    phrases = {k: [text(v, 6) for _ in range(200)] for k, v in base.items()}
+    say = lambda k, n: "".join(rng.choice(phrases[k], n))
+    model = language.Languages({"aa": [text(latin, 2000)], "ko": [say("ko", 700)], "zh": [say("zh", 700)]})
+    names, scores = model.predict([say("zh", 20), say("ko", 20), text(latin, 200), "\u0e01\u0e02\u0e03"])
+    assert names == ["zh", "ko", "aa", "und"] and scores[3] == 0 and min(scores[:3]) > 0.5
+    points, places, _ = language.folded([say("zh", 20)])
+    costs = model.phrases(points, places)[:, 0]
+    assert costs[2] < 60 < costs[1] == 120  # Hangul knows no Han letter: one phrase each
+
+
+def test_language_learns_from_long_texts(spark):
+    docs = spark.createDataFrame([(i, "so lang " * 700, "x") for i in range(20)], KINDS)
+    model = language.fit(docs)
+    assert model.names == ["x"] and 0 < model.bits[0] < 15
+    assert model.predict(["so lang"])[0] == ["x"]
