@@ -215,3 +215,36 @@ def test_language_learns_from_long_texts(spark):
     model = language.fit(docs)
     assert model.names == ["x"] and 0 < model.bits[0] < 15
     assert model.predict(["so lang"])[0] == ["x"]
+
+
+def test_long_candidates_are_seen_whole():
+    for n in range(12, 400):
+        parts = secret_scan.pieces((5, 5 + n))
+        assert parts[0][0] == 5 and parts[-1][1] == 5 + n and len(set(parts)) == len(parts)
+        assert all(0 < b - a <= secret_scan.ROOM for a, b in parts)
+        for a in range(5, 5 + n - 40 + 1):
+            assert any(x <= a and a + 40 <= y for x, y in parts), (n, a)
+    text = "path=" + "a1/" * 100
+    assert all(len(secret_scan.window(text, p)) == secret_scan.WINDOW for p in secret_scan.pieces((5, 305)))
+
+
+def test_secret_windows_are_different_and_threshold_free(spark, monkeypatch):
+    seen = {}
+
+    class Net(secret_scan.ConvNet):
+        def fit(self, examples, labels, **more):
+            seen["fitted"] = [e.tobytes() for e in examples]
+            return self
+
+        def calibrate(self, examples, labels):
+            seen["left"] = [e.tobytes() for e in examples]
+
+        def scores(self, best, firsts):
+            return np.full(len(firsts), 0.25)
+
+    monkeypatch.setattr(secret_scan, "ConvNet", Net)
+    texts = [f"token={i:08d}abcdefgh and part{i:012d} end" for i in range(60)]
+    model = secret_scan.fit(frame(spark, texts + texts[:1] * 500))
+    every = seen["fitted"] + seen["left"]
+    assert len(every) == len(set(every)) == 120
+    assert model.threshold == 0.25
