@@ -6,11 +6,10 @@ anchor; equal windows have equal anchors, and all windows of one anchor lie side
 
 * anchors that stand once are dropped, counted before anything else is moved,
 * equal contexts are one from there on, counted with partial sums,
-* the different contexts of one anchor are put one after another and sorted as a suffix array over their windows. Ties are
-  in order of position, so the previous smaller position of a window in suffix order is its neighbour, and their common
-  prefix reaches ``size`` if their ranks are equal: then the longest previous factor of the window is ``size`` at least and
-  it is a later copy. The next smaller position does the same from the other side, and the mirrored pair finds the
-  first copy,
+* the different contexts of one anchor are put one after another and their windows ranked by their first ``size`` bytes
+  with prefix doubling. Ties are in order of position, so a window whose neighbour before it has the same rank is a later
+  copy, and one whose neighbour after it has the same rank has a later copy. This replaces longest-previous-factor arrays: no
+  previous or next smaller positions and no lengths are computed, as only reaching ``size`` counts,
 * an anchor with more than ``CROWD`` different contexts is never put into one task. Its windows are counted by two
   64-bit hashes with partial sums instead.
 
