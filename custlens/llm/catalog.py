@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from custlens.llm import chat_tools, decontaminate, language, license_scan, mixing, ngram_join, quality_net, quality_rules, repeats, secret_scan
+from custlens.llm import (
+    chat_tools,
+    collocations,
+    decontaminate,
+    language,
+    lexical,
+    license_scan,
+    mixing,
+    ngram_join,
+    quality_net,
+    quality_rules,
+    repeats,
+    secret_scan,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_quality_classifier": quality_net.op10_quality_classifier,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 ORACLES = {
@@ -22,4 +37,6 @@ ORACLES = {
     "op4_license_scan": license_scan.OP4_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op12_collocations": collocations.OP12_SQL,
+    "op13_lexical_search": lexical.OP13_SQL,
 }
