@@ -11,6 +11,7 @@ from custlens.llm import (
     license_scan,
     mixing,
     ngram_join,
+    personal_data,
     quality_net,
     quality_rules,
     repeats,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_quality_classifier": quality_net.op10_quality_classifier,
+    "op11_personal_data": personal_data.op11_personal_data,
     "op12_collocations": collocations.op12_collocations,
     "op13_lexical_search": lexical.op13_lexical_search,
 }

@@ -34,6 +34,7 @@ LEAST, MOST_WORDS, FIRST = 100, 5, 2000
 OVERLAP = MOST_WORDS - 1
 SPACING, LONGEST = 32, 512
 FILTER_BITS = 1 << 26
+PARTS = 64
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -228,8 +229,13 @@ def collocations(
     parsed = materialize(dictionary(docs, text, lang), "phrases-dictionary")
     totals = parsed.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
     scored = score(frequent(parsed, least, most_words), totals)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # A language may have most of the phrases: the best of each part first, then the best of those.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("lang", part).orderBy(*order)))
+    best = best.where(F.col("rank") <= first)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
+    ranked = ranked.where(F.col("rank") <= first)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
