@@ -5,6 +5,9 @@ Every query reads all rows and fits models of full size.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -204,16 +207,47 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return points.join(result.results.select("model", "auc_roc", "auc_pr", "train_time"), "model")
 
 
+_searches: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _search(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Report and trials of the search over one folder, made once in an application and written."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _searches:
+        train, test = cls.split(_labelled(spark, folder))
+        report, trials = cls.random_search(train, test, cls.SEARCHED_MODELS)
+        _searches[key] = materialize(report, "search-report"), materialize(trials, "search-trials")
+    return _searches[key]
+
+
 @query("random_search")
 def random_search(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = cls.split(_labelled(spark, folder))
-    return cls.random_search(train, test, cls.SEARCHED_MODELS)[1]
+    return _search(spark, folder)[1]
 
 
 @query("tuning_report")
 def tuning_report(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = cls.split(_labelled(spark, folder))
-    return cls.random_search(train, test, cls.SEARCHED_MODELS)[0]
+    return _search(spark, folder)[0]
+
+
+@query(
+    "search_check",
+    "SELECT unnest(['Gradient Boosting', 'Random Forest', 'Logistic Regression', 'MLPClassifier']) AS model, "
+    "5::BIGINT AS draws, 5::BIGINT AS settings, 1::BIGINT AS best, true AS scored, true AS improvement",
+)
+def search_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per model of the search: its draws, how many of them are the reported best, and whether the report adds up."""
+    report, trials = _search(spark, folder)
+    rows = trials.join(report, "model")
+    is_best = (F.col("params") == F.col("best_params")) & (F.col("cv_score") == F.col("best_cv"))
+    shares = [F.col(c).between(0, 1) for c in ("cv_score", "test_auc_roc", "test_auc_pr", "default_auc_roc", "default_auc_pr")]
+    return rows.groupBy("model").agg(
+        F.count("*").alias("draws"),
+        F.count_distinct("params").alias("settings"),
+        F.count_if(is_best & (F.col("cv_score") == F.col("best_cv"))).alias("best"),
+        F.bool_and(reduce(and_, shares) & (F.col("cv_score") <= F.col("best_cv"))).alias("scored"),
+        F.bool_and(F.col("improvement") == F.col("test_auc_pr") - F.col("default_auc_pr")).alias("improvement"),
+    )
 
 
 @query("model_card")

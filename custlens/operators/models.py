@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
@@ -19,8 +17,9 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, Has
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
+from custlens.operators.boosting import HistogramBoosting
 from custlens.operators.metrics import ranking_metrics
-from custlens.operators.stages import vector_size
+from custlens.operators.network import Network
 
 LABEL = "label"
 SEED = 42
@@ -57,27 +56,6 @@ class RidgeLogistic(_Sized):
         ).fit(dataset)
 
 
-class Perceptron(_Sized):
-    """Feed-forward network; the input layer takes the width of the features."""
-
-    hidden = Param(Params._dummy(), "hidden", "sizes of the hidden layers", TypeConverters.toListInt)
-
-    @keyword_only
-    def __init__(self, *, hidden=None, maxIter=None, labelCol=None, featuresCol=None, seed=None):
-        super().__init__()
-        self._configure(self._input_kwargs, hidden=[100], maxIter=500)
-
-    def _fit(self, dataset: DataFrame):
-        width = vector_size(dataset, self.getFeaturesCol())
-        return MultilayerPerceptronClassifier(
-            labelCol=self.getLabelCol(),
-            featuresCol=self.getFeaturesCol(),
-            layers=[width, *self.getOrDefault("hidden"), 2],
-            maxIter=self.getMaxIter(),
-            seed=self.getSeed(),
-        ).fit(dataset)
-
-
 class Forest(_Sized):
     """Random forest whose minimum leaf and split sizes are shares of the training rows.
 
@@ -130,10 +108,8 @@ class Forest(_Sized):
         ).fit(dataset)
 
 
-def boosting(trees: int = 100, depth: int = 3, rate: float = 0.1, bins: int = 32) -> GBTClassifier:
-    return GBTClassifier(
-        labelCol=LABEL, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=rate, maxBins=bins, seed=SEED
-    )
+def boosting(trees: int = 100, depth: int = 3, rate: float = 0.1, bins: int = 255, **options) -> HistogramBoosting:
+    return HistogramBoosting(labelCol=LABEL, trees=trees, depth=depth, rate=rate, bins=bins, seed=SEED, **options)
 
 
 def classifier(
@@ -145,9 +121,9 @@ def classifier(
         "Logistic Regression": lambda: RidgeLogistic(maxIter=max_iter),
         "Random Forest": lambda: Forest(trees=trees, depth=depth),
         "Gradient Boosting": lambda: boosting(trees),
-        "HistGradientBoosting": lambda: boosting(trees, depth=5, bins=256),
-        "XGBoost": lambda: boosting(trees, depth=6, rate=0.3, bins=256),
-        "MLPClassifier": lambda: Perceptron(hidden=list(hidden), maxIter=max_iter),
+        "HistGradientBoosting": lambda: boosting(trees, depth=0, leaves=31, leastRows=20, patience=10),
+        "XGBoost": lambda: boosting(trees, depth=6, rate=0.3, l2=1.0),
+        "MLPClassifier": lambda: Network(labelCol=LABEL, hidden=list(hidden), maxIter=max_iter),
     }
     if kind not in kinds:
         raise ValueError(f"unknown classifier {kind}")

@@ -19,10 +19,11 @@ from custlens.functions.hashing import split_by_hash
 from custlens.functions.scalars import columns_of
 from custlens.operators import encoding as enc, metrics as met, neighbours
 from custlens.operators.joins import PERSON
-from custlens.operators.models import LABEL, RankingEvaluator, boosting, classifier, scores, Forest, Perceptron, RidgeLogistic
+from custlens.operators.models import LABEL, boosting, classifier, scores, Forest, RidgeLogistic
+from custlens.operators.network import Network
 from custlens.operators.stages import FillMissing, KeepTopLevels, QuantileBins, ScaleColumns, VariancePCA, slot_names
 from custlens.plans import features as feat
-from custlens.session import in_parallel, materialize
+from custlens.session import in_parallel, materialize, scratch_path
 
 TEST_SHARE = 0.2
 
@@ -246,8 +247,8 @@ def _neighbour_scores(train: DataFrame, test: DataFrame, k: int = 5) -> DataFram
 def draw_candidates(kind: str, n: int, seed: int = 42) -> list[dict]:
     """``n`` seeded draws of a model's parameters.
 
-    Axes without a counterpart in Spark's learners (solver, activation, weight decay and learning
-    rate of the network) are not drawn. Leaf shares end at 0.49, as Spark's must be below one half.
+    The solver of the regression, which does not change its optimum, is not drawn. Leaf shares end at 0.49, as
+    Spark's must be below one half.
     """
     rng = random.Random(seed)
 
@@ -274,7 +275,12 @@ def draw_candidates(kind: str, n: int, seed: int = 42) -> list[dict]:
             "subset": uniform(0.6, 0.4),
         },
         "Logistic Regression": lambda: {"C": log_uniform(0.01, 10.0)},
-        "MLPClassifier": lambda: {"hidden": rng.choice([[50], [100], [50, 50]])},
+        "MLPClassifier": lambda: {
+            "hidden": rng.choice([[50], [100], [50, 50]]),
+            "activation": rng.choice(["relu", "tanh"]),
+            "decay": log_uniform(1e-5, 1e-1),
+            "rate": log_uniform(1e-4, 1e-1),
+        },
     }
     return [spaces[kind]() for _ in range(n)]
 
@@ -282,15 +288,13 @@ def draw_candidates(kind: str, n: int, seed: int = 42) -> list[dict]:
 def build(kind: str, params: Mapping, max_iter: int | None = None) -> Estimator:
     """The model with drawn parameters; ``max_iter`` as for ``classifier``."""
     if kind == "Gradient Boosting":
-        return boosting(params["trees"], params["depth"], params["rate"]).setParams(
-            subsamplingRate=params["subsample"], featureSubsetStrategy=f"{params['subset']:.6f}"
-        )
+        return boosting(**params)
     if kind == "Random Forest":
         return Forest(**{**params, "subset": f"{params['subset']:.6f}"})
     if kind == "Logistic Regression":
         return RidgeLogistic(C=params["C"], maxIter=max_iter)
     if kind == "MLPClassifier":
-        return Perceptron(hidden=params["hidden"], maxIter=max_iter)
+        return Network(labelCol=LABEL, maxIter=max_iter, **params)
     raise ValueError(f"no search space for {kind}")
 
 
@@ -306,61 +310,83 @@ def random_search(
     folds: int = 3,
     metric: str = "auc_pr",
     stages: list | None = None,
-    parallelism: int = 4,
+    parallelism: int | None = None,
     max_iter: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Best drawn parameters per model against its defaults on the test rows, and every trial.
 
-    Folds are stratified. Preprocessing is fitted inside each fold, once for all candidates, so
-    nothing leaks from the validation rows and no candidate repeats it. ``train_time`` is the fit of the best
-    parameters on all training rows, ``search_time`` that of all trials; ``max_iter`` holds for tuned and default models.
+    Folds are stratified. Preprocessing is fitted inside each fold, once for all candidates, so nothing leaks from the
+    validation rows and no candidate repeats it. All (model, draw, fold) trials stand in one queue, the longest first, of
+    which ``parallelism`` run at a time (one per core without it). Their predictions meet in one table, and one query
+    scores all of them. ``train_time`` is the fit of the best parameters on all training rows, ``search_time`` the
+    seconds that the fits of a model's trials took in all; ``max_iter`` holds for tuned and default models.
     """
     spark = train.sparkSession
+    parallelism = parallelism or spark.sparkContext.defaultParallelism
     stages = stages or preprocessing(feat.FEATURE_SETS["C"], train, fill="median", scale="robust")
     folded = materialize(split_by_hash(train, PERSON, LABEL, [1 / folds] * folds, "fold"), "folds")
-    prepared = [
-        _prepare(stages, folded.where(F.col("fold") != i), folded.where(F.col("fold") == i))[1:] for i in range(folds)
-    ]
-    _, full_train, full_test = _prepare(stages, train, test)
-    evaluator = RankingEvaluator(metric)
-    reports, trials = [], []
+    parts = [(folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)) for i in range(folds)]
+    ready = in_parallel([lambda p=p: _prepare(stages, *p)[1:] for p in [*parts, (train, test)]], parallelism)
+    draws = {(kind, i): params for kind in kinds for i, params in enumerate(draw_candidates(kind, n_iter))}
+    queue = [(kind, i, fold) for kind, i in draws for fold in range(folds)]
+    estimators = {trial: build(trial[0], draws[trial[:2]], max_iter) for trial in queue}
+    queue.sort(key=lambda trial: -_work(draws[trial[:2]]))
+    values, seconds = _run_trials(queue, estimators, ready[:folds], metric, parallelism)
+
+    means = {key: sum(values[(*key, fold)][metric] for fold in range(folds)) / folds for key in draws}
+    # A fold with one class has no score: such a candidate is the worst, not the best.
+    worth = {key: -math.inf if math.isnan(mean) else mean for key, mean in means.items()}
+    best = {kind: max(range(n_iter), key=lambda i: worth[kind, i]) for kind in kinds}
+    finals = {(kind, "tuned", 0): build(kind, draws[kind, best[kind]], max_iter) for kind in kinds}
+    finals |= {(kind, "default", 0): classifier(kind, max_iter=max_iter) for kind in kinds}
+    tests, training = _run_trials(list(finals), finals, ready[folds:], metric, parallelism)
+    reports = []
     for kind in kinds:
-        candidates = draw_candidates(kind, n_iter)
-        runs = [
-            lambda p=params, a=a, b=b: evaluator.evaluate(build(kind, p, max_iter).fit(a).transform(b))
-            for params in candidates
-            for a, b in prepared
-        ]
-        values, searching = _timed(lambda: in_parallel(runs, parallelism))
-        means = [sum(values[i * folds : (i + 1) * folds]) / folds for i in range(n_iter)]
-        trials += [(kind, json.dumps(p, sort_keys=True), mean) for p, mean in zip(candidates, means)]
-        # A fold with one class has no score: such a candidate is the worst, not the best.
-        best = max(range(n_iter), key=lambda i: -math.inf if math.isnan(means[i]) else means[i])
-        fitted, training = _timed(lambda: build(kind, candidates[best], max_iter).fit(full_train))
-        tuned, default = (
-            met.ranking_metrics(materialize(scores(model.transform(full_test)), "scored")).first()
-            for model in (fitted, classifier(kind, max_iter=max_iter).fit(full_train))
-        )
+        tuned, default = tests[kind, "tuned", 0], tests[kind, "default", 0]
         reports.append(
             (
                 kind,
-                json.dumps(candidates[best], sort_keys=True),
-                means[best],
+                json.dumps(draws[kind, best[kind]], sort_keys=True),
+                means[kind, best[kind]],
                 tuned["auc_roc"],
                 tuned["auc_pr"],
                 default["auc_roc"],
                 default["auc_pr"],
                 tuned[metric] - default[metric],
-                training,
-                searching,
+                training[kind, "tuned", 0],
+                sum(spent for trial, spent in seconds.items() if trial[0] == kind),
             )
         )
+    trials = [(kind, json.dumps(draws[kind, i], sort_keys=True), mean) for (kind, i), mean in means.items()]
     return (
         spark.createDataFrame(reports, SEARCH_SCHEMA),
         spark.createDataFrame(trials, "model string, params string, cv_score double"),
     )
 
 
+def _work(params: Mapping) -> float:
+    """Rough size of a fit, to start long ones first."""
+    return params.get("trees", 1) * params.get("depth", 1) + 50 * sum(params.get("hidden", []))
+
+
+def _run_trials(queue: list, estimators: Mapping, ready: list, metric: str, parallelism: int) -> tuple[dict, dict]:
+    """Metrics and seconds of fitting of each (model, draw, fold); ``ready`` has the rows of each fold."""
+    path = scratch_path(SparkSession.active(), "trials")
+
+    def run(place: int, trial: tuple) -> float:
+        rows, held = ready[trial[2]]
+        model, spent = _timed(lambda: estimators[trial].fit(rows))
+        scores(model.transform(held)).write.parquet(f"{path}/trial={place}")
+        return spent
+
+    spent = in_parallel([lambda p=p, t=t: run(p, t) for p, t in enumerate(queue)], parallelism)
+    scored = SparkSession.active().read.parquet(path)
+    found = {row["trial"]: row for row in met.ranking_metrics(scored, by=["trial"]).collect()}
+    number = lambda row, name: math.nan if row is None or row[name] is None else row[name]
+    values = {t: {name: number(found.get(p), name) for name in ("auc_roc", "auc_pr")} for p, t in enumerate(queue)}
+    return values, dict(zip(queue, spent))
+
+
 # --- the best model -------------------------------------------------------------------------------------
 
 
