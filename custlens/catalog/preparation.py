@@ -15,9 +15,7 @@ from custlens.operators.joins import PERSON, products_in_english
 from custlens.operators.stages import FillMissing, KeepTopLevels, QuantileBins, ScaleColumns
 from custlens.plans import features as feat
 from custlens.session import materialize
-from custlens.sources import read_star_shop, read_star_table
-
-PROFILED = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+from custlens.sources import discover_tables, read_star_shop, read_star_table
 
 
 def _clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,12 +30,18 @@ def _v1(spark: SparkSession, folder: str) -> DataFrame:
 
 # Columns of the profiled tables, as the SQL side needs them by name.
 COLUMNS = {
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
     "events": "event_id ts user_id event_type value props",
+    "labels": "doc_id quality toxic",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
     " l_returnflag l_linestatus l_shipdate",
     "nation": "n_nationkey n_name n_regionkey",
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "pages": "page_id url html",
     "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
     "region": "r_regionkey r_name",
     "supplier": "s_suppkey s_name s_nationkey s_acctbal",
@@ -45,14 +49,15 @@ COLUMNS = {
 
 
 def _tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {t: read_star_table(spark, folder, t) for t in PROFILED}
+    """Every table that the folder holds."""
+    return discover_tables(spark, folder, "*.parquet", "parquet")[0]
 
 
 @query(
     "profile_shape",
     " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n_rows, {len(COLUMNS[t].split())} AS n_columns FROM {t}"
-        for t in PROFILED
+        for t in COLUMNS
     ),
 )
 def profile_shape(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,8 +70,10 @@ def profile_shape(spark: SparkSession, folder: str) -> DataFrame:
 
 # Column types that are not strings.
 KINDS = {
-    "bigint": "c_custkey event_id user_id l_orderkey l_partkey l_suppkey o_orderkey o_custkey p_partkey s_suppkey",
-    "int": "c_nationkey l_linenumber n_nationkey n_regionkey p_size r_regionkey s_nationkey",
+    "bigint": "c_custkey event_id user_id l_orderkey l_partkey l_suppkey o_orderkey o_custkey p_partkey s_suppkey"
+    " item_id conv_id turn doc_id n_chars vec_id page_id",
+    "array<float>": "embedding",
+    "int": "label quality toxic c_nationkey l_linenumber n_nationkey n_regionkey p_size r_regionkey s_nationkey",
     "double": "c_acctbal value l_quantity l_extendedprice l_discount l_tax o_totalprice p_retailprice s_acctbal",
     "timestamp_ntz": "ts l_shipdate o_orderdate",
 }
@@ -78,7 +85,7 @@ _KIND = {column: kind for kind, columns in KINDS.items() for column in columns.s
     " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, {i} AS position, '{c}' AS column_name, '{_KIND.get(c, 'string')}' AS data_type,
             count({c}) AS n_values FROM {t}"""
-        for t in PROFILED
+        for t in COLUMNS
         for i, c in enumerate(COLUMNS[t].split(), start=1)
     ),
 )
@@ -140,7 +147,7 @@ def profile_sample(spark: SparkSession, folder: str) -> DataFrame:
         f"""SELECT '{t}' AS table_name, count(*) AS n_rows, {len(COLUMNS[t].split())} AS n_columns,
         '{c}' AS column_name, count(*) - count({c}) AS null_count,
         (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS null_pct FROM {t}"""
-        for t in PROFILED
+        for t in COLUMNS
         for c in COLUMNS[t].split()
     ),
 )

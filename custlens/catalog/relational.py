@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from custlens.catalog.base_sql import with_views
@@ -10,7 +12,7 @@ from custlens.functions.scalars import finite_or_zero, parsed_timestamp, whole_d
 from custlens.operators import aggregates as agg, joins
 from custlens.operators.joins import PERSON
 from custlens.plans import features as feat
-from custlens.sources import read_star_shop, read_star_table
+from custlens.sources import discover_tables, read_star_shop, read_star_table
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -30,20 +32,18 @@ def _rounded_sql(columns: list[str], digits: int = 6) -> str:
 # --- scans ---------------------------------------------------------------------------------------
 
 
-@query(
-    "scan_tables",
-    " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
-        for t in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
-    ),
-)
+# The tables of a folder, as the SQL side needs them by name.
+TABLES = (
+    "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier"
+).split()
+
+
+@query("scan_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
 def scan_tables(spark: SparkSession, folder: str) -> DataFrame:
-    counts = None
-    for name in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"):
-        rows = read_star_table(spark, folder, name).agg(F.count("*").alias("n_rows"))
-        rows = rows.select(F.lit(name).alias("table_name"), "n_rows")
-        counts = rows if counts is None else counts.unionByName(rows)
-    return counts
+    """Every table that the folder holds."""
+    tables, _ = discover_tables(spark, folder, "*.parquet", "parquet")
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query(

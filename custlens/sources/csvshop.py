@@ -6,7 +6,7 @@ from fnmatch import fnmatch
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from custlens.sources.shop import Shop
 
@@ -86,8 +86,8 @@ def discover_tables(
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Every file or table folder in ``folder`` that matches, and the errors of those that fail.
 
-    Spark itself lists the folder, so any store it can read works; no file content is read for that. Free text may hold
-    quoted line breaks, so CSV is read with ``multiline`` unless told otherwise.
+    The folder's store lists it, one level and no content, so any store that Spark can read works. Free text may hold
+    quoted line breaks, so CSV is read with ``multiline`` unless told otherwise. A folder that does not exist raises.
     """
     folder = folder.rstrip("/")
     tables, errors = {}, {}
@@ -104,8 +104,7 @@ def discover_tables(
 
 
 def _entries(spark: SparkSession, folder: str) -> list[str]:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    # Spark may respell the scheme of a path, so only what follows it is looked for.
-    after = F.substring_index("path", folder.split("://")[-1] + "/", -1)
-    entry = F.url_decode(F.replace(F.substring_index(after, "/", 1), F.lit("+"), F.lit("%2B")))
-    return sorted(row[0] for row in files.select(entry.alias("entry")).distinct().collect())
+    """Names of the files and folders directly in ``folder``, as its store lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in store.listStatus(path))
