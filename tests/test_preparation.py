@@ -5,26 +5,52 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from custlens.functions.hashing import in_sample, split_by_hash
-from custlens.functions.quantiles import exact_quantiles
+from custlens.functions.quantiles import exact_quantiles, key_value, sort_keys
 from custlens.functions.scalars import finite_or_zero, parsed_timestamp, whole_days
 from custlens.operators import encoding as enc
 from custlens.operators.profile import null_profile
 from custlens.operators.stages import FillMissing, KeepTopLevels, QuantileBins, ScaleColumns, VariancePCA, components_for
 
 
-@pytest.mark.parametrize("seed,n", [(0, 1), (1, 2), (2, 7), (3, 1000), (4, 40000)])
-def test_quantiles_are_exact(spark, seed, n):
+@pytest.mark.parametrize("seed,n,gather", [(0, 1, 0), (1, 2, 100), (2, 7, 0), (3, 1000, 20), (4, 40000, 0), (4, 40000, 10000)])
+def test_quantiles_are_exact(spark, seed, n, gather):
     rng = np.random.default_rng(seed)
     a = np.round(rng.lognormal(3, 2, n), 2)
     b = np.where(rng.random(n) < 0.4, 5.0, rng.normal(size=n))  # one hot value
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(7)
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
-    found = {(r["feature"], r["probability"]): r["value"] for r in exact_quantiles(df, ["a", "b"], probabilities, accuracy=200).collect()}
+    found = {(r["feature"], r["probability"]): r["value"] for r in exact_quantiles(df, ["a", "b"], probabilities, gather=gather).collect()}
     for name, values in (("a", a), ("b", b)):
         for p in probabilities:
             assert found[name, p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("gather", [0, 100_000])
+def test_quantiles_of_odd_values(spark, gather):
+    rng = np.random.default_rng(9)
+    odd = [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1e308, -1e308, 1.0, np.nextafter(1.0, 2)]
+    groups = {"a": odd, None: list(-rng.lognormal(0, 3, 500)), "c": [3.0] * 50}
+    rows = [(g, i % 2, float(x)) for g, values in groups.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, h int, x double").repartition(5)
+    probabilities = [0.0, 0.3, 0.5, 1.0]
+    found = {(r["g"], r["h"], r["probability"]): r["value"] for r in exact_quantiles(df, ["x"], probabilities, ["g", "h"], gather).collect()}
+    assert len(found) == 6 * len(probabilities)
+    for (g, h, p), value in found.items():
+        own = sorted(x for i, x in enumerate(groups[g]) if i % 2 == h)
+        low = own[int(np.floor((len(own) - 1) * p))], own[int(np.ceil((len(own) - 1) * p))]
+        place = (len(own) - 1) * p % 1
+        want = low[0] + place * (low[1] - low[0])
+        assert value == want or (np.isnan(value) and np.isnan(want))
+
+
+def test_keys_sort_like_the_doubles():
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.normal(size=1000) * 10.0 ** rng.integers(-300, 300, 1000), [0.0, -0.0, np.inf, -np.inf]])
+    keys = sort_keys(values)
+    assert (values[np.argsort(keys, kind="stable")] == np.sort(values)).all()
+    assert all(key_value(int(k)) == v for k, v in zip(keys, values))
+
+
 def test_quantiles_by_group_skip_nulls(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, None), (1, float("nan")), (2, None)], "g int, x double")
     rows = exact_quantiles(df, ["x"], [0.5], by=["g"]).collect()
