@@ -1,8 +1,8 @@
 """Classifier metrics from a table of labels (0 or 1) and scores, exact at any size.
 
-Curves never sort the table in one task: equal scores are counted first, the distinct scores are
-cut into buckets at sketched quantiles, and running totals are taken inside each bucket on top of the
-bucket totals before it. ``by`` names columns with few levels, e.g. the model.
+Curves never sort the table in one task: equal scores are counted first, the distinct scores are dealt to tasks by ranges,
+as many as their size asks for, and running totals are taken inside each range on top of the totals of the ranges before
+it. ``by`` names columns with few levels, e.g. the model.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from custlens.functions.scalars import ratio
-
-BUCKETS = 64
+from custlens.session import materialize
 
 
 def score_curve(
-    scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), buckets: int = BUCKETS
+    scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), tasks: int | None = None
 ) -> DataFrame:
     """One row per distinct score, highest first, with counts and running totals of both classes.
 
-    ``scored`` is read three times. Broadcast sides hold at most ``buckets`` rows per level of ``by``.
+    Runs at once up to the counts of the distinct scores, which it writes. Broadcast sides hold at most one row per range and
+    level of ``by``. The ranges are as many as Spark finds fit, or ``tasks``.
     """
     by = list(by)
     keys = by or ["everything"]
@@ -30,29 +30,26 @@ def score_curve(
         F.col(label).cast("long").alias("label"),
         F.col(score).cast("double").alias("score"),
     )
-    fractions = [i / buckets for i in range(1, buckets)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("score", fractions, 100 * buckets).alias("edges"))
-    # Buckets are numbered from the highest scores down.
-    bucket = F.size(F.filter("edges", lambda edge: edge >= F.col("score")))
-    rows = rows.join(F.broadcast(edges), keys).select(*keys, "label", "score", bucket.alias("bucket"))
     positives, negatives = F.sum("label"), F.sum(1 - F.col("label"))
+    counted = rows.groupBy(*keys, "score").agg(positives.alias("pos"), negatives.alias("neg"))
+    # Ranges are numbered from the highest scores down.
+    ranged = counted.repartitionByRange(*([tasks] if tasks else []), *keys, F.desc("score"))
+    counted = materialize(ranged.withColumn("bucket", F.spark_partition_id()), "scores")
     in_order = W.partitionBy(*keys).orderBy("bucket")
     totals = (
-        rows.groupBy(*keys, "bucket")
-        .agg(positives.alias("p"), negatives.alias("q"), F.max("score").alias("top"))
+        counted.groupBy(*keys, "bucket")
+        .agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.max("score").alias("top"))
         .withColumn("p_before", F.sum("p").over(in_order) - F.col("p"))
         .withColumn("q_before", F.sum("q").over(in_order) - F.col("q"))
         .withColumn("positives", F.sum("p").over(W.partitionBy(*keys)))
         .withColumn("negatives", F.sum("q").over(W.partitionBy(*keys)))
         .drop("p", "q")
     )
-    # A bucket's totals and the first score of the bucket after it.
+    # A range's totals and the first score of the range after it.
     totals = totals.withColumn("next_top", F.lead("top").over(in_order)).drop("top")
     downwards = W.partitionBy(*keys, "bucket").orderBy(F.desc("score"))
     return (
-        rows.groupBy(*keys, "bucket", "score")
-        .agg(positives.alias("pos"), negatives.alias("neg"))
-        .join(F.broadcast(totals), [*keys, "bucket"])
+        counted.join(F.broadcast(totals), [*keys, "bucket"])
         .withColumn("cum_pos", F.col("p_before") + F.sum("pos").over(downwards))
         .withColumn("cum_neg", F.col("q_before") + F.sum("neg").over(downwards))
         .withColumn("next_score", F.coalesce(F.lead("score").over(downwards), "next_top"))
@@ -63,10 +60,10 @@ def score_curve(
 
 
 def ranking_metrics(
-    scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()
+    scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), tasks: int | None = None
 ) -> DataFrame:
     """ROC-AUC (tied scores count half) and average precision; null when a class is missing."""
-    curve = score_curve(scored, label, score, by)
+    curve = score_curve(scored, label, score, by, tasks)
     keys = [c for c in by] or ["everything"]
     wide = F.col("neg").cast("decimal(38,0)")
     result = curve.groupBy(*keys).agg(
@@ -82,10 +79,10 @@ def ranking_metrics(
 
 
 def roc_points(
-    scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()
+    scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), tasks: int | None = None
 ) -> DataFrame:
     """Points of the ROC curve from (0, 0) on: the first and last score, and every corner between them."""
-    curve = score_curve(scored, label, score, by)
+    curve = score_curve(scored, label, score, by, tasks)
     keys = [c for c in by] or ["everything"]
     # The step that follows a point, even across buckets, is the counts of the next lower score. Its
     # counts are on the row of that score, at most one row per bucket boundary away.

@@ -39,22 +39,37 @@ def test_textbook_scores(spark):
     assert row["auc_pr"] == pytest.approx(0.8333, abs=1e-4)
 
 
-@pytest.mark.parametrize("seed,ties", [(0, 3), (1, 50), (2, 10_000)])
-def test_ranking_metrics_against_brute_force(spark, seed, ties):
+@pytest.mark.parametrize("seed,ties,tasks", [(0, 3, None), (1, 50, 7), (2, 10_000, None), (2, 10_000, 13)])
+def test_ranking_metrics_against_brute_force(spark, seed, ties, tasks):
     rng = np.random.default_rng(seed)
     s = np.floor(rng.random(400) * ties) / ties
     s[rng.random(400) < 1 / 3] = 0.5  # a third of the rows share one score
     y = (rng.random(400) < s).astype(int)
     rows = [(int(a), float(b)) for a, b in zip(y, s)]
-    row = met.ranking_metrics(scored(spark, rows)).first()
+    row = met.ranking_metrics(scored(spark, rows), tasks=tasks).first()
     assert row["auc_roc"] == pytest.approx(brute_auc(y, s))
     assert row["auc_pr"] == pytest.approx(brute_ap(list(y), list(s)))
-    points = sorted((r["fpr"], r["tpr"]) for r in met.roc_points(scored(spark, rows)).collect())
+    points = sorted((r["fpr"], r["tpr"]) for r in met.roc_points(scored(spark, rows), tasks=tasks).collect())
     area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
     assert points[0] == (0.0, 0.0) and points[-1] == (1.0, 1.0)
     assert area == pytest.approx(row["auc_roc"])
 
 
+def test_ranges_do_not_matter(spark):
+    rng = np.random.default_rng(3)
+    s, y, g = rng.integers(0, 300, 2000) / 300, rng.integers(0, 2, 2000), rng.integers(0, 3, 2000)
+    df = spark.createDataFrame([(f"m{c}", int(a), float(b)) for a, b, c in zip(y, s, g)], "model string, label int, score double")
+    one, many = (met.score_curve(df, by=["model"], tasks=tasks) for tasks in (1, 11))
+    assert many.select("model", "bucket").distinct().count() > 11 > one.select("bucket").distinct().count()
+    drop = lambda curve: sorted(map(tuple, curve.drop("bucket").collect()), key=str)
+    assert drop(one) == drop(many)
+    for model in range(3):
+        own = [(r["score"], r["cum_pos"], r["cum_neg"]) for r in many.where(F.col("model") == f"m{model}").collect()]
+        for score, p, n in own:
+            at_least = (s >= score) & (g == model)
+            assert (p, n) == (int(y[at_least].sum()), int((1 - y[at_least]).sum()))
+
+
 def test_roc_drops_straight_runs(spark):
     rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (0, 0.5)]
     points = sorted((r["fpr"], r["tpr"]) for r in met.roc_points(scored(spark, rows)).collect())
