@@ -5,17 +5,18 @@ Every query reads all rows and fits models of full size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from custlens.catalog.base_sql import with_views
 from custlens.catalog.preparation import _CLUSTERED, _HASH, _clean, _clustered
 from custlens.catalog.registry import query
 from custlens.functions.hashing import in_sample
-from custlens.operators import encoding as enc, neighbours
+from custlens.operators import clustering as cl, encoding as enc, neighbours
 from custlens.operators.joins import PERSON
 from custlens.operators.models import classifier, scores
 from custlens.operators.stages import slot_names
@@ -120,6 +121,73 @@ def pca_train_test(spark: SparkSession, folder: str) -> DataFrame:
     return ready.select(PERSON, "label", vector_to_array("features").alias("components"))
 
 
+@query(
+    "pca_check",
+    with_views(
+        "fc",
+        query="SELECT unnest(['0.9', '10']) AS kept, (SELECT count(*) FROM fc) AS n_rows, true AS uncorrelated, "
+        "true AS ordered, true AS share",
+    ),
+)
+def pca_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether components are uncorrelated, come by falling variance, and keep the share asked for (nothing less would)."""
+    rows, out = _clean(spark, folder), None
+    for kept, settings in (("0.9", {"variance": 0.9}), ("10", {"variance": None, "components": 10})):
+        fitted = seg.preparation(**settings).fit(rows)
+        last = fitted.stages[-1]
+        ratios = list((last.stages[0] if hasattr(last, "stages") else last).explainedVariance)
+        n = seg.pca_summary(spark, fitted).first()["components"]
+        share = sum(ratios[:n]) >= 0.9 > sum(ratios[: n - 1]) if kept == "0.9" else n == 10
+        point = vector_to_array("features")
+        wide = fitted.transform(rows).select(*(point[i].alias(f"c{i}") for i in range(n)))
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        variances = [F.var_pop(f"c{i}") for i in range(n)]
+        small = [F.abs(F.covar_pop(f"c{i}", f"c{j}")) <= 1e-6 * F.var_pop("c0") for i, j in pairs]
+        falling = [a >= b * (1 - 1e-9) for a, b in zip(variances, variances[1:])]
+        part = wide.agg(
+            F.lit(kept).alias("kept"),
+            F.count("*").alias("n_rows"),
+            reduce(and_, small).alias("uncorrelated"),
+            reduce(and_, falling).alias("ordered"),
+            F.lit(bool(share)).alias("share"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "kmeans_check",
+    with_views(
+        "fc",
+        query="SELECT unnest(range(2, 7))::INTEGER AS k, (SELECT count(*) FROM fc) AS n_rows, "
+        "true AS nearest, true AS cost, true AS falling, true AS least",
+    ),
+)
+def kmeans_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per k: whether labels are the nearest centres, the cost is that of the labels, falls with k, and is the least of the starts."""
+    rows = _clean(spark, folder)
+    vectors = materialize(seg.preparation(variance=0.95).fit(rows).transform(rows).select(PERSON, "features"), "vectors")
+    point, out, before = vector_to_array("features"), None, float("inf")
+    for k in range(2, 7):
+        model = cl.fit_kmeans(vectors, k, 3, 100)
+        single = cl.fit_kmeans(vectors, k, 1, 100).summary.trainingCost
+        centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
+        square = lambda c: F.aggregate(F.zip_with(point, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b)
+        far = model.transform(vectors).withColumn("far", F.transform(centres, square))
+        own = F.get("far", F.col("cluster"))
+        cost = model.summary.trainingCost
+        part = far.agg(
+            F.lit(k).alias("k"),
+            F.count("*").alias("n_rows"),
+            F.bool_and(own <= F.array_min("far") * (1 + 1e-6) + 1e-9).alias("nearest"),
+            (F.abs(F.sum(own) - cost) <= 1e-6 * cost).alias("cost"),
+            F.lit(cost <= before * 1.02).alias("falling"),
+            F.lit(cost <= single * (1 + 1e-9)).alias("least"),
+        )
+        before, out = cost, part if out is None else out.unionByName(part)
+    return out
+
+
 @query("kmeans_full")
 def kmeans_full(spark: SparkSession, folder: str) -> DataFrame:
     """The first recipe: z-scored numbers beside plain state dummies, ten starts per k, no components."""
@@ -176,48 +244,127 @@ def knn5(spark: SparkSession, folder: str) -> DataFrame:
 # --- classifiers -------------------------------------------------------------------------------------------
 
 
+_made: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, folder: str, name: str, make: Callable):
+    """What ``make`` gives, made once for a folder in an application: queries that look at one fit share it."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _feature_grid(spark: SparkSession, folder: str) -> cls.GridResult:
+    def make() -> cls.GridResult:
+        train, test = cls.split(_labelled(spark, folder))
+        return cls.run_grid(train, test, cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS))
+
+    return _once(spark, folder, "feature sets", make)
+
+
+def _preprocessing_grid(spark: SparkSession, folder: str) -> cls.GridResult:
+    def make() -> cls.GridResult:
+        train, test = cls.split(_labelled(spark, folder))
+        return cls.run_grid(train, test, cls.experiment_cells(train))
+
+    return _once(spark, folder, "preprocessings", make)
+
+
+def _comparison(spark: SparkSession, folder: str) -> cls.GridResult:
+    def make() -> cls.GridResult:
+        train, test = cls.split(_labelled(spark, folder))
+        stages = cls.preprocessing(feat.FEATURE_SETS["C"], train, fill="median", scale="robust")
+        cells = [cls.Cell("C", name, stages, classifier(name)) for name in [*cls.COMPARED_MODELS, "XGBoost"]]
+        return cls.run_grid(train, test, cells)
+
+    return _once(spark, folder, "models", make)
+
+
+def _best(spark: SparkSession, folder: str) -> cls.BestModel:
+    return _once(spark, folder, "best", lambda: cls.best_model(_labelled(spark, folder), fraction=1.0))
+
+
+def _search(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Report and trials of the search."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        train, test = cls.split(_labelled(spark, folder))
+        report, trials = cls.random_search(train, test, cls.SEARCHED_MODELS)
+        return materialize(report, "search-report"), materialize(trials, "search-trials")
+
+    return _once(spark, folder, "search", make)
+
+
 @query("grid_feature_sets")
 def grid_feature_sets(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = cls.split(_labelled(spark, folder))
-    cells = cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS)
-    return cls.run_grid(train, test, cells).results.withColumnsRenamed({"config": "feature_set", "auc_roc": "auc"})
+    return _feature_grid(spark, folder).results.withColumnsRenamed({"config": "feature_set", "auc_roc": "auc"})
 
 
 @query("grid_preprocessing")
 def grid_preprocessing(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = cls.split(_labelled(spark, folder))
-    return cls.run_grid(train, test, cls.experiment_cells(train)).results
+    return _preprocessing_grid(spark, folder).results
 
 
 @query("rank_experiments")
 def rank_experiments(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = cls.split(_labelled(spark, folder))
-    cells = cls.grid_cells(train, list("ABCD"), cls.GRID_MODELS)
-    return cls.rank(cls.run_grid(train, test, cells).results, "auc_pr", 10)
+    return cls.rank(_feature_grid(spark, folder).results, "auc_pr", 10)
 
 
 @query("model_comparison")
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Five models and the boosting preset over all features, with the ROC points of each."""
-    train, test = cls.split(_labelled(spark, folder))
-    stages = cls.preprocessing(feat.FEATURE_SETS["C"], train, fill="median", scale="robust")
-    cells = [cls.Cell("C", name, stages, classifier(name)) for name in [*cls.COMPARED_MODELS, "XGBoost"]]
-    result = cls.run_grid(train, test, cells)
+    result = _comparison(spark, folder)
     points = cls.met.roc_points(result.scored, by=["model"])
     return points.join(result.results.select("model", "auc_roc", "auc_pr", "train_time"), "model")
 
 
-_searches: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_TESTED = """labels_only AS (SELECT customer_unique_id, max(payment_installments) AS most FROM w3 GROUP BY 1),
+tested AS (
+  SELECT label, round(0.2 * count(*)) AS n
+  FROM (SELECT CAST(most >= 2 AS INTEGER) AS label FROM f3 JOIN labels_only USING (customer_unique_id)) GROUP BY label)"""
 
 
-def _search(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Report and trials of the search over one folder, made once in an application and written."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _searches:
-        train, test = cls.split(_labelled(spark, folder))
-        report, trials = cls.random_search(train, test, cls.SEARCHED_MODELS)
-        _searches[key] = materialize(report, "search-report"), materialize(trials, "search-trials")
-    return _searches[key]
+@query(
+    "grid_check",
+    with_views(
+        "f3",
+        _TESTED,
+        query="SELECT study, cells::BIGINT AS cells, 0::BIGINT AS failed, "
+        "CAST(cells * (SELECT sum(n) FROM tested) AS BIGINT) AS scored_rows, true AS auc, true AS accuracy FROM "
+        "(VALUES ('feature sets', 12), ('preprocessings', 20), ('models', 6)) v(study, cells)",
+    ),
+)
+def grid_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per study: cells, failures, scored test rows, and whether AUC (by ranks) and accuracy follow from those rows."""
+    by, out = ["config", "model"], None
+    for study, grid in (
+        ("feature sets", _feature_grid(spark, folder)),
+        ("preprocessings", _preprocessing_grid(spark, folder)),
+        ("models", _comparison(spark, folder)),
+    ):
+        ranked = grid.scored.withColumn("below", F.rank().over(W.partitionBy(*by).orderBy("score")) - 1)
+        ranked = ranked.withColumn("ties", F.count("*").over(W.partitionBy(*by, "score")))
+        ones = F.sum("label")
+        auc = (F.sum(F.col("label") * (F.col("below") + (F.col("ties") + 1) / 2)) - ones * (ones + 1) / 2) / (
+            ones * (F.count("*") - ones)
+        )
+        again = ranked.groupBy(*by).agg(
+            F.count("*").alias("rows"),
+            auc.alias("auc_again"),
+            F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy_again"),
+        )
+        near = lambda a, b: F.bool_and(F.abs(F.col(a) - F.col(b)) < 1e-9)
+        part = grid.results.join(again, by, "left").agg(
+            F.lit(study).alias("study"),
+            F.count("*").alias("cells"),
+            F.count("error").alias("failed"),
+            F.sum("rows").alias("scored_rows"),
+            near("auc_roc", "auc_again").alias("auc"),
+            near("accuracy", "accuracy_again").alias("accuracy"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("random_search")
@@ -253,7 +400,7 @@ def search_check(spark: SparkSession, folder: str) -> DataFrame:
 @query("model_card")
 def model_card(spark: SparkSession, folder: str) -> DataFrame:
     """The metrics record of the best model, as read back from its JSON file."""
-    card = cls.best_model(_labelled(spark, folder), fraction=1.0).card
+    card = _best(spark, folder).card
     path = scratch_path(spark, "card")
     write_table(card, path, "json")
     return spark.read.schema(card.schema).json(path)
@@ -261,12 +408,42 @@ def model_card(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return cls.best_model(_labelled(spark, folder), fraction=1.0).importances
+    return _best(spark, folder).importances
 
 
 @query("topk_importances")
 def topk_importances(spark: SparkSession, folder: str) -> DataFrame:
-    return cls.top_importances(cls.best_model(_labelled(spark, folder), fraction=1.0).importances, 20)
+    return cls.top_importances(_best(spark, folder).importances, 20)
+
+
+@query(
+    "best_model_check",
+    with_views(
+        "f3",
+        _TESTED,
+        query="SELECT (SELECT count(*) FROM f3) AS sample_size, CAST((SELECT sum(n) FROM tested) AS BIGINT) AS scored_rows, "
+        "20::BIGINT AS top, true AS names, true AS weights, true AS area",
+    ),
+)
+def best_model_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the best model's record, importances and ROC points agree with each other and with the scored rows."""
+    best = _best(spark, folder)
+    step = W.orderBy("fpr", "tpr")
+    strip = (F.col("fpr") - F.lag("fpr").over(step)) * (F.col("tpr") + F.lag("tpr").over(step)) / 2
+    area = best.roc.select(strip.alias("strip")).agg(F.sum("strip").alias("area"))
+    weights = best.importances.agg(
+        F.sum("importance").alias("total"), F.min("importance").alias("least"), F.count_distinct("feature").alias("names")
+    )
+    top = cls.top_importances(best.importances, 20).agg(F.count("*").alias("top"))
+    counted = best.scored.agg(F.count("*").alias("scored_rows"))
+    return best.card.crossJoin(area).crossJoin(weights).crossJoin(top).crossJoin(counted).select(
+        F.col("sample_size").cast("long").alias("sample_size"),
+        "scored_rows",
+        "top",
+        (F.col("names") == F.col("n_features")).alias("names"),
+        ((F.abs(F.col("total") - 1) < 1e-9) & (F.col("least") >= 0)).alias("weights"),
+        (F.abs(F.col("area") - F.col("auc_roc")) < 1e-9).alias("area"),
+    )
 
 
 # --- sinks -------------------------------------------------------------------------------------------------
@@ -308,7 +485,7 @@ def sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query("sink_results")
 def sink_results(spark: SparkSession, folder: str) -> DataFrame:
     """Result, importance and ROC tables of one best model, written as CSV and counted on return."""
-    best = cls.best_model(_labelled(spark, folder), fraction=1.0)
+    best = _best(spark, folder)
     result = None
     for name, table in {"card": best.card, "importances": best.importances, "roc": best.roc}.items():
         path = scratch_path(spark, name)
@@ -323,7 +500,7 @@ def sink_results(spark: SparkSession, folder: str) -> DataFrame:
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of a pipeline before and after it was saved and loaded."""
     rows = _labelled(spark, folder).withColumnRenamed(feat.LABEL, "label")
-    model = cls.best_model(rows.withColumnRenamed("label", feat.LABEL), fraction=1.0).model
+    model = _best(spark, folder).model
     path = scratch_path(spark, "model")
     save_model(model, path)
     before = scores(model.transform(rows), PERSON)

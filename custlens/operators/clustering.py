@@ -91,7 +91,7 @@ def _davies_bouldin(df: DataFrame, features: str, cluster: str, labels: list, me
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     counts = df.groupBy(cluster).agg(F.count("*").alias("size"))
     total = counts.agg(F.sum("size")).scalar()
-    return counts.withColumn("percentage", F.col("size") * 100.0 / total)
+    return counts.withColumn("percentage", F.col("size") * 100.0 / total).orderBy(cluster)
 
 
 def cluster_means(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:

@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
+# These fit dozens of models of full size, for minutes; the plans behind them are tested with small models.
+LONG = {"grid_check", "search_check"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - LONG))
 def test_matches_sql(spark, duck, name):
     assert difference(QUERIES[name](spark, FOLDER), duck, ORACLES[name]) is None
 
