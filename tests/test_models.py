@@ -5,7 +5,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from custlens.functions.hashing import split_by_hash
-from custlens.operators import clustering as cl, encoding as enc, metrics as met
+from custlens.operators import clustering as cl, encoding as enc, metrics as met, neighbours
 from custlens.operators.joins import PERSON
 from custlens.operators.models import Forest, RankingEvaluator, RidgeLogistic, classifier
 from custlens.operators.neighbours import nearest_neighbours, vote
@@ -139,8 +139,8 @@ def test_pivot_means(spark):
     assert row.asDict() == {"feature": "v", "0": 1.5, "1": 5.12}
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 7), (5, 3), (12, 1000)])
-def test_neighbours_against_brute_force(spark, pivots, block):
+@pytest.mark.parametrize("pivots,block,crowded", [(1, 7, 512), (5, 3, 512), (12, 1000, 512), (5, 4, 8)])
+def test_neighbours_against_brute_force(spark, pivots, block, crowded):
     rng = np.random.default_rng(pivots)
     points = rng.normal(size=(90, 2)).round(1)
     points[rng.random(90) < 1 / 3] = [0.5, 0.5]  # a third of all rows are copies
@@ -148,13 +148,55 @@ def test_neighbours_against_brute_force(spark, pivots, block):
     train = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, p array<double>")
     test = spark.createDataFrame([(1000 + i, q.tolist()) for i, q in enumerate(queries)], "id long, p array<double>")
     found = {}
-    for r in nearest_neighbours(train, test, "id", "p", 5, pivots, block).collect():
+    for r in nearest_neighbours(train, test, "id", "p", 5, pivots, block, crowded).collect():
         found.setdefault(r["id"], {})[r["place"]] = (r["distance_sq"], r["neighbour"])
     for i, q in enumerate(queries):
         order = sorted(((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2, j) for j, p in enumerate(points))[:5]
         assert [found[1000 + i][place] for place in range(1, 6)] == order
 
 
+@pytest.fixture(scope="module")
+def mixed_points():
+    """Customers as wide vectors: eight numbers that follow four hidden ones, and 152 dummy slots with unequal shares."""
+    rng = np.random.default_rng(5)
+    hidden = rng.normal(size=(4, 8))
+    numbers = rng.normal(size=(3300, 4)) @ hidden + 0.1 * rng.normal(size=(3300, 8))
+    dummies = np.zeros((3300, 152))
+    dummies[np.arange(3300), np.minimum(rng.geometric(0.4, 3300) - 1, 151)] = 1.0
+    return np.hstack([numbers, dummies])
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_hashed_neighbours_on_160_slots(spark, mixed_points, exact):
+    points, queries = mixed_points[:3000], mixed_points[3000:]
+    train = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, p array<double>")
+    test = spark.createDataFrame([(10000 + i, q.tolist()) for i, q in enumerate(queries)], "id long, p array<double>")
+    found = {}
+    for r in nearest_neighbours(train, test, "id", "p", 5, crowded=400, exact=exact).collect():
+        found.setdefault(r["id"], []).append((r["distance_sq"], r["neighbour"], r["proven"]))
+    hits = proven = 0
+    for i, q in enumerate(queries):
+        true = np.argsort(((points - q) ** 2).sum(axis=1), kind="stable")[:5].tolist()
+        got = [neighbour for _, neighbour, _ in sorted(found[10000 + i])]
+        assert len(got) == 5
+        if found[10000 + i][0][2]:
+            assert got == true
+            proven += 1
+        hits += len(set(got) & set(true))
+    assert proven == len(queries) if exact else proven < len(queries)
+    assert hits >= 0.9 * 5 * len(queries)
+
+
+def test_hash_walls_are_lower_bounds():
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(400, 3))
+    ids, walls = neighbours._HashTables(points, 50.0).buckets(points)
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    for column in range(0, ids.shape[1], 3):
+        apart = ids[:, None, column] != ids[None, :, column]
+        assert (far >= walls[:, column, None] - 1e-12)[apart].all()
+
+
 def test_vote_with_fewer_points_than_k(spark):
     train = spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 1), (3, [2.0], 0)], "id long, p array<double>, y int")
     test = spark.createDataFrame([(9, [0.0])], "id long, p array<double>")
