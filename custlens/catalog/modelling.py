@@ -134,8 +134,7 @@ def pca_check(spark: SparkSession, folder: str) -> DataFrame:
     rows, out = _clean(spark, folder), None
     for kept, settings in (("0.9", {"variance": 0.9}), ("10", {"variance": None, "components": 10})):
         fitted = seg.preparation(**settings).fit(rows)
-        last = fitted.stages[-1]
-        ratios = list((last.stages[0] if hasattr(last, "stages") else last).explainedVariance)
+        ratios = list(fitted.stages[-1].explainedVariance)
         n = seg.pca_summary(spark, fitted).first()["components"]
         share = sum(ratios[:n]) >= 0.9 > sum(ratios[: n - 1]) if kept == "0.9" else n == 10
         point = vector_to_array("features")

@@ -12,6 +12,7 @@ from custlens.functions.scalars import finite_or_zero, parsed_timestamp, whole_d
 from custlens.operators import aggregates as agg, joins
 from custlens.operators.joins import PERSON
 from custlens.plans import features as feat
+from custlens.session import materialize
 from custlens.sources import discover_tables, read_star_shop, read_star_table
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -533,6 +534,41 @@ def distinct_counts_approx(spark: SparkSession, folder: str) -> DataFrame:
     return agg.distinct_counts(_bought(spark, folder), PERSON, ["orders", "categories", "sellers"], exact=False)
 
 
+@query(
+    "distinct_sketch_check",
+    with_views(
+        "english",
+        query=f"""SELECT unnest(['categories', 'orders', 'sellers']) AS counted, (SELECT count(*) FROM ({_DISTINCT_SQL})) AS people,
+          0::BIGINT AS outside, true AS united""",
+    ),
+)
+def distinct_sketch_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per column: people whose estimate is outside 5 % (three deviations) of the exact count, and whether all sketches
+    united come within it of the count over all people."""
+    columns = ["categories", "orders", "sellers"]
+    bought = materialize(_bought(spark, folder), "bought")
+    sketches = materialize(agg.distinct_sketches(bought, PERSON, columns), "sketches")
+    exact = agg.distinct_counts(bought, PERSON, columns)
+    near = agg.distinct_estimates(sketches, [PERSON], columns).toDF(PERSON, *(f"near_{c}" for c in columns))
+    everyone = agg.distinct_estimates(sketches, [], columns)
+    real = bought.agg(*(F.count_distinct(c).alias(f"all_{c}") for c in columns))
+
+    def off(a: str, b: str) -> Column:
+        return F.abs(F.col(a) - F.col(b)) > 0.05 * F.col(b)
+
+    people = exact.join(near, PERSON, "full").agg(
+        F.count("*").alias("people"),
+        *(F.count_if(F.coalesce(off(f"near_{c}", f"unique_{c}"), F.lit(True))).alias(f"off_{c}") for c in columns),
+    )
+    rows = [
+        F.struct(F.lit(c).alias("counted"), "people", F.col(f"off_{c}").alias("outside"), (~off(f"unique_{c}", f"all_{c}")).alias("united"))
+        for c in columns
+    ]
+    # One row on either side.
+    one = people.withColumn("one", F.lit(1)).join(everyone.withColumn("one", F.lit(1)), "one").join(real.withColumn("one", F.lit(1)), "one")
+    return one.select(F.inline(F.array(*rows)))
+
+
 @query(
     "mode_state_city",
     with_views(

@@ -124,9 +124,27 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, group: str, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Distinct non-null values per group; the sketch of ``exact=False`` needs one shuffle less."""
-    count = F.count_distinct if exact else F.approx_count_distinct
-    return df.groupBy(group).agg(*(count(c).alias(f"unique_{c}") for c in columns))
+    """Distinct non-null values per group; the sketches of ``exact=False`` need one shuffle less."""
+    if not exact:
+        return distinct_estimates(distinct_sketches(df, group, columns), [group], columns)
+    return df.groupBy(group).agg(*(F.count_distinct(c).alias(f"unique_{c}") for c in columns))
+
+
+def distinct_sketches(df: DataFrame, group: str, columns: Sequence[str], bits: int = 12) -> DataFrame:
+    """One mergeable HyperLogLog sketch per group and column, to be stored and united later.
+
+    A sketch of ``bits`` 12 errs by 1.7 % (one standard deviation) and is at most 4 KB; few values make a small and exact one.
+    A column without values has an empty sketch.
+    """
+    return df.groupBy(group).agg(
+        *(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(bits)).alias(f"sketch_{c}") for c in columns)
+    )
+
+
+def distinct_estimates(sketches: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Distinct values after uniting the stored sketches by any columns of theirs, or all into one row."""
+    united = (F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{c}")).alias(f"unique_{c}") for c in columns)
+    return sketches.groupBy(*by).agg(*united)
 
 
 def _sum(column: str) -> Column:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from custlens.operators.stages import DropFirstSlot, slot_names
@@ -69,10 +68,16 @@ def encode(df: DataFrame, columns: Sequence[str], drop_first: bool = False, fit_
 
 
 def long_form(df: DataFrame, key: str, vector: str, names: Sequence[str] | None = None) -> DataFrame:
-    """Non-zero vector slots as rows ``(key, feature, value)``."""
-    labels = F.array(*(F.lit(n) for n in (names or slot_names(df, vector))))
-    return (
-        df.select(key, F.posexplode(vector_to_array(vector)).alias("slot", "value"))
-        .where(F.col("value") != 0)
-        .select(key, F.get(labels, F.col("slot")).alias("feature"), "value")
+    """Non-zero vector slots as rows ``(key, feature, value)``; a null vector gives none.
+
+    Sparse vectors give up their entries as they are, so work follows the filled slots and not the width, and the names come by
+    a join on the slot from a table of one row per slot.
+    """
+    parts = F.unwrap_udt(F.col(vector))
+    slots = F.coalesce(parts["indices"], F.sequence(F.lit(0), F.size(parts["values"]) - 1))
+    entries = F.zip_with(slots, parts["values"], lambda slot, value: F.struct(slot.alias("slot"), value.alias("value")))
+    named = df.sparkSession.createDataFrame(
+        list(enumerate(names or slot_names(df, vector))), "slot int, feature string"
     )
+    filled = df.select(key, F.inline(entries)).where(F.col("value") != 0)
+    return filled.join(named, "slot").select(key, "feature", "value")

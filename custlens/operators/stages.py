@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, PipelineModel, Transformer
-from pyspark.ml.feature import PCA, VectorSlicer
+from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.feature import PCA, PCAModel, VectorSlicer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from custlens.functions.quantiles import collect_quantiles
 from custlens.operators.aggregates import most_frequent
+from custlens.operators.components import as_model, components_for, leading_components
 
 
 class _Learned(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -195,43 +197,46 @@ class DropFirstSlot(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
 
 class VariancePCA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Principal components that together keep at least ``target`` of the variance.
+    """Principal components that together keep at least ``target`` of the variance, or the first ``components``.
 
-    The components come from the covariance, which centres by itself; the projection of sparse input stays uncentred,
-    i.e. shifted by a constant that distances do not see. The covariance is a columns x columns
-    matrix on the driver: bucket wide one-hot blocks first (``KeepTopLevels``).
+    Projects on the kept directions only; the projection stays uncentred, i.e. shifted by a constant that distances do not
+    see. Up to ``gramSlots`` slots one pass gathers the covariance (8 MB for 1,024); beyond, the directions come from block
+    subspace iteration, which never holds a slots x slots matrix.
     """
 
     target = Param(Params._dummy(), "target", "share of variance to keep", TypeConverters.toFloat)
+    components = Param(Params._dummy(), "components", "directions to keep, 0 for as many as target needs", TypeConverters.toInt)
+    gramSlots = Param(Params._dummy(), "gramSlots", "slots up to which the covariance is gathered", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, target=0.95):
+    def __init__(self, *, inputCol=None, outputCol=None, target=0.95, components=0, gramSlots=1024):
         super().__init__()
         self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
-        inner = self.getOutputCol() + "_all"
-        size = vector_size(dataset, self.getInputCol())
-        fitted = PCA(k=size, inputCol=self.getInputCol(), outputCol=inner).fit(dataset)
-        keep = components_for(list(fitted.explainedVariance), self.getOrDefault("target"))
-        slicer = VectorSlicer(inputCol=inner, outputCol=self.getOutputCol(), indices=list(range(keep)))
-        return PipelineModel([fitted, slicer])
-
-
-def components_for(ratios: list[float], target: float) -> int:
-    """Smallest number of leading components whose variance shares add up to ``target``."""
-    total = 0.0
-    for count, share in enumerate(ratios, start=1):
-        total += share
-        if total >= target:
-            return count
-    return len(ratios)
+        self._setDefault(target=0.95, components=0, gramSlots=1024)
+
+    def _fit(self, dataset: DataFrame) -> PCAModel:
+        column, target, wanted = self.getInputCol(), self.getOrDefault("target"), self.getOrDefault("components")
+        size = vector_size(dataset, column)
+        if size <= self.getOrDefault("gramSlots"):
+            fitted = PCA(k=min(wanted or size, size), inputCol=column, outputCol=self.getOutputCol()).fit(dataset)
+            shares = np.array(fitted.explainedVariance.toArray())
+            keep = len(shares) if wanted else components_for(list(shares), target)
+            ways, shares = fitted.pc.toArray()[:, :keep], shares[:keep]
+        else:
+            ways, shares = leading_components(dataset, column, target, wanted or None)
+        model = as_model(dataset, ways, shares)
+        return model.setInputCol(column).setOutputCol(self.getOutputCol())
 
 
 def vector_size(dataset: DataFrame, column: str) -> int:
-    """Slots of a vector column, from its metadata or else its first row."""
+    """Slots of a vector column, from its metadata or else its first row that is not null."""
     declared = dataset.schema[column].metadata.get("ml_attr", {}).get("num_attrs")
-    return declared or dataset.select(column).first()[0].size
+    if declared:
+        return declared
+    first = dataset.select(column).where(F.col(column).isNotNull()).first()
+    if first is None:
+        raise ValueError(f"no rows in {column}")
+    return first[0].size
 
 
 def slot_names(dataset: DataFrame, column: str) -> list[str]:

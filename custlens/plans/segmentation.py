@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from custlens.operators import clustering as cl, encoding as enc
@@ -48,7 +48,7 @@ def preparation(
     if scale_all:
         stages.append(StandardScaler(inputCol="raw", outputCol=last, withMean=False, withStd=True))
     if components is not None:
-        stages.append(PCA(k=components, inputCol=last, outputCol="features"))
+        stages.append(VariancePCA(inputCol=last, outputCol="features", components=components))
     elif variance is not None:
         stages.append(VariancePCA(inputCol=last, outputCol="features", target=variance))
     return Pipeline(stages=stages)
@@ -102,11 +102,9 @@ def pca_summary(spark: SparkSession, fitted: PipelineModel) -> DataFrame:
     """Features in, components kept and the variance share they keep; no row without components."""
     rows = []
     for stage in fitted.stages:
-        inner = stage.stages if isinstance(stage, PipelineModel) else [stage]
-        if hasattr(inner[0], "explainedVariance"):
-            ratios = list(inner[0].explainedVariance)
-            kept = len(inner[1].getIndices()) if len(inner) > 1 else len(ratios)
-            rows.append((inner[0].pc.numRows, kept, float(sum(ratios[:kept]))))
+        if hasattr(stage, "explainedVariance"):
+            shares = list(stage.explainedVariance)
+            rows.append((stage.pc.numRows, len(shares), float(sum(shares))))
     return spark.createDataFrame(rows, "features int, components int, explained double")
 
 

@@ -148,7 +148,7 @@ def test_neighbours_against_brute_force(spark, pivots, block, crowded):
     train = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, p array<double>")
     test = spark.createDataFrame([(1000 + i, q.tolist()) for i, q in enumerate(queries)], "id long, p array<double>")
     found = {}
-    for r in nearest_neighbours(train, test, "id", "p", 5, pivots, block, crowded).collect():
+    for r in nearest_neighbours(train, test, "id", "p", 5, pivots, block, crowded, hashed=True).collect():
         found.setdefault(r["id"], {})[r["place"]] = (r["distance_sq"], r["neighbour"])
     for i, q in enumerate(queries):
         order = sorted(((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2, j) for j, p in enumerate(points))[:5]

@@ -2,12 +2,14 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from custlens.functions.hashing import in_sample, split_by_hash
 from custlens.functions.quantiles import exact_quantiles, key_value, sort_keys
 from custlens.functions.scalars import finite_or_zero, parsed_timestamp, whole_days
-from custlens.operators import encoding as enc
+from custlens.operators import aggregates as agg, encoding as enc
 from custlens.operators.profile import null_profile
 from custlens.operators.stages import FillMissing, KeepTopLevels, QuantileBins, ScaleColumns, VariancePCA, components_for
 
@@ -172,3 +174,39 @@ def test_variance_pca_keeps_distances(spark):
     assert reduced.shape == (60, 2)
     original = np.linalg.norm(points[0] - points[1])
     assert np.linalg.norm(reduced[0] - reduced[1]) == pytest.approx(original, rel=1e-3)
+
+
+@pytest.mark.parametrize("settings", [{"target": 0.8}, {"components": 5}])
+def test_components_of_wide_vectors_without_their_covariance(spark, settings):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(300, 6)) * [9, 7, 5, 3, 2, 1] @ rng.normal(size=(6, 60)) + 0.2 * rng.normal(size=(300, 60)) + 3
+    points[rng.random(points.shape) < 0.5] = 0.0
+    rows = [(Vectors.sparse(60, np.flatnonzero(p).tolist(), p[p != 0].tolist()),) for p in points]
+    df = spark.createDataFrame(rows, ["v"]).repartition(3)
+    model = VariancePCA(inputCol="v", outputCol="w", gramSlots=10, **settings).fit(df)
+    values = np.sort(np.linalg.eigvalsh(np.cov(points.T)))[::-1]
+    shares = values / values.sum()
+    kept = model.explainedVariance.toArray()
+    assert len(kept) == (5 if "components" in settings else int(np.argmax(np.cumsum(shares) >= 0.8)) + 1)
+    assert kept == pytest.approx(shares[: len(kept)], rel=1e-6)
+    got = np.array([r[0] for r in model.transform(df).select(vector_to_array("w")).collect()])
+    spread = np.cov(got.T)
+    assert np.abs(spread - np.diag(np.diag(spread))).max() < 1e-6 * spread[0, 0]
+    with pytest.raises(ValueError):
+        VariancePCA(inputCol="v", outputCol="w", gramSlots=10).fit(df.limit(0))
+
+
+def test_long_form_of_sparse_dense_and_null_vectors(spark):
+    rows = [(1, Vectors.sparse(4, [1, 3], [2.0, 0.0])), (2, Vectors.dense([0, 5, 0, 7])), (3, None), (4, Vectors.sparse(4, [], []))]
+    df = spark.createDataFrame(rows, StructType([StructField("id", LongType()), StructField("v", VectorUDT())]))
+    long = enc.long_form(df, "id", "v", ["a", "b", "c", "d"])
+    assert sorted(map(tuple, long.collect())) == [(1, "b", 2.0), (2, "b", 5.0), (2, "d", 7.0)]
+
+
+def test_sketches_unite(spark):
+    df = spark.range(6000).select((F.col("id") % 3).alias("g"), (F.col("id") % 2000).alias("x"), F.lit(None).cast("string").alias("y"))
+    sketches = agg.distinct_sketches(df, "g", ["x", "y"])
+    for row in agg.distinct_estimates(sketches, ["g"], ["x", "y"]).collect():
+        exact = len({i % 2000 for i in range(6000) if i % 3 == row["g"]})
+        assert abs(row["unique_x"] - exact) <= 0.05 * exact and row["unique_y"] == 0
+    assert abs(agg.distinct_estimates(sketches, [], ["x"]).first()[0] - 2000) <= 100
