@@ -1,11 +1,13 @@
 """License scan: sure phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or, as wordings run over line breaks, a window of words: windows are twice as long as the longest template and
-begin at every word that is a multiple of its length, so any run of that many words lies whole in one. A template is found in a block if the block holds at least ``containment`` of the template's distinct words.
+A block is a window of words, over line breaks too. Templates of similar length share windows: with ``span`` the next power of two from a
+template's length, windows are ``2 * span`` words long and begin at every multiple of ``span``, so any run of ``span`` words lies
+whole in one, and words that stand further apart never make a license, however long their line is. A template is found in a
+block if the block holds at least ``containment`` of the template's distinct words; whole license texts can be templates as well.
 The join works on the words of the templates in one global order, rarest in all blocks first:
 
 * prefix filter: a block that reaches the threshold holds one of the first ``size - need + 1`` words of the template,
-* length filter: it has ``need`` distinct words at least,
+* length filter: it has ``need`` distinct words of templates at least,
 * positional filter: from the first common word on, both sides have ``need`` words left,
 
 and what passes is counted exactly. Words that no template holds cannot count and are dropped before anything is exploded.
@@ -73,25 +75,17 @@ def scan(
     lines = docs.select(
         F.monotonically_increasing_id().alias("row"), column(docs, key).alias("key"), low.alias("low")
     )
-    known = F.array(*map(F.lit, vocabulary))
-    block = F.transform(
-        F.split("low", "\n"),
-        lambda line: F.struct(
-            F.size(F.array_distinct(F.split(line, GAP))).alias("n"),
-            F.array_intersect(F.split(line, GAP), known).alias("words"),
-        ),
+    # Words that no template holds are null.
+    marked = F.transform(
+        F.filter(F.split("low", GAP), lambda w: w != ""), lambda w: F.when(w.isin(vocabulary), w)
     )
-    across = F.when(F.col("low").contains("\n"), _windows(max(len(t.split()) for _, t in templates), known))
-    # No template is in a block with fewer of its words; n of a window leaves out words that cannot count.
-    least = min(_need(t, containment) for _, t in templates)
-    across = F.transform(across, lambda words: F.struct(F.size(words).alias("n"), words.alias("words")))
-    blocks = F.concat(block, F.coalesce(across, F.array()))
+    blocks = F.transform(F.array(marked), lambda words: F.concat(*(_windows(words, *c) for c in _spans(templates, containment))))[0]
     rows = lines.select(
         "row",
         "key",
         F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
         *_phrase_columns(phrases),
-        F.filter(blocks, lambda b: F.size(b["words"]) >= least).alias("blocks"),
+        blocks.alias("blocks"),
     )
     rows = materialize(rows, "license-blocks")
     found = _join(rows.select("row", F.explode("blocks").alias("b")), vocabulary, templates, containment)
@@ -115,14 +109,26 @@ def _need(wording: str, containment: float) -> int:
     return math.ceil(containment * len(set(wording.split())) - 1e-9)
 
 
-def _windows(longest: int, known: Column) -> Column:
-    """The ``known`` words of each window of ``2 * longest`` words, which begin ``longest`` words apart."""
-    words = F.filter(F.split("low", GAP), lambda x: x != "")
-    cut = lambda w: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - longest - 1, F.lit(0)), F.lit(longest)),
-        lambda i: F.array_intersect(F.slice(w, i + 1, 2 * longest), known),
+def _span(wording: str) -> int:
+    return 1 << (len(wording.split()) - 1).bit_length()
+
+
+def _spans(templates: list[tuple[str, str]], containment: float) -> list[tuple[int, int]]:
+    """The spans of the templates, each with the fewest words that a block must share with one of them."""
+    least: dict[int, int] = {}
+    for _, wording in templates:
+        least[_span(wording)] = min(_need(wording, containment), least.get(_span(wording), 1 << 30))
+    return sorted(least.items())
+
+
+def _windows(words: Column, span: int, least: int) -> Column:
+    """The known words of each window of ``2 * span`` words, ``span`` words apart, where ``least`` different ones are."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - span - 1, F.lit(0)), F.lit(span))
+    known = F.transform(
+        starts, lambda i: F.array_distinct(F.filter(F.slice(words, i + 1, 2 * span), lambda w: w.isNotNull()))
     )
-    return F.transform(F.array(words), cut)[0]
+    rich = F.filter(known, lambda b: F.size(b) >= least)
+    return F.transform(rich, lambda b: F.struct(F.lit(span).alias("span"), b.alias("words")))
 
 
 def _phrase_columns(phrases: dict[str, str]) -> list[Column]:
@@ -161,6 +167,7 @@ def _join(blocks: DataFrame, vocabulary: list[str], templates, containment: floa
             entries.append(
                 F.struct(
                     F.lit(token).alias("token"),
+                    F.lit(_span(wording)).alias("span"),
                     F.lit(label).alias("label"),
                     F.lit(place).alias("place"),
                     F.lit(need).alias("need"),
@@ -170,15 +177,15 @@ def _join(blocks: DataFrame, vocabulary: list[str], templates, containment: floa
     spark = blocks.sparkSession
     prefixes = spark.range(1).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     tokens = (
-        blocks.select("row", "b.n", ranks.alias("ranks"))
+        blocks.select("row", "b.span", ranks.alias("ranks"))
         .where(F.arrays_overlap("ranks", F.array(*map(F.lit, sorted(wanted)))))
-        .select("row", "n", "ranks", F.posexplode("ranks").alias("at", "token"))
+        .select("row", "span", "ranks", F.posexplode("ranks").alias("at", "token"))
     )
     left = F.least(F.size("ids") - F.col("place"), F.size("ranks") - F.col("at"))
     common = F.size(F.array_intersect("ids", "ranks"))
     return (
-        tokens.join(F.broadcast(prefixes), "token")
-        .where((F.col("n") >= F.col("need")) & (left >= F.col("need")))
+        tokens.join(F.broadcast(prefixes), ["span", "token"])
+        .where((F.size("ranks") >= F.col("need")) & (left >= F.col("need")))
         .withColumn("common", common)
         .where("common >= need")
         .groupBy("row")
@@ -220,12 +227,13 @@ places AS (
 base AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS base
   FROM places GROUP BY doc_id),
-templates(label, t) AS (VALUES {", ".join(f"('{label}', list_distinct({_listed(t)}))" for label, t in TEMPLATES)}),
+templates(label, span, t) AS (VALUES {", ".join(f"('{label}', {_span(t)}, list_distinct({_listed(t)}))" for label, t in TEMPLATES)}),
 blocks AS (
-  SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS b
-  FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+  SELECT doc_id, span, list_distinct(w[i + 1 : i + 2 * span]) AS b
+  FROM (SELECT doc_id, w, span, unnest(range(0, greatest(len(w) - span, 1), span)) AS i
+        FROM d, (SELECT DISTINCT span FROM templates))),
 matches AS (
-  SELECT doc_id, label, len(list_intersect(t, b)) / CAST(len(t) AS DOUBLE) AS share FROM blocks, templates
+  SELECT doc_id, label, len(list_intersect(t, b)) / CAST(len(t) AS DOUBLE) AS share FROM blocks JOIN templates USING (span)
   WHERE len(list_intersect(t, b)) >= ceil({CONTAINMENT} * len(t) - 1e-9)),
 found AS (SELECT doc_id, list_distinct(list(label)) AS found, max(share) AS score FROM matches GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,

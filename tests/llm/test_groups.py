@@ -248,3 +248,23 @@ def test_secret_windows_are_different_and_threshold_free(spark, monkeypatch):
     every = seen["fitted"] + seen["left"]
     assert len(every) == len(set(every)) == 120
     assert model.threshold == 0.25
+
+
+def test_scattered_words_are_no_license(spark):
+    wording = "licensed under the gnu general public license version".split()
+    line = " ".join(f"{w} " + " ".join(f"x{i}" for i in range(400)) for w in reversed(wording))
+    near = " ".join(f"{w} " + " ".join(f"x{i}" for i in range(6)) for w in wording)
+    whole = " ".join(["y"] * 3001 + wording + ["z"] * 5000)
+    rows = {r["doc_id"]: r for r in license_scan.scan(frame(spark, [line, near, whole, line.replace("x399", "x399\n")])).collect()}
+    found = [list(rows[i]["found"]) for i in sorted(rows)]
+    assert found == [[], [], ["gpl", "lgpl"], []]  # eight of the nine words of the other wording
+
+
+def test_whole_license_text_as_template(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    templates = [("long", text), ("mit", "released under the mit license")]
+    cut = " ".join(f"w{i}" for i in range(300) if i % 10)  # nine of ten words are left
+    less = " ".join(f"w{i}" for i in range(300) if i % 5)
+    texts = ["a " * 777 + cut, less, "b " * 130 + text + " released under the mit license"]
+    rows = {r["doc_id"]: list(r["found"]) for r in license_scan.scan(frame(spark, texts), templates=templates).collect()}
+    assert [rows[i] for i in sorted(rows)] == [["long"], [], ["long", "mit"]]
