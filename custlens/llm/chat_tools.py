@@ -10,7 +10,9 @@ Only DataFrame functions are used.
 
 ``exchanges`` reads messages: a user turn is a call of the tool ``reply`` named ``conversation:turn``, which waits for the
 one two turns before, and the assistant turn that follows it is its result. Messages whose text is a JSON object with
-``tool_calls`` or ``tool_call_id`` bring calls and results of their own.
+``tool_calls`` or ``tool_call_id`` bring calls and results of their own. ``formatted`` returns every message: beside
+what ``link`` gives, system turns, other roles and null roles are rows of status ``message``, and texts that
+``link`` only counts as they conflict with the smallest of their identifier are rows of status ``conflict``.
 
 Defined cases: rows without a conversation have theirs in common; calls of one conversation with one identifier are one call, the one whose JSON text is smallest (``copies`` counts them), and
 likewise for the results of one call; a call without a result is ``open``; a result without a call is ``orphan``; a call
@@ -41,7 +43,8 @@ KINDS = {
     "boolean": r"true|false",
 }
 _EMBEDDED = (
-    "struct<tool_calls:array<struct<id:string,name:string,after:string,arguments:map<string,string>>>,"
+    "struct<tool_calls:array<struct<id:string,name:string,after:string,arguments:map<string,string>,"
+    "function:struct<name:string,arguments:string>>>,"
     "tool_call_id:string,content:string>"
 )
 
@@ -170,8 +173,8 @@ def link(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
 def exchanges(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of the messages ``conv_id, turn, role, text``."""
     rows = messages.select(
-        column(messages, "conv_id").cast("long").alias("conv"),
-        column(messages, "turn").cast("long").alias("turn"),
+        column(messages, "conv_id").alias("conv"),
+        column(messages, "turn").try_cast("long").alias("turn"),
         column(messages, "role").alias("role"),
         column(messages, "text").alias("text"),
     )
@@ -186,7 +189,17 @@ def exchanges(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv", "turn", name(turn).alias("id"), F.lit("reply").alias("name"), name(turn - 2).alias("after"), arguments.alias("arguments")
     )
     written = rows.where(holds).select("conv", "turn", F.explode("own.tool_calls").alias("c"))
-    written = written.select("conv", "turn", "c.id", "c.name", "c.after", F.coalesce("c.arguments", F.create_map().cast("map<string,string>")).alias("arguments"))
+    # A call under ``function`` holds its arguments as an object or as the text of one.
+    nested = F.from_json("c.function.arguments", "map<string,string>")
+    none = F.create_map().cast("map<string,string>")
+    written = written.select(
+        "conv",
+        "turn",
+        "c.id",
+        F.coalesce("c.name", "c.function.name").alias("name"),
+        "c.after",
+        F.coalesce("c.arguments", nested, none).alias("arguments"),
+    )
     replies = rows.where((F.col("role") == "assistant") & ~holds & ~answers).select(
         "conv", "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content")
     )
@@ -196,10 +209,89 @@ def exchanges(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spoken.unionByName(written), replies.unionByName(returned)
 
 
+def messages_beside(messages: DataFrame) -> DataFrame:
+    """Messages that are neither call nor result, as rows like those of ``link`` with status ``message``: system turns, other
+    roles and messages without a role. ``name`` is the role, ``result`` the text, ``n_results`` the number of equal messages."""
+    text, role = column(messages, "text"), column(messages, "role")
+    own = F.when(text.startswith("{"), F.from_json(text, _EMBEDDED))
+    tool = F.coalesce(own["tool_calls"].isNotNull() | own["tool_call_id"].isNotNull(), F.lit(False))
+    rows = messages.where(~tool & ~F.coalesce(role.isin("user", "assistant"), F.lit(False))).select(
+        column(messages, "conv_id").alias("conv_id"),
+        column(messages, "turn").try_cast("long").alias("turn"),
+        role.alias("name"),
+        text.alias("result"),
+    )
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    call_id = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    return _beside(rows.withColumn("call_id", call_id), "message", F.lit(0).cast("long"), F.col("n"))
+
+
+def conflicts(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The calls and results that ``link`` counts but does not show, as rows with status ``conflict``: those that differ from the
+    smallest of their identifier, one row for equal ones."""
+    text = canonical(F.struct(sorted_map(F.col("arguments")).alias("arguments"), F.col("name")))
+    asked = _larger(calls.select("conv", "turn", F.col("id").alias("key"), "after", text.alias("text")))
+    call = F.from_json("text", "arguments map<string,string>, name string")
+    asked = asked.select(
+        F.col("conv").alias("conv_id"), "turn", F.col("key").alias("call_id"), "after", "n",
+        call["arguments"].alias("arguments"), call["name"].alias("name"),
+    )
+    given = _larger(results.select("conv", "turn", F.col("call_id").alias("key"), F.col("content").alias("text")))
+    given = given.select(
+        F.col("conv").alias("conv_id"), "turn", F.col("key").alias("call_id"), "n", F.col("text").alias("result")
+    )
+    none = F.lit(0).cast("long")
+    return _beside(asked, "conflict", F.col("n"), none).unionByName(_beside(given, "conflict", none, F.col("n")))
+
+
+def _larger(rows: DataFrame) -> DataFrame:
+    """The rows of each ``conv, key`` whose text is not the smallest (null is least), equal ones counted as ``n``."""
+    extra = [c for c in rows.columns if c not in ("conv", "key", "text")]
+    found = rows.where("key is not null").groupBy("conv", "key", "text").agg(
+        F.min(F.struct(*extra)).alias("extra"), F.count("*").alias("n")
+    )
+    least = found.groupBy(F.col("conv").alias("l_conv"), F.col("key").alias("l_key")).agg(
+        F.min(F.struct("text")).alias("least"), F.count("*").alias("texts")
+    )
+    same = F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("key") == F.col("l_key"))
+    left = found.join(least.where("texts > 1"), same).where(~F.col("text").eqNullSafe(F.col("least.text")))
+    return left.select("conv", "key", "text", "extra.*", "n")
+
+
+def _beside(rows: DataFrame, status: str, n_calls: Column, n_results: Column) -> DataFrame:
+    """Rows in the columns of ``link``; what they lack is null."""
+    kinds = {"after": "string", "arguments": "map<string,string>", "name": "string", "result": "string"}
+    for c, kind in kinds.items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    level, state = F.lit(None).cast("long"), F.lit(status)
+    text = canonical(
+        F.struct("after", "arguments", F.col("call_id").alias("id"), level.alias("level"), "name", "result", state.alias("status"))
+    )
+    return rows.select(
+        "conv_id",
+        "turn",
+        "call_id",
+        level.alias("level"),
+        state.alias("status"),
+        n_calls.alias("n_calls"),
+        n_results.alias("n_results"),
+        F.lit(None).cast("string").alias("problems"),
+        text.alias("json"),
+    )
+
+
+def formatted(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
+    """Every message of ``conv_id, turn, role, text`` in canonical form: linked exchanges, other messages, conflicting texts."""
+    calls, results = exchanges(messages)
+    return (
+        link(calls, results, schemas).unionByName(messages_beside(messages)).unionByName(conflicts(calls, results))
+    )
+
+
 def op2_tool_calls(spark, folder):
-    calls, results = exchanges(spark.read.parquet(f"{folder}/conversations.parquet"))
-    linked = link(calls, results)
-    return linked.withColumn("json_sha256", F.sha2(F.col("json").cast("binary"), 256)).drop("json")
+    rows = formatted(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return rows.withColumn("json_sha256", F.sha2(F.col("json").cast("binary"), 256)).drop("json")
 
 
 OP2_SQL = r"""
@@ -232,4 +324,21 @@ SELECT conv_id, turn, call_id, level, status, n_calls, n_results, problems,
          || CASE WHEN asked IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(content), 'null')
          || ',"status":"' || status || '"}') AS json_sha256
 FROM linked
+UNION ALL
+SELECT CAST(conv_id AS BIGINT), CAST(turn AS BIGINT), conv_id || ':' || turn, NULL, 'message', 0, count(*), NULL,
+       sha256('{"after":null,"arguments":null,"id":' || to_json(conv_id || ':' || turn) || ',"level":null,"name":'
+         || coalesce(to_json(role), 'null') || ',"result":' || coalesce(to_json(text), 'null') || ',"status":"message"}')
+FROM conversations WHERE coalesce(role, '') NOT IN ('user', 'assistant') GROUP BY conv_id, turn, role, text
+UNION ALL
+SELECT CAST(conv_id AS BIGINT), CAST(turn AS BIGINT),
+       conv_id || ':' || (turn - CASE WHEN role = 'user' THEN 0 ELSE 1 END), NULL, 'conflict',
+       CASE WHEN role = 'user' THEN n ELSE 0 END, CASE WHEN role = 'user' THEN 0 ELSE n END, NULL,
+       sha256(CASE WHEN role = 'user' THEN '{"after":' || to_json(conv_id || ':' || (turn - 2)) || ',"arguments":{"text":'
+           || to_json(text) || ',"turn":"' || turn || '"},"id":' || to_json(conv_id || ':' || turn)
+           || ',"level":null,"name":"reply","result":null,"status":"conflict"}'
+         ELSE '{"after":null,"arguments":null,"id":' || to_json(conv_id || ':' || (turn - 1))
+           || ',"level":null,"name":null,"result":' || to_json(text) || ',"status":"conflict"}' END)
+FROM (SELECT conv_id, turn, role, text, count(*) AS n, min(text) OVER (PARTITION BY conv_id, turn, role) AS least
+      FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, turn, role, text)
+WHERE text <> least
 """

@@ -1,10 +1,12 @@
 """Operators that compare documents, read conversations or learn, against plain Python and planted cases."""
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checker import difference
 from custlens.llm import chat_tools, language, license_scan, ngram_join, repeats, secret_scan
 
 FOLDER = "/root/testdata/sf0.001"
@@ -268,3 +270,50 @@ def test_whole_license_text_as_template(spark):
     texts = ["a " * 777 + cut, less, "b " * 130 + text + " released under the mit license"]
     rows = {r["doc_id"]: list(r["found"]) for r in license_scan.scan(frame(spark, texts), templates=templates).collect()}
     assert [rows[i] for i in sorted(rows)] == [["long"], [], ["long", "mit"]]
+
+
+def test_tool_calls_lose_no_message(spark):
+    nested = '{"tool_calls":[{"id":"f","function":{"name":"reply","arguments":"{\\"turn\\":3,\\"text\\":\\"deep\\"}"}}]}'
+    plain = nested.replace('"id":"f"', '"id":"g"').replace('"{\\"turn\\":3,\\"text\\":\\"deep\\"}"', '{"turn":3,"text":"deep"}')
+    rows = [
+        ("x-1", "0", "system", "be kind"),
+        ("x-1", "0", "system", "be kind"),
+        ("x-1", "1", "user", "b"),
+        ("x-1", "1", "user", "a"),
+        ("x-1", "1", "user", "b"),
+        ("x-1", "2", "assistant", "z"),
+        ("x-1", "2", "assistant", "y"),
+        ("x-1", "2", "critic", ""),
+        ("x-1", "no number", None, None),
+        ("x-1", "3", "assistant", nested),
+        ("x-1", "4", "assistant", plain),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id string, turn string, role string, text string").withColumn("ID", F.lit(1))
+    got = chat_tools.formatted(messages).collect()
+    seen = sorted((r["status"], r["call_id"] or "", r["n_calls"], r["n_results"]) for r in got)
+    assert seen == [
+        ("conflict", "x-1:1", 0, 1),
+        ("conflict", "x-1:1", 2, 0),
+        ("linked", "x-1:1", 3, 2),
+        ("message", "", 0, 1),
+        ("message", "x-1:0", 0, 2),
+        ("message", "x-1:2", 0, 1),
+        ("open", "f", 1, 0),
+        ("open", "g", 1, 0),
+    ]
+    texts = " ".join(r["json"] for r in got)
+    for part in ("be kind", '"text":"a"', '"text":"b"', '"result":"y"', '"result":"z"', '"name":"critic"'):
+        assert part in texts
+    calls = {r["call_id"]: r for r in got if r["call_id"] in ("f", "g")}
+    assert all(r["problems"] == "" and '"arguments":{"text":"deep","turn":"3"}' in r["json"] for r in calls.values())
+    assert chat_tools.formatted(messages.limit(0)).count() == 0
+
+
+def test_conflicts_match_sql(spark, tmp_path):
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "z"), (1, 2, "assistant", "y"), (2, 0, "other", "o")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert difference(chat_tools.op2_tool_calls(spark, str(tmp_path)), con, chat_tools.OP2_SQL) is None
