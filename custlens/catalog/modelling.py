@@ -456,7 +456,8 @@ def best_model_check(spark: SparkSession, folder: str) -> DataFrame:
         query=" UNION ALL ".join(
             f"""SELECT '{fmt}' AS format, count(*) AS n_rows, CAST(sum(frequency) AS BIGINT) AS frequency,
                 CAST(sum(recency) AS BIGINT) AS recency, CAST(sum(cluster) AS BIGINT) AS cluster,
-                count(DISTINCT monetary) AS amounts, count(avg_review_score) AS scored FROM clustered"""
+                count(DISTINCT monetary) AS amounts, count(avg_review_score) AS scored, count(customer_city) AS cities,
+                min(customer_city) AS first_city, max(customer_unique_id) AS last_person FROM clustered"""
             for fmt in ("parquet", "csv", "json")
         ),
     ),
@@ -467,7 +468,8 @@ def sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     for fmt in ("parquet", "csv", "json"):
         path = scratch_path(spark, f"sink-{fmt}")
         write_table(rows, path, fmt)
-        back = spark.read.schema(rows.schema).option("header", True).format(fmt).load(path)
+        reader = spark.read.schema(rows.schema).format(fmt)
+        back = (reader.options(**CSV_OPTIONS) if fmt == "csv" else reader).load(path)
         part = back.agg(
             F.lit(fmt).alias("format"),
             F.count("*").alias("n_rows"),
@@ -476,6 +478,9 @@ def sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
             F.sum("cluster").alias("cluster"),
             F.count_distinct("monetary").alias("amounts"),
             F.count("avg_review_score").alias("scored"),
+            F.count("customer_city").alias("cities"),
+            F.min("customer_city").alias("first_city"),
+            F.max(PERSON).alias("last_person"),
         )
         result = part if result is None else result.unionByName(part)
     return result
