@@ -71,7 +71,8 @@ def long_form(df: DataFrame, key: str, vector: str, names: Sequence[str] | None
     """Non-zero vector slots as rows ``(key, feature, value)``; a null vector gives none.
 
     Sparse vectors give up their entries as they are, so work follows the filled slots and not the width, and the names come by
-    a join on the slot from a table of one row per slot.
+    a join on the slot from a table of one row per slot. That table is the one to broadcast: Spark knows no size of it and, left alone,
+    takes the file's size for that of the entries, which are many times more.
     """
     parts = F.unwrap_udt(F.col(vector))
     slots = F.coalesce(parts["indices"], F.sequence(F.lit(0), F.size(parts["values"]) - 1))
@@ -80,4 +81,4 @@ def long_form(df: DataFrame, key: str, vector: str, names: Sequence[str] | None
         list(enumerate(names or slot_names(df, vector))), "slot int, feature string"
     )
     filled = df.select(key, F.inline(entries)).where(F.col("value") != 0)
-    return filled.join(named, "slot").select(key, "feature", "value")
+    return filled.join(F.broadcast(named), "slot").select(key, "feature", "value")

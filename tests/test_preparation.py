@@ -210,3 +210,12 @@ def test_sketches_unite(spark):
         exact = len({i % 2000 for i in range(6000) if i % 3 == row["g"]})
         assert abs(row["unique_x"] - exact) <= 0.05 * exact and row["unique_y"] == 0
     assert abs(agg.distinct_estimates(sketches, [], ["x"]).first()[0] - 2000) <= 100
+
+
+def test_long_form_broadcasts_the_names_however_small_the_file(spark, tmp_path):
+    rows = [(i, Vectors.dense([1.0, float(i), 2.0])) for i in range(20)]
+    spark.createDataFrame(rows, ["id", "v"]).write.parquet(f"{tmp_path}/v")
+    long = enc.long_form(spark.read.parquet(f"{tmp_path}/v"), "id", "v", ["a", "b", "c"])
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert long.count() == 59
