@@ -12,6 +12,24 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
+class Adam:
+    """Steps against gradients, by a rate that falls to nothing in ``steps`` steps."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float, steps: int):
+        self.rate, self.steps, self.step = rate, steps, 0
+        self.first = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.second = {k: np.zeros_like(v) for k, v in weights.items()}
+
+    def move(self, weights: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        now, first, second = self.rate * (1 - self.step / (self.steps + 1)), self.first, self.second
+        for k, v in g.items():
+            first[k] = 0.9 * first[k] + 0.1 * v
+            second[k] = 0.999 * second[k] + 0.001 * v * v
+            grown = first[k] / (1 - 0.9**self.step)
+            weights[k] = weights[k] - now * grown / (np.sqrt(second[k] / (1 - 0.999**self.step)) + 1e-7)
+
+
 @dataclass
 class ConvNet:
     chunk: int = 256
@@ -85,12 +103,16 @@ class ConvNet:
 
     # -- training --------------------------------------------------------------------------------------------
 
-    def _gradients(self, chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(
+        self, chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, shares: np.ndarray | None = None
+    ) -> dict[str, np.ndarray]:
+        """Of the cross entropy, in which examples count by their ``shares`` (alike, one in all, without them)."""
         w, f, s = self.weights, self.filters, self.stride
         best, place = self._answers(chunks)
         logits, hidden, features = self._combine(best, firsts)
         sizes = np.diff(np.append(firsts, len(best)))
-        error = ((1 / (1 + np.exp(-np.clip(logits, -60, 60)))) - labels).astype(np.float32)[:, None] / len(labels)
+        error = ((1 / (1 + np.exp(-np.clip(logits, -60, 60)))) - labels).astype(np.float32)[:, None]
+        error = error / len(labels) if shares is None else error * shares[:, None].astype(np.float32)
         g = {"out": (hidden * error).sum(axis=0), "out_shift": error.sum(axis=0)}
         back = error * w["out"] * (1 - hidden**2)
         g["dense"], g["dense_shift"] = features.T @ back, back.sum(axis=0)
@@ -118,26 +140,18 @@ class ConvNet:
     def fit(self, examples: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01):
         """Adam on the cross entropy. ``examples`` holds the chunks of each example, ``(chunks, chunk)`` bytes."""
         rng, labels = np.random.default_rng(self.seed), np.asarray(labels, np.float32)
-        first = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        step, steps = 0, max(1, epochs * -(-len(examples) // batch))
+        adam = Adam(self.weights, rate, max(1, epochs * -(-len(examples) // batch)))
         for _ in range(epochs):
             order = rng.permutation(len(examples))
             for at in range(0, len(order), batch):
                 chosen = order[at : at + batch]
                 sizes = [len(examples[i]) for i in chosen]
-                g = self._gradients(
+                g = self.gradients(
                     np.concatenate([examples[i] for i in chosen]),
                     np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64),
                     labels[chosen],
                 )
-                step += 1
-                now = rate * (1 - step / (steps + 1))
-                for k, v in g.items():
-                    first[k] = 0.9 * first[k] + 0.1 * v
-                    second[k] = 0.999 * second[k] + 0.001 * v * v
-                    grown = first[k] / (1 - 0.9**step)
-                    self.weights[k] = self.weights[k] - now * grown / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
+                adam.move(self.weights, g)
         return self
 
     def calibrate(self, examples: list[np.ndarray], labels: np.ndarray, rounds: int = 200) -> None:

@@ -3,10 +3,11 @@
 Three patterns find the sure findings. Beside them every long token with a digit is a candidate. A candidate and its
 surroundings, ``BEFORE`` and ``AFTER`` bytes, make one window of ``WINDOW`` bytes (a longer candidate makes several, ``HOP``
 bytes apart, and has the highest of their scores), on which a convolutional network is trained: positive are the windows whose
-part of a candidate touches a sure finding, negative the others. Fitted on a bounded sample, ``TRAIN_EACH`` different windows
-of either kind with the smallest hash over all documents, in that order four of five for the weights, the fifth for
-the calibration and for the threshold: the highest that still finds ``RECALL`` of the positives left out. Candidates at or above it that touch no sure finding are
-findings of kind ``model``.
+part of a candidate touches a sure finding, negative the others. A hash leaves out a fifth of the different windows of all documents. All others
+fit the weights: small steps over ``TRAIN_EACH`` windows of either kind with the smallest hash find where to begin, then ``ROUNDS``
+steps follow the gradient over every window, either kind weighing one half; tasks add it up in fixed point, so that their order does
+not matter. The threshold is the highest that still finds ``RECALL`` of all positives left out. Candidates at or above it that touch
+no sure finding are findings of kind ``model``.
 
 Defined cases: a null or empty text has no findings; with fewer than 20 windows of either kind there is no network
 and only the patterns decide; equal rows have equal findings; an empty table gives an empty result; other columns
@@ -16,6 +17,7 @@ pass. Positions count code points and ends are exclusive.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from custlens.functions.quantiles import quantile_rows
 from custlens.llm.common import column, documents, free_name
-from custlens.llm.convnet import ConvNet
+from custlens.llm.convnet import Adam, ConvNet
+from custlens.session import materialize
 
 # The patterns and the least lengths of their values.
 ASSIGN = re.compile(
@@ -45,6 +49,10 @@ ROOM = WINDOW - BEFORE - AFTER - 2
 HOP = 18  # a key of ROOM - HOP bytes lies whole in one window
 RECALL = 0.98
 EPOCHS = 6
+ROUNDS, RATE = 16, 0.003
+AT_ONCE = 512
+# Sums of gradients are whole multiples of one in so many.
+FIXED = 2.0**40
 MARK = "[SECRET]"
 SPANS = "struct<kinds:array<string>,starts:array<int>,ends:array<int>,values:array<int>>"
 
@@ -107,30 +115,80 @@ def _windows(texts: pa.Array) -> pa.Array:
 
 
 def fit(docs: DataFrame, text: str = "text", each: int = TRAIN_EACH) -> SecretNet | None:
-    """The network and its threshold, from a bounded sample of the candidates of all documents."""
+    """The network and its threshold, from all different windows of all documents; ``each`` of either kind begin."""
     listed = arrow_udf(_windows, "array<struct<seen:binary,label:int>>")(column(docs, text))
     rows = docs.select(F.explode(listed).alias("c")).select("c.seen", "c.label")
-    examples, labels = [], []
     # A window is there once, so none is both fitted and left out.
     rows = rows.groupBy("seen").agg(F.max("label").alias("label"))
-    hashed = rows.withColumn("hash_", F.xxhash64("seen"))
-    order = F.row_number().over(W.partitionBy("label").orderBy("hash_", "seen"))
-    got = hashed.withColumn("place_", order).where(F.col("place_") <= each).select("label", "place_", "seen").collect()
-    for row in sorted(got, key=lambda r: (r["place_"], r["label"])):
-        examples.append(np.frombuffer(bytes(row["seen"]), np.uint8)[None, :])
-        labels.append(row["label"])
-    labels = np.array(labels, dtype=float)
-    if min((labels == 1).sum(), (labels == 0).sum()) < 20:
+    apart = F.pmod(F.xxhash64("seen", F.lit(1)), F.lit(5)) == 4
+    rows = materialize(rows.withColumn("apart", apart).sortWithinPartitions("seen"), "secret-windows")
+    counts = {(r["label"], r["apart"]): r["count"] for r in rows.groupBy("label", "apart").count().collect()}
+    if min(sum(n for (kind, _), n in counts.items() if kind == label) for label in (0, 1)) < 20:
         return None
-    apart = np.arange(len(labels)) % 5 == 4
+    order = F.row_number().over(W.partitionBy("label").orderBy("hash_", "seen"))
+    ranked = rows.withColumn("hash_", F.xxhash64("seen")).withColumn("place_", order)
+    got = ranked.where(F.col("place_") <= each).select("label", "place_", "seen", "apart").collect()
+    got.sort(key=lambda r: (r["place_"], r["label"]))
+    examples = [np.frombuffer(bytes(row["seen"]), np.uint8)[None, :] for row in got]
+    labels, left = np.array([row["label"] for row in got], float), np.array([row["apart"] for row in got])
     net = ConvNet(chunk=WINDOW, stride=4, width=6, filters=24, hidden=12, seed=9)
-    net.fit([e for e, a in zip(examples, apart) if not a], labels[~apart], epochs=EPOCHS, rate=0.01)
-    left = [e for e, a in zip(examples, apart) if a]
-    net.calibrate(left, labels[apart])
-    scores = net.scores(net.pooled(np.concatenate(left)), np.arange(len(left)))
-    hits = np.sort(scores[labels[apart] == 1])
-    threshold = float(hits[int((1 - RECALL) * len(hits))]) if len(hits) else 1.0
-    return SecretNet(net, threshold)
+    net.fit([e for e, a in zip(examples, left) if not a], labels[~left], epochs=EPOCHS, rate=0.01)
+    fitted = {label: counts.get((label, False), 0) for label in (0, 1)}
+    adam = Adam(net.weights, RATE, ROUNDS)
+    for _ in range(ROUNDS):
+        adam.move(net.weights, _gradient(net, rows.where(~F.col("apart")), fitted))
+    # It keeps the order of the scores, hence the findings do not depend on it.
+    net.calibrate([e for e, a in zip(examples, left) if a], labels[left])
+    return SecretNet(net, _threshold(net, rows.where("apart and label = 1")))
+
+
+def _bytes(seen: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(seen.to_pylist()), np.uint8).reshape(-1, WINDOW)
+
+
+def _gradient(net: ConvNet, rows: DataFrame, counts: dict[int, int]) -> dict[str, np.ndarray]:
+    """Gradient over all ``rows``, of which ``counts`` are of each kind."""
+    names, share = sorted(net.weights), np.array([0.5 / max(1, counts[label]) for label in (0, 1)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = 0.0
+        for batch in batches:
+            chunks, labels = _bytes(batch.column(0)), batch.column(1).to_numpy()
+            for lo in range(0, len(chunks), AT_ONCE):
+                part, kinds = chunks[lo : lo + AT_ONCE], labels[lo : lo + AT_ONCE]
+                g = net.gradients(part, np.arange(len(part)), kinds, share[kinds])
+                own = own + np.concatenate([g[k].ravel() for k in names]).astype(float)
+        if np.ndim(own):
+            sums = pa.array(np.rint(own * FIXED).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), sums], ["slot", "sum"])
+
+    sums = rows.select("seen", "label").mapInArrow(add, "slot int, sum long").groupBy("slot").agg(F.sum("sum"))
+    flat = np.zeros(sum(net.weights[k].size for k in names))
+    for slot, total in sums.collect():
+        flat[slot] = total / FIXED
+    ends = np.cumsum([net.weights[k].size for k in names])
+    parts = np.split(flat.astype(np.float32), ends[:-1])
+    return {k: part.reshape(net.weights[k].shape) for k, part in zip(names, parts)}
+
+
+def _threshold(net: ConvNet, rows: DataFrame) -> float:
+    """The highest score that ``RECALL`` of the ``rows`` reach."""
+
+    def score(seen: pa.Array) -> pa.Array:
+        chunks, out = _bytes(seen), [np.zeros(0)]
+        for lo in range(0, len(chunks), 2048):
+            part = chunks[lo : lo + 2048]
+            out.append(net.scores(net.pooled(part), np.arange(len(part))))
+        return pa.array(np.concatenate(out).astype(float))
+
+    scored = materialize(rows.select(arrow_udf(score, "double")("seen").alias("score")), "secret-scores")
+    n = scored.count()
+    if not n:
+        return 1.0
+    # A little above the wanted rank, so that rounding cannot lead below it.
+    place = (int((1 - RECALL) * n) + 0.25) / (n - 1) if n > 1 else 0.0
+    value = quantile_rows(scored, ["score"], [min(1.0, place)])[0][-1]
+    return float(scored.where(F.col("score") <= value).agg(F.max("score")).first()[0])
 
 
 def scanner(spark, model: SecretNet | None):

@@ -252,6 +252,36 @@ def test_secret_windows_are_different_and_threshold_free(spark, monkeypatch):
     assert model.threshold == 0.25
 
 
+def test_secrets_learn_from_every_window(spark, monkeypatch):
+    texts = [f"token={i:08d}abcdefgh and part{i:012d} end" for i in range(300)]
+    docs, used = frame(spark, texts), {"fit": 0}
+    gradient, threshold = secret_scan._gradient, secret_scan._threshold
+
+    def spied_gradient(net, rows, counts):
+        used["fit"] = rows.count()
+        assert used["fit"] == sum(counts.values())
+        g = gradient(net, rows, counts)
+        got = [(bytes(r["seen"]), r["label"]) for r in rows.collect()]
+        chunks, labels = np.stack([np.frombuffer(s, np.uint8) for s, _ in got]), np.array([k for _, k in got])
+        share = np.array([0.5 / counts[k] for k in labels])
+        for name, value in net.gradients(chunks, np.arange(len(chunks)), labels, share).items():
+            assert g[name] == pytest.approx(value, abs=1e-5)
+        return g
+
+    def spied_threshold(net, rows):
+        chunks = np.stack([np.frombuffer(bytes(r["seen"]), np.uint8) for r in rows.collect()])
+        scores = np.sort(net.scores(net.pooled(chunks), np.arange(len(chunks))))
+        used["left"], found = len(scores), threshold(net, rows)
+        assert found == pytest.approx(scores[int((1 - secret_scan.RECALL) * len(scores))], abs=1e-6)
+        return found
+
+    monkeypatch.setattr(secret_scan, "_gradient", spied_gradient)
+    monkeypatch.setattr(secret_scan, "_threshold", spied_threshold)
+    monkeypatch.setattr(secret_scan, "ROUNDS", 2)
+    secret_scan.fit(docs, each=40)
+    assert used["fit"] > 400 and 40 < used["left"] < 80
+
+
 def test_scattered_words_are_no_license(spark):
     wording = "licensed under the gnu general public license version".split()
     line = " ".join(f"{w} " + " ".join(f"x{i}" for i in range(400)) for w in reversed(wording))
