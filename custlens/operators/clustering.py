@@ -5,24 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from custlens.functions.quantiles import exact_quantiles
+from custlens.operators.kmeans import Centres, fit_all
 
 
 def fit_kmeans(
     df: DataFrame, k: int, starts: int = 1, max_iter: int = 100, seed: int = 42, features: str = "features"
-) -> KMeansModel:
-    """The cheapest of ``starts`` k-means fits, each from its own parallel k-means++ start."""
-    fits = (
-        KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
-        for i in range(starts)
-    )
-    return min(fits, key=lambda model: model.summary.trainingCost)
+) -> Centres:
+    """The cheapest of ``starts`` k-means fits, each from its own k-means++ start."""
+    return fit_all(df, [k], starts, max_iter, seed, features)[k]
 
 
 def nearest_centroid(df: DataFrame, centroids: Sequence[Mapping[str, float]], out: str = "cluster") -> DataFrame:

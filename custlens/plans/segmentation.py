@@ -10,6 +10,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from custlens.operators import clustering as cl, encoding as enc
+from custlens.operators.kmeans import fit_all
 from custlens.operators.stages import FillMissing, KeepTopLevels, ScaleColumns, VariancePCA, vector_size
 from custlens.plans import features as feat
 from custlens.session import in_parallel, materialize
@@ -73,29 +74,31 @@ def segment(
 ) -> Segmentation:
     """Fit k-means for every ``k`` on the prepared rows and keep the first with the best silhouette.
 
-    The rows and their vectors are written once; the sweep then only reads the vectors. Up to
-    ``parallelism`` values of ``k`` run side by side, each holding its own copy of the vectors in memory.
+    The rows and their vectors are written once. All fits are one job over the vectors, and their labels are written
+    side by side. Up to ``parallelism`` values of ``k`` are scored at a time.
     """
     spark = rows.sparkSession
     rows = materialize(rows, "rows")
     fitted = (pipeline or preparation()).fit(rows)
     prepared = materialize(fitted.transform(rows).select(*rows.columns, "features"), "vectors")
     vectors = prepared.select("features")
+    models = fit_all(vectors, list(ks), starts, max_iter)
+    labels = vectors
+    for k, model in models.items():
+        labels = model.transform(labels).withColumnRenamed("cluster", f"cluster_{k}")
+    labels = materialize(labels, "labels")
 
-    def run(k: int) -> tuple:
-        model = cl.fit_kmeans(vectors, k, starts, max_iter)
-        s = cl.cluster_scores(model.transform(vectors))
-        scores = (k, s["silhouette"], s["calinski_harabasz"], s["davies_bouldin"], model.summary.trainingCost)
-        return scores, model
+    def score(k: int) -> tuple:
+        s = cl.cluster_scores(labels, cluster=f"cluster_{k}")
+        return k, s["silhouette"], s["calinski_harabasz"], s["davies_bouldin"], models[k].summary.trainingCost
 
-    runs = in_parallel([lambda k=k: run(k) for k in ks], parallelism)
-    scored, models = [scores for scores, _ in runs], {scores[0]: model for scores, model in runs}
+    scored = in_parallel([lambda k=k: score(k) for k in models], parallelism)
     best_k = max(scored, key=lambda row: (row[1], -row[0]))[0]
     sweep = spark.createDataFrame(
         scored, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double"
     )
-    labels = models[best_k].transform(prepared).drop("features")
-    return Segmentation(labels, sweep, pca_summary(spark, fitted), best_k, fitted)
+    labelled = models[best_k].transform(prepared).drop("features")
+    return Segmentation(labelled, sweep, pca_summary(spark, fitted), best_k, fitted)
 
 
 def pca_summary(spark: SparkSession, fitted: PipelineModel) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from custlens.functions.hashing import split_by_hash
-from custlens.operators import clustering as cl, encoding as enc, metrics as met, neighbours
+from custlens.operators import clustering as cl, encoding as enc, kmeans, metrics as met, neighbours
 from custlens.operators.joins import PERSON
 from custlens.operators.models import Forest, RankingEvaluator, RidgeLogistic, classifier
 from custlens.operators.neighbours import nearest_neighbours, vote
@@ -133,6 +133,32 @@ def test_kmeans_assigns_the_nearest_centre(spark):
     assert model.summary.trainingCost < 200
 
 
+def test_kmeans_starts_share_their_passes(spark):
+    """Ten starts are one job on the rows, in one task or several, and no fit is left by a better neighbour."""
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(m, 0.3, size=(60, 2)) for m in ((0, 0), (0, 6), (6, 0), (6, 6))])
+    df = vectors(spark, points, np.zeros(len(points))).select("features").localCheckpoint()
+    spark.sparkContext.setJobGroup("ten starts", "")
+    model = cl.fit_kmeans(df, 4, starts=10)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ten starts")) < 8
+    spark.sparkContext.setJobGroup("", "")
+    groups = points.reshape(4, 60, 2)
+    least = ((groups - groups.mean(axis=1, keepdims=True)) ** 2).sum()
+    assert model.summary.trainingCost == pytest.approx(least)
+    several = kmeans.fit_all(df, [2, 4], starts=10, rows_per_task=100)
+    assert several[4].summary.trainingCost == pytest.approx(least)
+    assert several[2].summary.trainingCost > least
+    found = several[4].transform(df).groupBy("cluster").count().collect()
+    assert sorted((row["cluster"], row["count"]) for row in found) == [(i, 60) for i in range(4)]
+
+
+def test_kmeans_with_fewer_points_than_clusters(spark):
+    df = vectors(spark, np.array([[1.0, 2.0], [1.0, 2.0], [3.0, 4.0]]), np.zeros(3)).select("features")
+    model = cl.fit_kmeans(df, 4, starts=2)
+    assert sorted(c.tolist() for c in model.clusterCenters()) == [[1, 2], [3, 4]]
+    assert model.summary.trainingCost == pytest.approx(0)
+
+
 def test_pivot_means(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 5.123)], "cluster int, v double")
     row = cl.pivot_means(cl.cluster_means(df, ["v"]), [0, 1]).first()
