@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
@@ -329,6 +330,15 @@ def test_forest_refuses_what_its_trees_cannot_do(spark, people, wrong):
         Forest(**wrong).fit(people)
 
 
+def test_forest_keeps_the_node_of_each_row(spark, people):
+    known = people.withColumnRenamed(feat.LABEL, "label").fillna(0.0, ["monetary", "avg_monetary"])
+    rows = enc.assemble(["recency", "monetary", "avg_monetary"]).transform(known).select("features", "label").localCheckpoint()
+    plain = RandomForestClassifier(labelCol="label", numTrees=5, maxDepth=12, seed=42, featureSubsetStrategy="sqrt").fit(rows)
+    model = Forest(trees=5, depth=12).fit(rows)
+    assert model.getCacheNodeIds()
+    assert [t.toDebugString.split("\n")[1:] for t in model.trees] == [t.toDebugString.split("\n")[1:] for t in plain.trees]
+
+
 def test_segment_finds_planted_groups(spark):
     rows = spark.range(300).select(
         F.col("id").alias(PERSON),
