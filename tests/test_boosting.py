@@ -148,6 +148,20 @@ def test_preset_differs_by_growth(spark):
 # -- network --------------------------------------------------------------------------------------------------
 
 
+def test_filled_blocks_multiply_as_matrices():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 6)) * (rng.random((50, 6)) < 0.5)
+    rows, slots = np.nonzero(x)
+    few = nw.Entries(50, rows, slots, x[rows, slots], 6)
+    wide = nw.Entries(50, rows, slots, x[rows, slots], 6 * 200)
+    assert few.filled and not wide.filled
+    right, back = rng.normal(size=(6, 3)), rng.normal(size=(50, 3))
+    long = np.zeros((6 * 200, 3))
+    long[:6] = right
+    np.testing.assert_allclose(few.times(right), wide.times(long))
+    np.testing.assert_allclose(few.turned_times(back), wide.turned_times(back)[:6])
+
+
 @pytest.mark.parametrize("activation", ["relu", "tanh"])
 def test_gradients_by_differences(activation):
     rng = np.random.default_rng(3)
