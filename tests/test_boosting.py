@@ -96,6 +96,49 @@ def test_leaf_wise_growth_and_early_end(spark):
     assert short.getNumTrees < 30
 
 
+def test_leaf_wise_growth_takes_rounds_by_level():
+    """The tree of always splitting the best leaf, with far fewer sums over the tasks than leaves."""
+
+    class Alone:
+        size, place, sums = 1, 0, 0
+
+        def gather(self, array):
+            return [array]
+
+        def total(self, array):
+            self.sums += 1
+            return array
+
+    rng = np.random.default_rng(8)
+    n, size = 3000, 4
+    x = rng.normal(size=(n, size))
+    labels = (np.sin(3 * x[:, 0]) + x[:, 1] * x[:, 2] + rng.normal(size=n) > 0).astype(float)
+    rows, slots = np.nonzero(x)
+    options = dict(trees=1, depth=0, leaves=24, rate=0.1, bins=64, subsample=1.0, subset=1.0, leastRows=5, l2=0.0,
+                   patience=0, heldOut=0.1, seed=1)
+    team = Alone()
+    trainer = bo._Trainer(team, options, size, labels, rows, slots, x[rows, slots])
+    team.sums = 0
+    nodes, leaf_of = trainer._tree(0, np.zeros(n))
+    assert team.sums <= 14
+    # By hand: split the best leaf again and again, each on its own.
+    layers = np.stack([labels - 0.5, np.full(n, 0.25), np.ones(n)])
+    used, found, own, made = np.ones(n, bool), {}, np.zeros(n, np.int64), 1
+    best = lambda leaf: trainer._splits(trainer._counted(own, used, [leaf], layers), rng)[0]
+    found[0] = best(0)
+    gains = []
+    while made < 2 * 24 - 1:
+        leaf = min(found, key=lambda i: (-found[i][0], i))
+        gain, at, _, _ = found.pop(leaf)
+        own = trainer._moved(own, {leaf: (at, made, made + 1)})
+        gains.append(gain)
+        for child in (made, made + 1):
+            found[child] = best(child)
+        made += 2
+    assert sorted(node[5] for node in nodes)[-23:] == pytest.approx(sorted(gains), rel=1e-6)
+    assert (leaf_of == own).all()
+
+
 def test_few_bins_and_shares(spark):
     x, y = planted(600, 9)
     df = frame(spark, x, y)
