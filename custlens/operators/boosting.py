@@ -1,14 +1,14 @@
 """Gradient boosting of histogram trees on data that stays in the tasks' memory.
 
-One fit is one Spark job. Its tasks run side by side in a barrier stage; each bins its share of the rows once and keeps them, as
-codes of the values that are not zero. Per round of a tree the tasks add up their histograms (``allGather``) and all find the
+One fit is one Spark job. Its tasks run side by side in a barrier stage; each bins its share of the rows once and keeps the codes: a
+column of a byte or two a row for a slot that is mostly filled, the codes that are not zero for the others. Per round of a tree the tasks add up their histograms (``allGather``) and all find the
 same splits, so nothing but histograms moves and no job is started per level. A round splits every leaf of a level; with
 ``leaves`` the tree takes the best leaf of all each time (leaf-wise growth). Only the smaller child of a split is counted; its
 sibling is the difference to the parent. The logistic loss is followed by Newton steps.
 
-The number of tasks grows with the rows (``rowsPerTask``) up to the slots of the cluster, which then hold the rows together. Adding
-up between tasks takes about a second per round (the barrier's own pace), which is why a task holds many rows; one task
-alone waits for nobody. A lost executor restarts the stage from the training table. Draws depend on the seed and on
+The number of tasks grows with the rows (``rowsPerTask``) and their entries (``ENTRIES_PER_TASK``) up to the slots of the cluster,
+which then hold the rows together. Adding up between tasks takes about a second per round (the barrier's own pace), which is why a
+task holds many rows; one task alone waits for nobody. A lost executor restarts the stage from the training table. Draws depend on the seed and on
 the partitioning.
 
 Defined cases: rows with a null label or vector are left out; one class alone gives a constant model; a training set without rows
@@ -35,7 +35,14 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+# Rows that a task of the other iterative fits (k-means, the network) should hold; trees need less time for a row.
 ROWS_PER_TASK = 250_000
+TREE_ROWS_PER_TASK = 1_000_000
+# Entries that a task of trees should hold, before they are binned at 16 bytes each.
+ENTRIES_PER_TASK = 12_000_000
+# A slot that so large a share of a task's rows fill is held as a column.
+FILLED = 0.25
+FEW_SPLITS = 16
 # Cells (leaves x bins) counted and sent in one go.
 CELLS = 1 << 20
 # Points that a task sends per slot to find the bins, as a multiple of the bins.
@@ -60,17 +67,21 @@ def vector_parts(column: str) -> list:
     return [vector["type"].cast("int").alias("kind"), vector["indices"].alias("indices"), vector["values"].alias("values")]
 
 
-def training_rows(dataset: DataFrame, label: str, features: str, rows_per_task: int) -> tuple[DataFrame, int]:
+def training_rows(
+    dataset: DataFrame, label: str, features: str, rows_per_task: int, entries_per_task: int | None = None
+) -> tuple[DataFrame, int]:
     """Labels and parts of the vectors, dealt evenly to as many tasks as hold them, and the size of a vector."""
     rows = dataset.select(F.col(label).cast("double").alias("label"), *vector_parts(features))
     rows = rows.where("label is not null and values is not null")
     sizes = dataset.where(F.col(features).isNotNull() & F.col(label).isNotNull())
     vector = F.unwrap_udt(F.col(features))
-    found = sizes.agg(F.count("*"), F.max(F.coalesce(vector["size"], F.size(vector["values"])))).first()
+    filled = F.size(vector["values"])
+    found = sizes.agg(F.count("*"), F.max(F.coalesce(vector["size"], filled)), F.sum(filled)).first()
     if not found[0]:
         raise ValueError("no training rows")
     slots = dataset.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(1, min(slots, -(-found[0] // rows_per_task)))), found[1]
+    tasks = max(-(-found[0] // rows_per_task), -(-found[2] // entries_per_task) if entries_per_task else 1)
+    return rows.repartition(max(1, min(slots, tasks))), found[1]
 
 
 # -- inside the tasks -----------------------------------------------------------------------------------------
@@ -94,23 +105,30 @@ class Team:
         return sum(self.gather(array.reshape(1, -1))).reshape(array.shape)
 
 
+def _by_slot(slots: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each slot that has entries, and their places in order."""
+    if not len(slots):
+        return []
+    # Numbers of 16 bits are sorted in linear time.
+    order = np.argsort(slots.astype(np.uint16) if slots.max() < 1 << 16 else slots, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(slots))])
+    return [(slot, order[cuts[slot] : cuts[slot + 1]]) for slot in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
 def _summary(slots: np.ndarray, values: np.ndarray, points: int) -> np.ndarray:
     """Rows (slot, value, count) of the distinct values per slot, at most about ``points`` of them."""
-    order = np.lexsort((values, slots))
-    slots, values = slots[order], values[order]
-    new = np.concatenate([[True], (slots[1:] != slots[:-1]) | (values[1:] != values[:-1])]) if len(slots) else np.zeros(0, bool)
-    firsts = np.flatnonzero(new)
-    counts = np.diff(np.append(firsts, len(slots)))
-    slots, values = slots[firsts], values[firsts]
-    borders = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1], [True]])) if len(slots) else np.zeros(1, int)
+    return _summaries(_by_slot(slots), values, points)
+
+
+def _summaries(places: list[tuple[int, np.ndarray]], values: np.ndarray, points: int) -> np.ndarray:
     out = []
-    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
-        weight, value = counts[a:b], values[a:b]
-        if b - a > points:
+    for slot, at in places:
+        value, weight = np.unique(values[at], return_counts=True)
+        if len(value) > points:
             passed = np.cumsum(weight)
             place = np.unique(np.searchsorted(passed, np.linspace(0, passed[-1], points + 1)[1:]))
             weight, value = np.diff(np.concatenate([[0], passed[place]])), value[place]
-        out.append(np.stack([np.full(len(value), slots[a]), value, weight], axis=1))
+        out.append(np.stack([np.full(len(value), slot), value, weight], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 3))
 
 
@@ -155,27 +173,36 @@ class _Trainer:
         self.team, self.o, self.size, self.labels = team, options, size, labels
         n = len(labels)
         self.rows_total, ones = (int(x) for x in team.total(np.array([n, labels.sum()])))
-        summary = np.concatenate(team.gather(_summary(slots, values, SUMMARY * options["bins"])))
+        own = _by_slot(slots)
+        summary = np.concatenate(team.gather(_summaries(own, values, SUMMARY * options["bins"])))
         self.bins = _bins(summary, size, self.rows_total, options["bins"])
-        code = np.zeros(len(values), np.int64)
-        order = np.argsort(slots, kind="stable")
-        cuts = np.searchsorted(slots[order], np.arange(size + 1))
-        for slot in range(size):
-            part = order[cuts[slot] : cuts[slot + 1]]
-            if len(part):
-                a, b = self.bins.firsts[slot], self.bins.firsts[slot + 1]
-                code[part] = a + np.searchsorted(self.bins.edges[a:b], values[part])
-        own = code != self.bins.firsts[slots] + self.bins.zero[slots]
-        own &= (np.diff(self.bins.firsts) > 1)[slots]
-        self.rows, self.codes = rows[own], code[own]
-        self.entry_slots = slots[own]
+        # Filled slots are columns of codes that count from the slot's first bin; others keep what is not in zero's bin.
+        self.columns: dict[int, np.ndarray] = {}
+        sparse_rows_, sparse_codes, lengths = [], [], np.zeros(size, np.int64)
+        for slot, at in own:
+            first, last, zero = self.bins.firsts[slot], self.bins.firsts[slot + 1], self.bins.zero[slot]
+            if last - first < 2:
+                continue
+            code = np.searchsorted(self.bins.edges[first:last], values[at])
+            if len(at) >= FILLED * n:
+                column = np.full(n, zero, np.min_scalar_type(int(last - first - 1)))
+                column[rows[at]] = code
+                self.columns[slot] = column
+            else:
+                off = code != zero
+                sparse_rows_.append(rows[at[off]].astype(np.int32))
+                sparse_codes.append((first + code[off]).astype(np.int32))
+                lengths[slot] = len(sparse_codes[-1])
+        self.rows = np.concatenate([*sparse_rows_, np.zeros(0, np.int32)])
+        self.codes = np.concatenate([*sparse_codes, np.zeros(0, np.int32)])
+        self.places = np.concatenate([[0], np.cumsum(lengths)])
         draw = np.random.default_rng([options["seed"], 1, team.place]).random(n)
         self.held = draw < options["heldOut"] if options["patience"] else np.zeros(n, dtype=bool)
         share = ones / max(1, self.rows_total)
         self.prior = float(np.log(share / (1 - share))) if 0 < share < 1 else (20.0 if share else -20.0)
         self.one_class = not 0 < share < 1
 
-    # Histograms have three layers: gradients, curvatures and counts.
+    # Histograms have three layers: gradients, curvatures (both given in ``layers``) and counts.
 
     def _counted(self, leaf_of: np.ndarray, used: np.ndarray, leaves: list[int], layers: np.ndarray) -> np.ndarray:
         """Histogram ``(leaf, layer, bin)`` of some leaves over all tasks."""
@@ -186,16 +213,26 @@ class _Trainer:
             spot = np.full(int(leaf_of.max(initial=0)) + 2, -1, np.int64)
             spot[[g for g in group if g < len(spot)]] = [i for i, g in enumerate(group) if g < len(spot)]
             home = np.where(used, spot[leaf_of], -1)
-            at = home[self.rows]
-            take = at >= 0
-            cell, rows = at[take] * k + self.codes[take], self.rows[take]
+            chosen = np.flatnonzero(home >= 0)
+            place = home.take(chosen)
+            weights = [layers[0].take(chosen), layers[1].take(chosen), None]  # without weights the rows are counted
             hist = np.zeros((len(group), 3, k + 1))
-            inside = home >= 0
-            for layer in range(3):
-                hist[:, layer, :k] = np.bincount(cell, layers[layer][rows], len(group) * k).reshape(len(group), k)
-                hist[:, layer, k] = np.bincount(home[inside], layers[layer][inside], len(group))
+            for layer, weight in enumerate(weights):
+                hist[:, layer, k] = np.bincount(place, weight, len(group))
+            for slot, column in self.columns.items():
+                a, b = self.bins.firsts[slot], self.bins.firsts[slot + 1]
+                cell = place * (b - a) + column.take(chosen)
+                for layer, weight in enumerate(weights):
+                    hist[:, layer, a:b] = np.bincount(cell, weight, len(group) * (b - a)).reshape(len(group), b - a)
+            if len(self.rows):
+                at = home.take(self.rows)
+                take = np.flatnonzero(at >= 0)
+                cell, rows = at.take(take) * k + self.codes.take(take), self.rows.take(take)
+                for layer in range(3):
+                    weight = layers[layer].take(rows) if layer < 2 else None
+                    hist[:, layer, :k] += np.bincount(cell, weight, len(group) * k).reshape(len(group), k)
             hist = self.team.total(hist)
-            # Zeros are what is left of a leaf's total.
+            # Zeros that no column has are what is left of a leaf's total.
             starts = self.bins.firsts[:-1]
             sums = np.add.reduceat(hist[:, :, :k], starts, axis=2)
             hist[:, :, starts + self.bins.zero] += hist[:, :, k:] - sums
@@ -225,21 +262,28 @@ class _Trainer:
 
     def _moved(self, leaf_of: np.ndarray, splits: dict[int, tuple[int, int, int]]) -> np.ndarray:
         """Leaf of each row after splits: leaf -> (bin, left leaf, right leaf)."""
-        top = max(int(leaf_of.max(initial=0)), max(splits)) + 1
-        bin_, lefts, rights = np.full(top, -1, np.int64), np.arange(top), np.arange(top)
-        for leaf, (b, a, c) in splits.items():
-            bin_[leaf], lefts[leaf], rights[leaf] = b, a, c
-        cut = bin_[leaf_of]
-        slot = np.where(cut >= 0, self.bins.slots[cut], -1)
-        code = np.where(cut >= 0, (self.bins.firsts[:-1] + self.bins.zero)[slot], 0)
-        hit = self.entry_slots == slot[self.rows]
-        code[self.rows[hit]] = self.codes[hit]
-        return np.where(cut < 0, leaf_of, np.where(code <= cut, lefts[leaf_of], rights[leaf_of]))
+        if len(splits) > FEW_SPLITS:  # then one sort costs less than a look at all rows for each of them
+            top = int(leaf_of.max(initial=0))
+            order = np.argsort(leaf_of.astype(np.uint16) if top < 1 << 16 else leaf_of, kind="stable")
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(leaf_of, minlength=max(top, max(splits)) + 1))])
+        moved = leaf_of.copy()
+        for leaf, (cut, left, right) in splits.items():
+            own = order[cuts[leaf] : cuts[leaf + 1]] if len(splits) > FEW_SPLITS else np.flatnonzero(leaf_of == leaf)
+            slot = int(self.bins.slots[cut])
+            first = self.bins.firsts[slot]
+            if slot in self.columns:
+                moved[own] = np.where(self.columns[slot][own] <= cut - first, left, right)
+                continue
+            moved[own] = left if first + self.bins.zero[slot] <= cut else right
+            a, b = self.places[slot], self.places[slot + 1]
+            here = a + np.flatnonzero(leaf_of[self.rows[a:b]] == leaf)
+            moved[self.rows[here]] = np.where(self.codes[here] <= cut, left, right)
+        return moved
 
     def _tree(self, turn: int, scores: np.ndarray) -> tuple[list[list], np.ndarray]:
         o = self.o
         chance = 1 / (1 + np.exp(-scores))
-        layers = np.stack([self.labels - chance, chance * (1 - chance), np.ones(len(scores))])
+        layers = np.stack([self.labels - chance, chance * (1 - chance)])
         used = ~self.held
         if o["subsample"] < 1:
             used &= np.random.default_rng([o["seed"], 2, turn, self.team.place]).random(len(scores)) < o["subsample"]
@@ -381,14 +425,19 @@ def _grow(options: dict, size: int):
         for batch in batches:
             r, s, v = sparse_rows(*(batch.column(i) for i in (1, 2, 3)))
             labels.append(batch.column(0).to_numpy())
-            rows.append(r + n)
-            slots.append(s)
+            rows.append((r + n).astype(np.int32))
+            slots.append(s.astype(np.int32))
             values.append(v)
             n += batch.num_rows
-        joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0)]).astype(kind)
+
+        def joined(parts: list, kind: type) -> np.ndarray:
+            whole = np.concatenate([*parts, np.zeros(0, kind)])
+            parts.clear()
+            return whole
+
         team = Team()
         trainer = _Trainer(
-            team, options, size, joined(labels, float), joined(rows, np.int64), joined(slots, np.int64), joined(values, float)
+            team, options, size, joined(labels, float), joined(rows, np.int32), joined(slots, np.int32), joined(values, float)
         )
         state = trainer.run()
         if team.place == 0:
@@ -436,7 +485,7 @@ class HistogramBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, Default
         l2=0.0,
         patience=0,
         heldOut=0.1,
-        rowsPerTask=ROWS_PER_TASK,
+        rowsPerTask=TREE_ROWS_PER_TASK,
         featuresCol="features",
         labelCol="label",
         seed=42,
@@ -445,13 +494,15 @@ class HistogramBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, Default
         self._set(**self._input_kwargs)
         self._setDefault(
             trees=100, depth=3, leaves=0, rate=0.1, bins=255, subsample=1.0, subset=1.0, leastRows=1, l2=0.0, patience=0,
-            heldOut=0.1, rowsPerTask=ROWS_PER_TASK, featuresCol="features", labelCol="label", seed=42,
+            heldOut=0.1, rowsPerTask=TREE_ROWS_PER_TASK, featuresCol="features", labelCol="label", seed=42,
         )
 
     def _fit(self, dataset: DataFrame) -> "BoostedTrees":
         names = "trees depth leaves rate bins subsample subset leastRows l2 patience heldOut seed".split()
         options = {name: self.getOrDefault(name) for name in names}
-        rows, size = training_rows(dataset, self.getLabelCol(), self.getFeaturesCol(), self.getOrDefault("rowsPerTask"))
+        rows, size = training_rows(
+            dataset, self.getLabelCol(), self.getFeaturesCol(), self.getOrDefault("rowsPerTask"), ENTRIES_PER_TASK
+        )
         grown = rows.mapInArrow(_grow(options, size), "state string", barrier=True).collect()
         model = BoostedTrees(grown[0]["state"], size)
         return model._set(featuresCol=self.getFeaturesCol())

@@ -240,3 +240,61 @@ def test_network_recovers_xor(spark, activation):
     assert np.array_equal(chances(FittedNetwork.load(path), df), chances(model, df))
     with pytest.raises(ValueError):
         Network(activation="step").fit(df)
+
+
+class _Alone:
+    """A team of one task."""
+
+    size, place = 1, 0
+
+    def gather(self, array):
+        return [array]
+
+    def total(self, array):
+        return array
+
+
+def _trainer(x, labels, **options):
+    rows, slots = np.nonzero(x)
+    options = dict(trees=1, depth=3, leaves=0, rate=0.1, bins=64, subsample=1.0, subset=1.0, leastRows=1, l2=0.0,
+                   patience=0, heldOut=0.1, seed=1) | options
+    return bo._Trainer(_Alone(), options, x.shape[1], labels, rows, slots, x[rows, slots])
+
+
+def test_rows_are_held_in_few_bytes():
+    """A task's rows as codes: a byte a row for filled slots and eight bytes an entry for the others, zeros left out."""
+    rng = np.random.default_rng(4)
+    n = 2000
+    x = np.concatenate([rng.normal(size=(n, 5)), np.eye(30)[rng.integers(0, 30, n)]], axis=1)
+    trainer = _trainer(x, (x[:, 0] > 0).astype(float))
+    held = sum(c.nbytes for c in trainer.columns.values()) + trainer.rows.nbytes + trainer.codes.nbytes
+    assert held <= (5 + 8) * n  # 144 bytes a row before
+
+
+def test_columns_and_entries_count_alike():
+    """Histograms and moves of many leaves against plain numpy, with filled and sparse slots and rows left out."""
+    rng = np.random.default_rng(5)
+    n = 600
+    x = np.round(rng.normal(size=(n, 4)), 1)
+    x[:, 2:][rng.random((n, 2)) < 0.9] = 0
+    trainer = _trainer(x, (x[:, 0] > 0).astype(float))
+    assert sorted(trainer.columns) == [0, 1]
+    leaf_of, used = rng.integers(0, 20, n), rng.random(n) < 0.8
+    layers = np.stack([rng.normal(size=n), rng.random(n)])
+    hist = trainer._counted(leaf_of, used, [3, 19], layers)
+    bins = trainer.bins
+    for slot in range(4):
+        a, b = bins.firsts[slot], bins.firsts[slot + 1]
+        code = np.searchsorted(bins.edges[a:b], x[:, slot])
+        for place, leaf in enumerate((3, 19)):
+            own = used & (leaf_of == leaf)
+            for layer, weight in enumerate([*layers, np.ones(n)]):
+                assert np.allclose(hist[place, layer, a:b], np.bincount(code[own], weight[own], b - a))
+    for few in (2, 20):  # looked up one by one, and after one sort
+        cuts = {leaf: int(rng.integers(0, len(bins.edges))) for leaf in range(few)}
+        moved = trainer._moved(leaf_of, {leaf: (cut, 100 + leaf, 200 + leaf) for leaf, cut in cuts.items()})
+        for leaf, cut in cuts.items():
+            own, slot = leaf_of == leaf, bins.slots[cut]
+            left = x[own, slot] <= bins.edges[cut]
+            assert (moved[own] == np.where(left, 100 + leaf, 200 + leaf)).all()
+        assert (moved[leaf_of >= few] == leaf_of[leaf_of >= few]).all()
