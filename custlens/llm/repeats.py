@@ -10,8 +10,9 @@ anchor; equal windows have equal anchors, and all windows of one anchor lie side
   with prefix doubling. Ties are in order of position, so a window whose neighbour before it has the same rank is a later
   copy, and one whose neighbour after it has the same rank has a later copy. This replaces longest-previous-factor arrays: no
   previous or next smaller positions and no lengths are computed, as only reaching ``size`` counts,
-* an anchor with more than ``CROWD`` different contexts is never put into one task. Its windows are counted by two
-  64-bit hashes with partial sums instead.
+* an anchor with more than ``CROWD`` different contexts is never put into one task. Its contexts are taken as texts of their own
+  and go through the same steps with anchors of ``longer`` strings, which fewer of them share, until an anchor is a whole
+  window: then all windows of an anchor are equal, and they are counted with partial sums.
 
 ``keep="first"`` leaves the first copy (by key, then by place), ``keep="none"`` removes all.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from custlens.llm.common import column, documents, small_batches
-from custlens.llm.textbytes import Rolling, buffers, mixed, slices
+from custlens.llm.textbytes import Rolling, buffers, slices
 from custlens.session import materialize
 
 SIZE = 200
@@ -57,9 +58,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _anchors(data: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def longer(gram: int, size: int) -> int:
+    """The length of the anchors that part a crowd of anchors of ``gram`` bytes."""
+    return min(size, 2 * gram + 8)
+
+
+def _anchors(data: np.ndarray, places: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """Row, anchor hash, context hash, first window (in its text) and number of windows of every context."""
-    gram = min(GRAM, size)
     empty = np.zeros(0, np.int64)
     if len(data) < size:
         return empty, empty, empty, empty, empty
@@ -80,13 +85,13 @@ def _anchors(data: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarra
     return rows, hashes[anchor[first]].view(np.int64), contexts.view(np.int64), first - places[rows], last - first
 
 
-def _anchor_lists(size: int):
+def _anchor_lists(size: int, gram: int):
     def anchors(texts: pa.Array) -> pa.Array:
         data, places = buffers(texts)
         out = []
         for lo, hi in slices(places, _SLICE_BYTES):
             own = places[lo : hi + 1] - places[lo]
-            rows, h, ctx, at, n = _anchors(data[places[lo] : places[hi]], own, size)
+            rows, h, ctx, at, n = _anchors(data[places[lo] : places[hi]], own, size, gram)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=hi - lo))]).astype(np.int32)
             columns = [pa.array(h), pa.array(ctx), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
             inner = pa.StructArray.from_arrays(columns, ["h", "ctx", "at", "n"])
@@ -99,7 +104,7 @@ def _anchor_lists(size: int):
 def _pieces(texts: pa.Array, ats: pa.Array, ends: pa.Array) -> pa.Array:
     out = []
     for text, firsts, lasts in zip(texts.to_pylist(), ats.to_pylist(), ends.to_pylist()):
-        raw = (text or "").encode()
+        raw = text if isinstance(text, bytes) else (text or "").encode()
         out.append([raw[a:b] for a, b in zip(firsts, lasts)])
     return pa.array(out, pa.list_(pa.binary()))
 
@@ -173,46 +178,23 @@ def _sorted_groups(size: int, keep_first: bool):
     return run
 
 
-def _window_hashes(size: int):
-    def hashes(pieces: pa.Array) -> pa.Array:
-        out = []
-        for piece in pieces.to_pylist():
-            data = np.frombuffer(piece, np.uint8)
-            starts = np.arange(len(data) - size + 1)
-            one = Rolling(data).hashes(starts, starts + size)
-            two = Rolling(data[::-1]).hashes(len(data) - starts - size, len(data) - starts)
-            both = zip(one.view(np.int64).tolist(), mixed(two).view(np.int64).tolist())
-            out.append([{"w1": a, "w2": b} for a, b in both])
-        return pa.array(out, pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())])))
-
-    return hashes
-
-
-def _crowds(pieces: DataFrame, size: int, keep_first: bool) -> DataFrame:
-    """The same answer for ``h, ctx, order, piece`` of crowded anchors, without gathering them."""
-    listed = arrow_udf(_window_hashes(size), "array<struct<w1:bigint,w2:bigint>>")(F.col("piece"))
-    windows = pieces.select("h", "ctx", "order", F.posexplode(listed).alias("i", "w")).select("h", "ctx", "order", "i", "w.*")
-    windows = materialize(windows, "crowded-windows")
-    place = F.struct("order", "i")
-    seen = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    hit = windows.join(seen, ["w1", "w2"])
-    if keep_first:
-        hit = hit.where(place != F.col("first"))
-    spans = hit.groupBy("h", "ctx").agg(F.array_sort(F.collect_list(F.col("i").cast("int"))).alias("froms"))
-    return spans.select("h", "ctx", "froms", F.transform("froms", lambda i: i + 1).alias("tos"))
+def _crowds(pieces: DataFrame, size: int, keep: str, crowd: int, gram: int) -> DataFrame:
+    """The same answer for ``h, ctx, order, piece`` of crowded anchors, each piece taken as a text, by anchors of ``gram`` bytes."""
+    found = spans(pieces.select(F.struct("order", "h", "ctx").alias("row"), F.col("piece").alias("text")), size, keep, crowd, gram)
+    return found.select("row.h", "row.ctx", "froms", F.transform("tos", lambda to: to - size + 1).alias("tos"))
 
 
 # -- the operator ------------------------------------------------------------------------------------------------
 
 
-def spans(rows: DataFrame, size: int = SIZE, keep: str = "none", crowd: int = CROWD) -> DataFrame:
+def spans(rows: DataFrame, size: int = SIZE, keep: str = "none", crowd: int = CROWD, gram: int = GRAM) -> DataFrame:
     """``row, froms, tos`` of the rows ``row, text`` that hold bytes to remove; ranges may touch and overlap."""
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
-    first = keep == "first"
+    first, gram = keep == "first", min(gram, size)
     spark = rows.sparkSession
     with small_batches(spark):
-        listed = arrow_udf(_anchor_lists(size), ANCHORS)(F.col("text"))
+        listed = arrow_udf(_anchor_lists(size, gram), ANCHORS)(F.col("text"))
         anchors = materialize(rows.select("row", F.explode(listed).alias("a")).select("row", "a.*"), "anchors")
         twice = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
         anchors = materialize(anchors.join(twice, "h"), "repeated-anchors")
@@ -233,14 +215,16 @@ def spans(rows: DataFrame, size: int = SIZE, keep: str = "none", crowd: int = CR
         pieces = pieces.select("z.c.h", "z.c.ctx", "z.c.d", "z.c.order", "z.piece")
         pieces = materialize(pieces, "pieces")
         sorted_ = (
-            pieces.where(F.col("d") <= crowd)
+            (pieces.where(F.col("d") <= crowd) if gram < size else pieces)
             .repartition("h")
             .sortWithinPartitions("h", "order")
             .select("h", "ctx", "piece")
             .mapInArrow(_sorted_groups(size, first), "h long, ctx long, froms array<int>, tos array<int>")
         )
-        found = sorted_.unionByName(_crowds(pieces.where(F.col("d") > crowd), size, first))
-        found = materialize(found, "copied-windows")
+        crowded = pieces.where(F.col("d") > crowd)
+        if gram < size and not crowded.isEmpty():
+            sorted_ = sorted_.unionByName(_crowds(crowded, size, keep, crowd, longer(gram, size)))
+        found = materialize(sorted_, "copied-windows")
     # The first of equal contexts is a copy only as far as found; the others, and with keep="none" all, are whole.
     known = contexts.where((F.col("c") > 1)).select("h", "ctx", F.col("order").alias("first"))
     whole = anchors.join(known, ["h", "ctx"])

@@ -66,6 +66,27 @@ def test_repeats(spark, crowd):
     assert repeats.dedup(docs.limit(0)).count() == 0
 
 
+def test_crowds_are_parted_by_longer_anchors(spark, monkeypatch):
+    """A short passage in many texts makes an anchor with many contexts; its windows do not become rows one by one."""
+    rng = np.random.default_rng(6)
+    own = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage, far = own(100), own(190)
+    texts = [own(200) + passage + own(200) for _ in range(60)] + [own(20) + far + passage + far + own(i) for i in range(6)]
+    written, write = {}, repeats.materialize
+
+    def counted(df, name):
+        table = write(df, name)
+        written.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(repeats, "materialize", counted)
+    got = repeats.dedup(frame(spark, texts), crowd=20).orderBy("doc_id").collect()
+    found = [(r["n_bytes"], r["n_bytes"] - len(r["kept"]), r["n_spans"], brute.sha(bytes(r["kept"]))) for r in got]
+    assert found == brute.repeat_rows(texts) and found[-1][1] > 200
+    assert len(written["anchors"]) > 1  # the crowd was parted
+    assert max(n for counts in written.values() for n in counts) < 600  # 1,199 windows before
+
+
 def test_repeats_query(spark):
     rows = repeats.op3_suffix_dedup(spark, FOLDER).orderBy("doc_id").collect()
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect()
