@@ -1,6 +1,7 @@
 """Exact Jaccard join of word n-gram sets by vertical partitioning, and the groups that its links make.
 
-1. Each text becomes its set of shingles (63-bit hashes). Equal sets are one class; from here on classes are compared.
+1. Each text becomes its set of shingles (63-bit hashes). Equal sets (64 bits of their own) are one class; from here on
+   classes are compared.
 2. Shingles have one global order: by hash, with the most frequent ones (``HOT`` at most, counted over all documents)
    last. Of a set of n shingles the first ``n - ceil(t n) + 1`` are its prefix, and two sets that are similar
    enough share a shingle of both prefixes. Frequent passages are last, so they make no candidates.
@@ -12,10 +13,13 @@
    at most. Classes that are in one component need no further comparison.
    What is left are pairs of classes of different components that share a shingle of their whole prefixes, and those
    are all compared, if their sizes allow it and their prefixes have as many shingles in common as similar sets must
-   have. So no link is lost that joins two components, whatever the hubs found, and copies of one text are never
+   have. Two bounds are part of the join: no pair has more shingles in common than either class has with all others, and
+   sets that differ in ``d`` shingles differ in ``d`` bits of their marks at most (a shingle flips one bit of 512), so a
+   text just outside a large group is seldom paired with each of its members. So no link is lost that joins two components, whatever the hubs found, and copies of one text are never
    paired with one another.
 4. A pair is verified by vertical partitioning: the global order is cut into ``FRAGMENTS`` fragments, each set into its
-   segments, overlaps are counted per fragment and summed per pair.
+   segments, overlaps are counted per fragment and summed per pair. Only the texts of a pair are moved for that: a bitmap
+   of ``FILTER_BITS`` bits keeps nearly all others where they are read.
 5. Components of the links by contraction: each root hangs itself below its smallest neighbour, paths are halved
    until they are flat, and the links between the new roots go into the next round.
 
@@ -50,8 +54,11 @@ LEAST_GAIN = 8
 # stand in some thousand documents to be counted as possibly frequent.
 HOT = 50_000
 HOT_IN_BATCH = 4
+FILTER_BITS = 1 << 26
+# Columns of 64 bits, whose bits tell whether an odd number of the shingles of a set falls on them.
+MARKS = [f"mark{i}" for i in range(8)]
 
-_FIRST, _SECOND = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_SALT, _SECOND = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def _shingles(data: np.ndarray, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,20 +139,30 @@ class _Sets:
         for n, row, value in self._parts(texts):
             row, key = _distinct(row, self._keys(value), n)
             counts = np.bincount(row, minlength=n)
-            digest = [pa.array(counts.astype(np.int64))]
-            for salt in (_FIRST, _SECOND):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(key ^ salt), dtype=np.uint64)])
-                ends = np.cumsum(counts)
-                digest.append(pa.array((sums[ends] - sums[ends - counts]).view(np.int64)))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(key ^ _SALT), dtype=np.uint64)])
+            ends = np.cumsum(counts)
+            digest = [pa.array(counts.astype(np.int64)), pa.array((sums[ends] - sums[ends - counts]).view(np.int64))]
             yield n, row, key, counts, digest
 
+    def digests(self, texts: pa.Array) -> pa.Array:
+        out = []
+        for _, _, key, counts, digest in self._sets(texts):
+            ends, bit = np.cumsum(counts), mixed(key ^ _SECOND)
+            word, flip = (bit >> np.uint64(6)) % np.uint64(len(MARKS)), np.uint64(1) << (bit & np.uint64(63))
+            for i in range(len(MARKS)):
+                flips = np.where(word == i, flip, np.uint64(0))
+                sums = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(flips)])
+                digest.append(pa.array((sums[ends] ^ sums[ends - counts]).view(np.int64)))
+            out.append(pa.StructArray.from_arrays(digest, ["n", "cid", *MARKS]))
+        return _joined(out, pa.struct([*_DIGEST, *((m, pa.int64()) for m in MARKS)]))
+
     def prefixes(self, texts: pa.Array) -> pa.Array:
         out = []
         for n, row, key, counts, digest in self._sets(texts):
             place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
             taken = place < _prefix_length(counts, self.percent)[row]
             lists = _lists(key[taken], np.bincount(row[taken], minlength=n))
-            out.append(pa.StructArray.from_arrays([*digest, lists], ["n", "k1", "k2", "prefix"]))
+            out.append(pa.StructArray.from_arrays([*digest, lists], ["n", "cid", "prefix"]))
         return _joined(out, _PREFIX_TYPE)
 
     def segments(self, texts: pa.Array) -> pa.Array:
@@ -157,7 +174,7 @@ class _Sets:
             counts = np.bincount(row * FRAGMENTS + fragment, minlength=n * FRAGMENTS)
             outer = pa.array(np.arange(n + 1, dtype=np.int32) * FRAGMENTS)
             lists = pa.ListArray.from_arrays(outer, _lists(key, counts))
-            out.append(pa.StructArray.from_arrays([*digest, lists], ["n", "k1", "k2", "segments"]))
+            out.append(pa.StructArray.from_arrays([*digest, lists], ["n", "cid", "segments"]))
         return _joined(out, _SEGMENT_TYPE)
 
     def frequent(self, texts: pa.Array) -> pa.Array:
@@ -177,10 +194,10 @@ class _Sets:
         return pa.array([pairs] + [None] * (len(texts) - 1) if len(texts) else [], kind)
 
 
-_DIGEST = [("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())]
+_DIGEST = [("n", pa.int64()), ("cid", pa.int64())]
 _PREFIX_TYPE = pa.struct([*_DIGEST, ("prefix", pa.list_(pa.int64()))])
 _SEGMENT_TYPE = pa.struct([*_DIGEST, ("segments", pa.list_(pa.list_(pa.int64())))])
-_DIGEST_DDL = "n:bigint,k1:bigint,k2:bigint"
+_DIGEST_DDL = "n:bigint,cid:bigint"
 
 
 def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
@@ -195,6 +212,15 @@ class Sets:
     def __init__(self, spark, hot: list[int] = (), n: int = SHINGLE, percent: int = PERCENT):
         self._shared = spark.sparkContext.broadcast(_Sets(list(hot), n, percent))
 
+    def digests(self, text: Column) -> Column:
+        shared = self._shared
+
+        def digests(texts: pa.Array) -> pa.Array:
+            return shared.value.digests(texts)
+
+        marks = "".join(f",{m}:bigint" for m in MARKS)
+        return arrow_udf(digests, f"struct<{_DIGEST_DDL}{marks}>")(text)
+
     def prefixes(self, text: Column) -> Column:
         shared = self._shared
 
@@ -228,13 +254,29 @@ def hot_shingles(texts: DataFrame, n: int = SHINGLE, most: int = HOT) -> list[in
         return [r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect()][::-1]
 
 
+def _needed(x: Column, y: Column, percent: int) -> Column:
+    """How many shingles two sets of these sizes must have in common to be similar enough."""
+    return F.ceil(F.lit(percent) * (x + y) / F.lit(100 + percent))
+
+
 def _least_common(x: Column, y: Column, percent: int) -> Column:
     """How many shingles two prefixes must have in common if the sets are similar enough."""
-    need = F.ceil(F.lit(percent) * (x + y) / F.lit(100 + percent))
+    need = _needed(x, y, percent)
     length = lambda n: n - F.ceil(n * percent / 100) + 1
     return F.greatest(F.lit(1), F.least(length(x) - (x - need), length(y) - (y - need)))
 
 
+def _marked(classes: DataFrame, name: str) -> DataFrame:
+    return classes.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(m).alias(f"{m}_{name}") for m in MARKS))
+
+
+def _may_link(percent: int) -> Column:
+    """Whether the marks of ``a`` and ``b`` differ in no more bits than similar sets differ in shingles."""
+    differ = [F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MARKS]
+    most = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)
+    return sum(differ[1:], differ[0]) <= most
+
+
 def verified(pairs: DataFrame, segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the pairs ``a, b`` those that are similar enough: overlaps are counted per fragment and summed per pair.
 
@@ -293,41 +335,58 @@ def contract(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
 
 
-def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: documents, their classes, and the prefix of each class.
+def _prepared(texts: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame]:
+    """Written tables: documents, and their classes.
 
     A class is stood for by its smallest key; ``copies`` counts the rows that have this key and this set.
     """
-    seen = texts.select("key", sets.prefixes(F.col("text")).alias("s")).select("key", "s.*")
-    seen = materialize(seen, "shingle-rows")
-    rows = seen.select("key", "n", "k1", "k2")
-    per_key = rows.where("n > 0").groupBy("k1", "k2", "n", "key").agg(F.count("*").alias("copies"))
-    grouped = per_key.groupBy("k1", "k2", "n").agg(F.min(F.struct("key", "copies")).alias("r"))
-    classes = grouped.select("k1", "k2", "n", F.col("r.key").alias("rep"), "r.copies")
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
-
-    chosen = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "cid", "copies")
-    same = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("key").eqNullSafe(F.col("rep"))
-    prefixes = seen.where("n > 0").join(chosen, same)
-    prefixes = prefixes.select("cid", F.col("n").cast("int").alias("n"), "copies", "prefix")
-    prefixes = materialize(prefixes, "class-prefixes")
-    repeated = prefixes.where("copies > 1").dropDuplicates(["cid"])
-    return rows, classes, prefixes.where("copies = 1").unionByName(repeated).drop("copies")
-
-
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Written: the prefix shingles that two classes or more have, and how many have them."""
-    each = prefixes.select("cid", "n", F.explode("prefix").alias("token"))
-    several = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return materialize(each.join(several, "token"), "shared-tokens")
+    seen = texts.select("key", sets.digests(F.col("text")).alias("s")).select("key", "s.*")
+    rows = materialize(seen, "shingle-rows")
+    per_key = rows.where("n > 0").groupBy("cid", "n", "key", *MARKS).agg(F.count("*").alias("copies"))
+    grouped = per_key.groupBy("cid", "n", *MARKS).agg(F.min(F.struct("key", "copies")).alias("r"))
+    grouped = grouped.select("cid", "n", F.col("r.key").alias("rep"), "r.copies", *MARKS)
+    return rows, materialize(grouped, "shingle-classes")
+
+
+def _shared(texts: DataFrame, sets: Sets, classes: DataFrame) -> DataFrame:
+    """Written: the prefix shingles that two classes or more have, and how many have them.
+
+    Every shingle is moved once; those of one class alone go before anything is joined.
+    """
+    found = texts.select(sets.prefixes(F.col("text")).alias("s"))
+    each = found.select("s.cid", F.explode("s.prefix").alias("token"))
+    same = Window.partitionBy("token")
+    ends = each.select("token", "cid", F.min("cid").over(same).alias("first"), F.max("cid").over(same).alias("last"))
+    several = ends.where("first != last").select("token", "cid").distinct()
+    several = several.withColumn("df", F.count("*").over(same))
+    several = materialize(several, "several-tokens")
+    return materialize(several.join(classes.select("cid", "n"), "cid"), "shared-tokens")
 
 
 def _crossing(placed: DataFrame, roots: DataFrame) -> DataFrame:
     """Written: the shared shingles that stand in more than one component, with the components and their sizes."""
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     rooted = placed.select("token", "cid", "n").join(roots.join(sizes, "root"), "cid")
-    several = rooted.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    return materialize(rooted.join(several.select("token"), "token"), "rest-tokens")
+    same = Window.partitionBy("token")
+    ends = rooted.withColumn("r1", F.min("root").over(same)).withColumn("r2", F.max("root").over(same))
+    return materialize(ends.where("r1 != r2").drop("r1", "r2"), "rest-tokens")
+
+
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``texts`` whose keys are among those of ``wanted``, and few others: a bitmap of fixed size has a bit of each."""
+    place = lambda name: F.xxhash64(name).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = wanted.select(place("rep").alias("bit"))
+    marked = bit.select(F.expr("bit div 64").alias("slot"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mark"))
+    got = marked.groupBy("slot").agg(F.bit_or("mark").alias("marks")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[got["slot"].to_numpy()] = got["marks"].to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def marks(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return texts.where(arrow_udf(marks, "boolean")(place("key")))
 
 
 def _segments(
@@ -340,18 +399,17 @@ def _segments(
     cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     if known is not None:
         cids = cids.join(known.select("cid").distinct(), "cid", "left_anti")
-    wanted = classes.join(cids, "cid").select(
-        F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "copies", "cid"
-    )
+    wanted = classes.join(cids, "cid").select(F.col("cid").alias("own"), "rep", "copies")
     wanted = materialize(wanted, "wanted-classes")
     if known is not None and wanted.isEmpty():
         return known.limit(0)
+    texts = _only(texts, wanted)
     with small_batches(texts.sparkSession):
         cut = texts.join(wanted, F.col("key").eqNullSafe(F.col("rep"))).select(
-            "cid", "copies", "c1", "c2", sets.segments(F.col("text")).alias("s")
+            "own", "copies", sets.segments(F.col("text")).alias("s")
         )
-        own = cut.where((F.col("s.k1") == F.col("c1")) & (F.col("s.k2") == F.col("c2")))
-        parts = own.select("cid", "copies", "s.n", F.posexplode("s.segments").alias("fragment", "segment"))
+        own = cut.where(F.col("s.cid") == F.col("own"))
+        parts = own.select("s.cid", "copies", "s.n", F.posexplode("s.segments").alias("fragment", "segment"))
         return materialize(parts.where(F.size("segment") > 0), "segments")
 
 
@@ -369,13 +427,13 @@ def linked(
     sets = Sets(spark, hot_shingles(texts, n), n, percent)
 
     with small_batches(spark):
-        rows, classes, prefixes = _prepared(texts, sets)
-    shared = _shared(prefixes)
+        rows, classes = _prepared(texts, sets)
+        shared = _shared(texts, sets, classes)
     placed = shared.withColumn("root", F.col("cid"))
     roots = classes.select("cid", F.col("cid").alias("root"))
     segments, tried = None, None
     for turn in range(hub_turns):
-        pairs = _hub_pairs(placed, turn, percent)
+        pairs = _hub_pairs(placed, classes, turn, percent)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
         number = pairs.count()
         if not number:
@@ -388,22 +446,22 @@ def linked(
         placed = _crossing(placed, roots)  # a shingle that has left this table stays in one component
         if LEAST_GAIN * links.count() < number:
             break
-    pairs = _rest_pairs(placed, percent)
+    pairs = _rest_pairs(placed, classes, percent)
     pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     fresh = _segments(texts, sets, classes, pairs, segments)
     segments = fresh if segments is None else segments.unionByName(fresh)
     roots = contract(roots, materialize(verified(pairs, segments, percent), "links"))
 
-    placed = classes.join(roots, "cid").select("k1", "k2", "rep", "root")
+    placed = classes.join(roots, "cid").select("cid", "rep", "root")
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    named = placed.join(least, "root").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "component")
-    joined = rows.join(named, (F.col("n") > 0) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    named = placed.join(least, "root").select(F.col("cid").alias("own"), "component")
+    joined = rows.join(named, (F.col("n") > 0) & (F.col("cid") == F.col("own")), "left")
     return joined.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id")
     )
 
 
-def _hub_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+def _hub_pairs(placed: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each class with the hubs that it meets most often, if they are in different components and their sizes allow a link.
 
     The first hub of a shingle is the most central class. Later ones are drawn by a hash from the largest component, so
@@ -426,17 +484,26 @@ def _hub_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     enough = (1 if turn else 4) * F.col("common") >= _least_common(F.col("n"), F.col("n_y"), percent)
     first = Window.partitionBy("x").orderBy(F.desc("common"), F.desc("y"))
     best = met.where(enough).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= tries)
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(_marked(classes, "a"), "a").join(_marked(classes, "b"), "b").where(_may_link(percent)).select("a", "b")
 
 
-def _rest_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes of different components that share enough prefix shingles and whose sizes allow a link."""
-    x = placed.select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    y = placed.select("token", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
+def _rest_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components that share enough prefix shingles and whose sizes allow a link.
+
+    No pair has more shingles in common than either class has in ``placed``, and no link differs in more bits of its marks
+    than in shingles: pairs that these two bounds exclude are not made.
+    """
+    counted = placed.select("token", "cid", "root", F.count("*").over(Window.partitionBy("cid")).alias("own"))
+    side = lambda name: counted.select(
+        "token", F.col("cid").alias(name), F.col("root").alias(f"r_{name}"), F.col("own").alias(f"own_{name}")
+    ).join(_marked(classes, name), name)
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & fits)
+    least = _least_common(F.col("n_a"), F.col("n_b"), percent)
+    reach = (F.least("own_a", "own_b") >= least) & _may_link(percent)
+    met = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & fits & reach)
     common = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
-    return common.where(F.col("common") >= _least_common(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    return common.where(F.col("common") >= least).select("a", "b")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

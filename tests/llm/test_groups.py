@@ -41,6 +41,22 @@ def test_ngram_join(spark):
     assert {r["doc_id"]: r["component_id"] for r in compared} == want
 
 
+def test_texts_near_a_group_keep_their_components(spark):
+    """Texts that share most shingles but are just too far apart to link, next to ones that link, without hubs."""
+    texts = [*near(40, 3, 150, 5), *near(2, 4, 150, 1), *near(2, 5, 700, 8)]
+    rows = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(frame(spark, texts), hub_turns=0).collect()}
+    assert rows == brute.components(range(len(texts)), [brute.shingles(t) for t in texts])
+    assert rows[41] == 40 and rows[43] == 42 and len(set(rows.values())) > 30
+
+
+def test_only_wanted_texts_are_moved(spark):
+    texts = spark.range(20_000).selectExpr("struct(id as key, id % 7 as hash) as key", "'a' as text")
+    texts = texts.unionByName(texts.limit(1).selectExpr("null as key", "text"))
+    wanted = texts.where("key is null or key.key % 1000 = 3").selectExpr("key as rep")
+    left = ngram_join._only(texts, wanted)
+    assert left.join(wanted, left["key"].eqNullSafe(wanted["rep"])).count() == 21 and left.count() < 40
+
+
 def test_one_of_each(spark):
     texts = ["one two three four five six", "One two three four five six", None, None, "alone in the table of texts"]
     docs = frame(spark, texts).unionByName(frame(spark, texts).limit(1)).withColumn("row", F.lit(1))
