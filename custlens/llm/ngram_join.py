@@ -373,20 +373,17 @@ def _crossing(placed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ``texts`` whose keys are among those of ``wanted``, and few others: a bitmap of fixed size has a bit of each."""
+    """The ``texts`` whose keys are among those of ``wanted``, and few others: a bitmap has a bit of each.
+
+    It is broadcast as words of 64 bits, ``FILTER_BITS / 64`` of them at most.
+    """
     place = lambda name: F.xxhash64(name).bitwiseAND(F.lit(FILTER_BITS - 1))
-    bit = wanted.select(place("rep").alias("bit"))
-    marked = bit.select(F.expr("bit div 64").alias("slot"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mark"))
-    got = marked.groupBy("slot").agg(F.bit_or("mark").alias("marks")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[got["slot"].to_numpy()] = got["marks"].to_numpy().view(np.uint64)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
-
-    def marks(places: pa.Array) -> pa.Array:
-        at = places.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return texts.where(arrow_udf(marks, "boolean")(place("key")))
+    slot, bit = (lambda x: F.shiftright(x, 6)), (lambda x: F.expr("shiftleft(1L, cast({} % 64 as int))".format(x)))
+    marked = wanted.select(place("rep").alias("place_w")).select(slot("place_w").alias("slot_w"), bit("place_w").alias("mark"))
+    words = marked.groupBy("slot_w").agg(F.bit_or("mark").alias("marks"))
+    placed = texts.withColumn("place_t", place("key"))
+    met = (slot(F.col("place_t")) == F.col("slot_w")) & (F.col("marks").bitwiseAND(bit("place_t")) != 0)
+    return placed.join(F.broadcast(words), met, "left_semi").drop("place_t")
 
 
 def _segments(
